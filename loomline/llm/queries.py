@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import sharding, url_filter
+from . import packing, sharding, token_files, url_filter
 
 #: Fixed values of the url contract: (verdict, host, path).
 URL_RULES = (
@@ -27,6 +28,14 @@ def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), eight, sharding.with_new_region(eight, 8))
 
 
+def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
+
+
+def op7_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, blanks_dropped=True)
+
+
 def op8_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,6 +48,8 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_hash_tree_shards": op3_hash_tree_shards,
+        "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
+        "op7_orc_token_files": op7_orc_token_files,
         "op8_url_redirects": op8_url_redirects,
         "op9_grace_dedup": op9_grace_dedup,
     }
