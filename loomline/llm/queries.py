@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import packing, sharding, token_files, url_filter
+from . import language, packing, sharding, token_files, toxicity, url_filter
 
 #: Fixed values of the url contract: (verdict, host, path).
 URL_RULES = (
@@ -23,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = toxicity.remainder(F.col("doc_id"), 5)
+    model = toxicity.train(docs, labels, fold != 0)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     eight = sharding.even_tree(8, racks=2, regions=2)
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), eight, sharding.with_new_region(eight, 8))
@@ -45,13 +52,22 @@ def op9_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
 
 
+def op10_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = toxicity.remainder(F.col("doc_id"), 3)
+    found = language.identify(docs, language.train(docs, fold != 1))
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def queries() -> dict:
     return {
+        "op2_factorization_toxicity": op2_factorization_toxicity,
         "op3_hash_tree_shards": op3_hash_tree_shards,
         "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
         "op7_orc_token_files": op7_orc_token_files,
         "op8_url_redirects": op8_url_redirects,
         "op9_grace_dedup": op9_grace_dedup,
+        "op10_mixture_language": op10_mixture_language,
     }
 
 
