@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, packing, sharding, token_files, toxicity, url_filter
+from . import decontamination, language, packing, secrets, sharding, token_files, toxicity, url_filter
 
 #: Fixed values of the url contract: (verdict, host, path).
 URL_RULES = (
@@ -23,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_seeded_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     fold = toxicity.remainder(F.col("doc_id"), 5)
@@ -39,6 +43,11 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
+def op5_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op7_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, blanks_dropped=True)
 
@@ -61,9 +70,11 @@ def op10_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_seeded_decontamination": op1_seeded_decontamination,
         "op2_factorization_toxicity": op2_factorization_toxicity,
         "op3_hash_tree_shards": op3_hash_tree_shards,
         "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
+        "op5_token_efficiency_secrets": op5_token_efficiency_secrets,
         "op7_orc_token_files": op7_orc_token_files,
         "op8_url_redirects": op8_url_redirects,
         "op9_grace_dedup": op9_grace_dedup,

@@ -15,7 +15,7 @@ _powers: list[np.ndarray] = []
 
 #: ``[^\x20\x09-\x0D]+`` words, A-Z lower-cased.
 PLAIN = bytes(range(256)).lower()
-#: Words of letters and digits: ASCII punctuation and control characters count as blanks too.
+#: Words of letters and digits, lower-cased: ASCII punctuation and control characters count as blanks too.
 ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -51,7 +51,7 @@ def _hash_segment(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: Sequence[str], table: bytes = PLAIN) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts in order, index of each text's first word and the end)."""
-    parts = [t.encode("utf-8", "surrogatepass").translate(table) for t in texts]
+    parts = [(t.lower() if table is ALNUM else t).encode("utf-8", "surrogatepass").translate(table) for t in texts]
     offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
     buffer = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     hashes, starts, at = [], [], 0
