@@ -38,9 +38,10 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, as texts may be very long."""
+def small_batches(spark: SparkSession, rows: int = 10000, size: str = "4m") -> None:
+    """Bound an Arrow batch by bytes, as texts may be very long, and by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import decontamination, language, packing, secrets, sharding, token_files, toxicity, url_filter
+from . import decontamination, jaccard_join, language, packing, secrets, sharding, token_files, toxicity, url_filter
 
 #: Fixed values of the url contract: (verdict, host, path).
 URL_RULES = (
@@ -48,6 +48,10 @@ def op5_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_tiled_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
 def op7_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, blanks_dropped=True)
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         "op3_hash_tree_shards": op3_hash_tree_shards,
         "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
         "op5_token_efficiency_secrets": op5_token_efficiency_secrets,
+        "op6_tiled_jaccard_components": op6_tiled_jaccard_components,
         "op7_orc_token_files": op7_orc_token_files,
         "op8_url_redirects": op8_url_redirects,
         "op9_grace_dedup": op9_grace_dedup,
