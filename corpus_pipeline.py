@@ -1,8 +1,60 @@
-"""Corpus pipeline over ``documents``: placeholder until its stages are in."""
+"""Corpus pipeline over ``documents``: toxicity, exact dedup, near-duplicate join, benchmark decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept; all but the last return the columns
+of documents. Results between stages are tables in the shared folder.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import decontamination, exact_dedup, jaccard_join, packing, toxicity
+from loomline.llm.common import saved
+
+#: No stage but exact dedup can be written in SQL; the pipeline is tested against a brute-force version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores under 0.5 stay. It learns from the labelled ones among them, the fold of op2."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, toxicity.remainder(F.col("doc_id"), 5) != 0)
+    return toxicity.keep_civil(docs, model)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.keep_distinct(docs)
+
+
+def distinct_sets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each component of near duplicates (five-word shingles, similarity of 0.8 or more): the smallest doc_id."""
+    return jaccard_join.keep_one_each(docs, shingle=5, num=8, den=10)
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item stay."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
+
+
+STAGES = [
+    ("toxicity", civil),
+    ("exact_dedup", distinct_texts),
+    ("jaccard_join", distinct_sets),
+    ("decontamination", untested),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

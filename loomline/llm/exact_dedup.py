@@ -174,6 +174,38 @@ def content_classes(docs: DataFrame, content: Column, key: str = "doc_id", budge
     return merged.select("digest", "n", F.when(F.col("top") != _NONE, F.col("top")).alias("top"), "at_top")
 
 
+def _body(text: str, normalise) -> Column:
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.encode(normalise(body) if normalise else body, "UTF-8")
+
+
+def _checked_classes(docs: DataFrame, body: Column, key: str, budget: int) -> tuple[DataFrame, int]:
+    """Saved classes, known to have a digest each of their own, and the number of all rows."""
+    classes = saved(content_classes(docs, body, key, budget), "classes")
+    doubled = classes.agg(F.count("*").alias("classes"), F.count_distinct("digest").alias("digests"), F.sum("n").alias("n")).first()
+    if doubled["classes"] != doubled["digests"]:
+        raise ValueError("two different texts have one SHA-256 digest")
+    return classes, doubled["n"] or 0
+
+
+def keep_distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise=None, budget: int = 48 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each group of equal texts, that with the largest key (nulls lowest).
+
+    Rows are met with the classes' digests and keys, a row at most for each class; rows that repeat both are one.
+    """
+    body = _body(text, normalise)
+    classes, _ = _checked_classes(docs, body, key, budget)
+    stay = classes.select(F.col("digest").alias("_digest"), F.col("top").alias("_top"), "at_top")
+    rows = docs.withColumn("_digest", F.unhex(F.sha2(body, 256))).withColumn("_key", F.col(key).cast("long"))
+    named = stay.filter("_top is not null")
+    # the larger key alone tells most rows apart, so a group's rows are spread by key
+    kept = rows.join(named, (rows["_key"] == named["_top"]) & (rows["_digest"] == named["_digest"]), "left_semi")
+    if stay.filter("_top is null or at_top > 1").limit(1).count():
+        nameless = stay.filter("_top is null")
+        kept = kept.unionByName(rows.filter("_key is null").join(nameless, "_digest", "left_semi").select(rows.columns)).dropDuplicates(["_digest"])
+    return kept.select(docs.columns)
+
+
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise=None, budget: int = 48 << 20) -> DataFrame:
     """Per row: key, keep_id, group_size, kept, text_sha256.
 
@@ -182,14 +214,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", normal
     key lose to any other; if a whole group has none, its rows have a null keep_id and are kept. Very long texts are
     one record each. An empty table gives an empty result; extra columns are ignored.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    body = F.encode(normalise(body) if normalise else body, "UTF-8")
-    classes = saved(content_classes(docs, body, key, budget), "classes")
-    doubled = classes.agg(F.count("*").alias("classes"), F.count_distinct("digest").alias("digests"), F.sum("n").alias("n")).first()
-    if doubled["classes"] != doubled["digests"]:
-        raise ValueError("two different texts have one SHA-256 digest")
+    body = _body(text, normalise)
+    classes, total = _checked_classes(docs, body, key, budget)
     rows = docs.select(F.col(key), F.unhex(F.sha2(body, 256)).alias("digest"))
-    out = attach_by_key(rows, classes, "digest", "n", doubled["n"] or 0)
+    out = attach_by_key(rows, classes, "digest", "n", total)
     return out.select(
         key,
         F.col("top").alias("keep_id"),

@@ -15,6 +15,7 @@ pairs across components compared too, so components are exact.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,11 +46,25 @@ class Tiles:
             high = max(low, int(low / _BAND))
             if high >= size:
                 differ = 2 * high * (self.den - self.num) // (self.den + self.num)
-                slack = 1 if not differ else 2 + -(-differ // 25)
-                out.append((k, differ + slack, slack))
+                parts = self._parts(differ, -(-low * self.num // self.den))
+                out.append((k, parts, parts - differ))
             low, k = high + 1, k + 1
         return tuple(out)
 
+    @staticmethod
+    def _parts(differ: int, least: int) -> int:
+        """The least number of parts of which sets of the tile's ``least`` size mostly fill more than ``differ``."""
+        if not differ:
+            return 1
+        parts = differ + 1
+        while parts < 4 * (differ + 1):
+            empty = math.exp(-least / parts)
+            spread = math.sqrt(parts * empty * max(0.0, 1 - (1 + least / parts) * empty))
+            if parts * (1 - empty) - spread >= differ + 1:
+                break
+            parts += max(1, parts // 50)
+        return parts
+
 
 def part_keys(flat: np.ndarray, lens: np.ndarray, tile: np.ndarray, parts: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key of each part that isn't empty, its set, number of such parts of each set) of sets of hashes, ascending in each set."""
@@ -326,3 +341,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     linked = attach_by_key(thin.filter("digest is not null and doc is not null"), saved(named_classes, "components"), "digest", "size", total)
     alone = thin.filter("digest is null or doc is null").withColumn("component", F.col("doc"))
     return linked.select("doc", "n", "component").unionByName(alone.select("doc", "n", "component")).select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_one_each(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one with the smallest key; rows with a null key all stay.
+
+    Rows that repeat the smallest key of a component all stay, as they are one document.
+    """
+    found = jaccard_components(docs, shingle, num, den, key, text)
+    drop = found.filter(F.col("component_id") != F.col(key)).select(F.col(key).alias("_drop")).distinct()
+    return docs.join(drop, F.col(key).cast("long") == F.col("_drop"), "left_anti").select(docs.columns)
