@@ -6,6 +6,7 @@ ids of frequent pieces are kept, so only pieces not seen before go through the m
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Sequence
@@ -14,9 +15,30 @@ from itertools import islice
 
 import numpy as np
 
-#: Ids remembered in a worker: at most so many pieces, then the earliest half stays (frequent ones come early).
-MOST_PIECES = 400_000
+#: Ids remembered in a worker: of at most so many pieces, and of so many words inside them. Over that, the earliest
+#: half stays, as frequent ones come early.
+MOST_PIECES, MOST_WORDS = 400_000, 800_000
 _SINGLE_BLANK = re.compile(r"(?<=\S)(?= \S)")
+#: Marks that the tokenizers' patterns part from letters before them, also in runs; the apostrophe isn't one.
+_MARKS = ".,!?;:"
+
+
+class _Words(dict):
+    """Ids of single words by text, each as it is encoded after ``prefix``."""
+
+    def __init__(self, tokenizer, prefix: str):
+        super().__init__()
+        self.tokenizer, self.prefix = tokenizer, prefix
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > MOST_WORDS:
+            kept = dict(islice(self.items(), MOST_WORDS // 2))
+            self.clear()
+            self.update(kept)
+        if new := [w for w in words if w not in self]:
+            found = self.tokenizer.encode_batch_fast([self.prefix + w for w in new], add_special_tokens=False)
+            for w, e in zip(new, found, strict=True):
+                self[w] = np.array(e.ids, "<u4").tobytes()
 
 
 class PieceEncoder:
@@ -30,11 +52,53 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.blanks_dropped = blanks_dropped
         self.known: dict[str, bytes | None] = {}
-
-    def _learn(self, pieces: list[str], prefix: str) -> None:
-        ids = self.tokenizer.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)
-        for p, e in zip(pieces, ids, strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ")
+        self.bare = self.spaced if blanks_dropped else _Words(self.tokenizer, "")
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of pieces that follow a space. A word and the marks after it are encoded apart, and so are lines."""
+        spaced, bare = self.spaced, self.bare
+        words, marks, others = set(), set(), []
+        for p in pieces:
+            word = p.rstrip(_MARKS)
+            if word.isalpha():
+                words.add(word)
+                if len(word) < len(p):
+                    marks.add(p[len(word) :])
+            else:
+                others.append(p)
+        cut = {p: self._lines(p) for p in others}
+        for steps in cut.values():
+            words.update(w for own, w in steps if own is spaced)
+            marks.update(w for own, w in steps if own is not spaced)
+        if spaced is bare:
+            words |= marks
+        spaced.learn(words)
+        bare.learn(marks)
+        known = self.known
+        for p in pieces:
+            if p in cut:
+                known[p] = b"".join([own[w] for own, w in cut[p]])
+            else:
+                word = p.rstrip(_MARKS)
+                known[p] = spaced[word] + bare[p[len(word) :]] if len(word) < len(p) else spaced[word]
+
+    def _lines(self, piece: str) -> list[tuple[_Words, str]]:
+        out: list[tuple[_Words, str]] = []
+        for i, line in enumerate(piece.split("\n")):
+            own = self.bare if i else self.spaced
+            if i:
+                out.append((self.bare, "\n"))
+            word = line.rstrip(_MARKS)
+            if word.isalpha():
+                out.append((own, word))
+                if len(word) < len(line):
+                    out.append((self.bare, line[len(word) :]))
+            elif line and not (line[0].isspace() or line[-1].isspace()):
+                out.append((own, line))
+            else:  # an empty line or a blank at an edge: blanks join
+                return [(self.spaced, piece)]
+        return out
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -42,13 +106,20 @@ class PieceEncoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.known) > MOST_PIECES:
             self.known = dict(islice(self.known.items(), MOST_PIECES // 2))
-        return self._word_level(texts) if self.blanks_dropped else self._byte_level(texts)
+        gc.disable()  # nothing here is cyclic, and each pass would walk all pieces
+        try:
+            return self._word_level(texts) if self.blanks_dropped else self._byte_level(texts)
+        finally:
+            gc.enable()
+
+    def _unknown(self, parts: list[list[str]]) -> set[str]:
+        known = self.known
+        return {p for some in parts for p in some if p not in known}
 
     def _word_level(self, texts: Sequence[str]) -> list[bytes]:
         """Blanks end a token and are dropped: split at each space and line feed; other blanks stay inside a piece."""
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if new := set().union(*parts) - self.known.keys():
-            self._learn(list(new), "")
+        self._learn(self._unknown(parts))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -59,31 +130,29 @@ class PieceEncoder:
         longer runs of blanks; such a text is split only before single spaces, by a pattern.
         """
         parts = [t.split(" ") for t in texts]
-        new = set().union(*(p[1:] for p in parts)) - self.known.keys()
-        if new:
-            odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-            self._learn(list(new.difference(odd)), " ")
-            self.known.update(dict.fromkeys(odd))
+        firsts = [p.pop(0) for p in parts]
+        new = self._unknown(parts)
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        self._learn(new - odd)
+        self.known.update(dict.fromkeys(odd))
         get = self.known.__getitem__
         out = []
-        for t, p in zip(texts, parts, strict=True):
-            if len(p) > 1 and (not p[0] or p[0][-1].isspace()):
+        for t, first, p in zip(texts, firsts, parts, strict=True):
+            if p and (not first or first[-1].isspace()):
                 out.append(self._by_pattern(t))
                 continue
             try:
-                rest = b"".join(map(get, p[1:]))
+                rest = b"".join(map(get, p))
             except TypeError:  # a piece that is None
                 out.append(self._by_pattern(t))
             else:
-                out.append((self._plain(p[0]) if p[0] else b"") + rest)
+                out.append((self._plain(first) if first else b"") + rest)
         return out
 
     def _by_pattern(self, text: str) -> bytes:
         first, *rest = _SINGLE_BLANK.split(text)
-        new = {p[1:] for p in rest} - self.known.keys()
-        good = [p for p in new if not p[-1].isspace()]
-        if good:
-            self._learn(good, " ")
+        new = {p[1:] for p in rest if p[1:] not in self.known}
+        self._learn({p for p in new if not p[-1].isspace()})
         return self._plain(first) + b"".join(self._plain(p) if p[-1].isspace() else self.known[p[1:]] for p in rest)
 
 
