@@ -8,8 +8,9 @@ of a tile are candidates; bit counts of hashed bitmaps bound their overlap from
 intersecting the sorted shingle arrays.
 
 Candidates form stars, not all pairs: within a block of a task, then over all blocks, a part's documents are compared
-with its first one. Only where such a comparison fails and its ends stay in different components are the part's other
-pairs across components compared too, so components are exact.
+with its first one. Documents of parts where such a comparison fails and its ends stay in different components are joined
+once more by prefixes of their rarest shingles, which finds every other pair that can reach the threshold, so
+components are exact.
 """
 
 from __future__ import annotations
@@ -214,6 +215,30 @@ def _candidates(rows: DataFrame, shingle: int, tiles: Tiles, block: int) -> Data
     return saved(map_batches(dealt.sortWithinPartitions("key", "doc"), gather, _SCHEMA), "parts")
 
 
+def _merged(rows: DataFrame, fill, merge, dtype, length: int, chunk: int = 1 << 14) -> np.ndarray:
+    """One vector over all of ``rows``: ``fill(batches)`` makes a task's, ``merge`` combines two. Chunks are merged on the cluster; only the whole comes to the driver."""
+
+    def cut(batches):
+        own = fill(batches)
+        some = [i for i in range(0, length, chunk) if own[i : i + chunk].any()]
+        yield {"at": pa.array(some, pa.int64()), "part": pa.array([own[i : i + chunk].tobytes() for i in some], pa.binary())}
+
+    def combine(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b["at"].to_pylist(), b["part"].to_pylist(), strict=True):
+                v = np.frombuffer(x, dtype)
+                parts[i] = merge(parts[i], v) if i in parts else v
+        yield {"at": pa.array(list(parts), pa.int64()), "part": pa.array([v.tobytes() for v in parts.values()], pa.binary())}
+
+    schema = "at long, part binary"
+    out = np.zeros(length, dtype)
+    for r in map_batches(map_batches(rows, cut, schema).repartition("at"), combine, schema).collect():
+        v = np.frombuffer(r["part"], dtype)
+        out[r["at"] : r["at"] + len(v)] = v
+    return out
+
+
 def _bloom(ids: DataFrame, count: int):
     """A bit per hashed id, broadcast: 8 bits an id, 32 MB at most; beyond that it passes more, never less."""
     bits = min(28, max(16, int(8 * count).bit_length()))
@@ -222,12 +247,9 @@ def _bloom(ids: DataFrame, count: int):
         out = np.zeros(1 << bits, bool)
         for b in batches:
             out[_slot(b["doc"].to_numpy(), bits)] = True
-        yield {"bits": pa.array([np.packbits(out).tobytes()], pa.binary())}
+        return np.packbits(out)
 
-    total = np.zeros(1 << (bits - 3), np.uint8)
-    for r in map_batches(ids.select("doc").coalesce(8), fill, "bits binary").toLocalIterator():
-        total |= np.frombuffer(r["bits"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(total), bits
+    return ids.sparkSession.sparkContext.broadcast(_merged(ids.select("doc"), fill, np.bitwise_or, np.uint8, 1 << (bits - 3))), bits
 
 
 def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -293,6 +315,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return map_batches(beside(near, "shingles"), exact, "a long, b long")
 
 
+_COUNTERS = 20
+
+
+def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) across components that can reach the threshold, from rows (doc, n, shingles, component).
+
+    Shingles are ordered by how many of these documents have them (hashed counters, so about) and by hash. Sets that
+    reach the threshold share a shingle among the first n - ceil(threshold x n) + 1 of each; what comes before the first
+    shared one is in one set only, which bounds the overlap. Texts that share a body but differ in more places
+    than the threshold allows thus never meet: their rarest shingles, their own, fill the prefix.
+    """
+
+    def slots(s: np.ndarray) -> np.ndarray:
+        return (s >> _U(64 - _COUNTERS)).astype(np.int64)
+
+    def count(batches):
+        out = np.zeros(1 << _COUNTERS, np.int32)
+        for b in batches:
+            for x in b["shingles"].to_pylist():
+                np.add.at(out, slots(np.frombuffer(x, "<u8")), 1)
+        return out
+
+    counts = rows.sparkSession.sparkContext.broadcast(_merged(rows.select("shingles"), count, np.add, np.int32, 1 << _COUNTERS))
+
+    def prefixes(batches):
+        for b in batches:
+            cols = [[], [], []]
+            sizes = []
+            for i, x in enumerate(b["shingles"].to_pylist()):
+                s = np.frombuffer(x, "<u8")
+                first = len(s) - -(-num * len(s) // den) + 1
+                cols[0].append(s[np.lexsort((s, counts.value[slots(s)]))[:first]])
+                cols[1].append(np.arange(first, dtype=np.int32))
+                cols[2].append(np.full(first, i))
+                sizes.append(first)
+            if sizes:
+                at = pa.array(np.concatenate(cols[2]))
+                yield {"token": pa.array(np.concatenate(cols[0]).view(np.int64)), "place": pa.array(np.concatenate(cols[1]))} | {c: b[c].take(at) for c in ("doc", "n", "component")}
+
+    tokens = saved(map_batches(rows.select("doc", "n", "component", "shingles"), prefixes, "token long, place int, doc long, n int, component long"), "prefixes")
+    x, y = tokens.alias("x"), tokens.alias("y")
+    reach = (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")).cast("long") * (num + den)) >= (F.col("x.n") + F.col("y.n")).cast("long") * num
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & reach
+    return x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", block: int = 1 << 21) -> DataFrame:
     """key, n_shingles, component_id of every row: documents link when their shingle sets' Jaccard index is num / den or more.
 
@@ -322,18 +390,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     links = saved(_verified(pairs, sets, num, den).unionByName(own), "links")
     parts = connected_components(links, "links-cc")
 
-    # parts whose documents are still in different components
+    # documents of parts whose ends are still in different components: a link not yet found has both its ends among them
     named = saved(ids.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")), "named")
     ends = members.join(named.select(F.col("doc").alias("hub"), F.col("component").alias("_hub")), "hub").join(named.withColumnRenamed("component", "_doc"), "doc")
     open_parts = ends.filter("_hub <> _doc").select("key").distinct()
-    of_open = members.join(open_parts, "key", "left_semi")
-    inside = saved(
-        of_open.select("key", F.explode(F.array("hub", "doc")).alias("doc")).distinct().join(named, "doc"),
-        "open",
-    )
-    left = inside.select("key", F.col("doc").alias("a"), F.col("component").alias("_a"))
-    right = inside.select("key", F.col("doc").alias("b"), F.col("component").alias("_b"))
-    more = left.join(right, "key").filter("a < b and _a <> _b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    of_open = members.join(open_parts, "key", "left_semi").select(F.explode(F.array("hub", "doc")).alias("doc")).distinct()
+    inside = saved(sets.select("doc", "n", "shingles").join(named.join(of_open, "doc", "left_semi"), "doc"), "open")
+    more = _prefix_pairs(inside, num, den).join(pairs, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(saved(more, "more"), sets, num, den))
     parts = connected_components(links, "all-cc").select(F.col("node").alias("rep"), "component")
 
