@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from loomline.operators import aggregates, filters, joins, ordering, replay, scoring, textual, writes  # noqa: F401
+from loomline.streaming import queries as streaming_queries  # noqa: F401
+
+from .registry import ORACLES, QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity linking, then the distribution of difficulty tiers."""
+    return QUERIES["tier_distribution"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
