@@ -7,12 +7,13 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Blanks of the canonical hash: ASCII only, so a no-break space stays.
 ASCII_BLANKS = r"\s+"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfc(texts: pa.Array) -> pa.Array:
     """Unicode NFC; the built-in functions have none. ASCII texts are passed on as they are."""
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
