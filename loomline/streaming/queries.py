@@ -1 +1,142 @@
+"""Stateful operators over events in time order, and a stream read to its end."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from loomline.plans.registry import load, query
+
+from . import processors, state
+
+
+def _millis(column: str = "ts"):
+    return F.unix_millis(F.col(column).cast("timestamp"))
+
+
+@query("stream_ingest", "SELECT event_id, user_id, event_type FROM events WHERE user_id % 10 <> 3")
+def stream_ingest(spark, d):
+    """The events file read as a stream to its end, terminal users skipped, appended once."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomline-')}"
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = load(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d).filter("user_id % 10 <> 3")
+    processors.ingest(stream, f"{base}/out", f"{base}/checkpoint", ["event_id"]).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "event_type")
+
+
+@query(
+    "tenant_daily_charge",
+    """SELECT event_id, sum(calls) OVER w <= 20 AS accepted FROM (SELECT *, 1 + event_id % 3 AS calls, strftime(ts, '%Y-%m-%d') AS day FROM events) WINDOW w AS (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def tenant_daily_charge(spark, d):
+    """A charge stands when the day's running total, refused charges included, stays within the limit. A window holds one tenant's day."""
+    e = load(spark, d, "events").select("event_id", "user_id", "ts", (1 + F.col("event_id") % 3).alias("calls"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.select("event_id", (F.sum("calls").over(w) <= 20).alias("accepted"))
+
+
+_RESERVE_SQL = "r AS (SELECT *, row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS k FROM events)"
+
+
+def reserved(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """``reserved``: among the first ``limit`` of its key and day. A refused reservation is rolled back, so ranks decide."""
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    return df.withColumn("reserved", F.row_number().over(Window.partitionBy(key, day).orderBy("ts", "event_id")) <= limit)
+
+
+@query("quota_reserve", f"WITH {_RESERVE_SQL} SELECT event_id, k <= 10 AS reserved FROM r")
+def quota_reserve(spark, d):
+    return reserved(load(spark, d, "events"), "event_type", 10).select("event_id", "reserved")
+
+
+@query("quota_allocate", f"WITH {_RESERVE_SQL} SELECT event_id, CASE WHEN event_type = 'purchase' AND k <= 5 THEN 'upper' ELSE 'base' END AS model, event_type = 'purchase' AND k > 5 AS downgraded FROM r")
+def quota_allocate(spark, d):
+    """Hard rows (purchases) take the upper model while it has quota for the day, else the base one."""
+    rows = reserved(load(spark, d, "events"), "event_type", 5)
+    hard = F.col("event_type") == "purchase"
+    return rows.select("event_id", F.when(hard & F.col("reserved"), "upper").otherwise("base").alias("model"), (hard & ~F.col("reserved")).alias("downgraded"))
+
+
+@query(
+    "quality_promotion",
+    "SELECT event_id, CASE WHEN value < 20 AND user_id % 4 <> 0 THEN round(value * 2, 6) ELSE value END AS value, value < 20 AS retried FROM events",
+)
+def quality_promotion(spark, d):
+    """A rejected result (value under 20) is tried once more by the upper model; where that fails (every fourth user) the first stays."""
+    again = F.when((F.col("value") < 20) & (F.col("user_id") % 4 != 0), F.round(F.col("value") * 2, 6))
+    return load(spark, d, "events").select("event_id", F.coalesce(again, F.col("value")).alias("value"), (F.col("value") < 20).alias("retried"))
+
+
+_LIMITS = state.RateLimits()
+
+
+def _bucket_step(s: dict, row: dict) -> tuple[dict, dict]:
+    s, granted, wait = state.acquire(s, row["ms"], _LIMITS)
+    if granted:
+        s, _ = state.feedback(s, row["ms"], row["event_type"] == "error", 0, _LIMITS)
+    return s, {"event_id": row["event_id"], "granted": granted, "wait_ms": int(wait), "rpm": float(s["rpm"])}
+
+
+@query("token_bucket")
+def token_bucket(spark, d):
+    """Adaptive token bucket per user over events compressed in time (a day to 40 s); errors throttle, others feed the increase."""
+    e = load(spark, d, "events").select("event_id", "user_id", "event_type", F.floor(_millis() / 2160).alias("ms"))
+    return state.ordered_fold(e, "user_id", ["ms", "event_id"], _bucket_step, "event_id long, granted boolean, wait_ms long, rpm double")
+
+
+def _sliding_step(s: dict, row: dict) -> tuple[dict, dict]:
+    s, said = state.sliding_admission(s, row["ms"], 3, 40)
+    return s, {"event_id": row["event_id"], "admitted": said}
+
+
+@query("sliding_admission")
+def sliding_admission(spark, d):
+    e = load(spark, d, "events").select("event_id", "event_type", F.floor(_millis() / 100).alias("ms"))
+    return state.ordered_fold(e, "event_type", ["ms", "event_id"], _sliding_step, "event_id long, admitted string")
+
+
+def _breaker_step(s: dict, row: dict) -> tuple[dict, dict]:
+    failed = None if row["event_type"] == "signup" else row["event_type"] in ("error", "click", "purchase")
+    s, said = state.breaker(s, row["ms"], failed)
+    return s, {"event_id": row["event_id"], "circuit": said}
+
+
+@query("circuit_breaker")
+def circuit_breaker(spark, d):
+    e = load(spark, d, "events").select("event_id", "user_id", "event_type", F.floor(_millis() / 1000).alias("ms"))
+    return state.ordered_fold(e, "user_id", ["ms", "event_id"], _breaker_step, "event_id long, circuit string")
+
+
+@query(
+    "ttl_cache",
+    """WITH p AS (SELECT user_id, ts AS stored_at FROM events WHERE event_type = 'purchase') SELECT e.event_id, EXISTS (SELECT 1 FROM p WHERE p.user_id = e.user_id AND p.stored_at < e.ts AND p.stored_at > e.ts - INTERVAL 3 DAY) AS hit FROM events e WHERE event_type = 'view'""",
+)
+def ttl_cache(spark, d):
+    """A view hits if its user's latest purchase before it is under three days old: one ordered pass per user and no range join."""
+    e = load(spark, d, "events")
+    ms = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = e.withColumn("us", ms)
+    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("event_type") == "purchase", F.col("us"))).over(w)
+    rows = rows.withColumn("last", last).filter("event_type = 'view'")
+    return rows.select("event_id", F.coalesce(F.col("last") > F.col("us") - 3 * 86_400_000_000, F.lit(False)).alias("hit"))
+
+
+@query(
+    "batch_pump",
+    """WITH o AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS flying FROM orders GROUP BY 1),
+    k AS (SELECT *, greatest(0, least(3 - flying, total - done - flying, 8 - done - flying)) AS k FROM o), j AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+    SELECT o_custkey, o_orderkey FROM j JOIN k USING (o_custkey) WHERE pos >= done + flying AND pos < done + flying + k""",
+)
+def batch_pump(spark, d):
+    """Next jobs of each batch: from its cursor, as many as the window of three, the rest of the batch and the budget of eight allow."""
+    o = load(spark, d, "orders")
+    sums = o.groupBy("o_custkey").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") == "P").alias("flying"))
+    at = F.col("done") + F.col("flying")
+    k = F.greatest(F.lit(0), F.least(3 - F.col("flying"), F.col("total") - at, 8 - at))
+    jobs = o.select("o_custkey", "o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("pos"))
+    return jobs.join(sums, "o_custkey").filter((F.col("pos") >= at) & (F.col("pos") < at + k)).select("o_custkey", "o_orderkey")
