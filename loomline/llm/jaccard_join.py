@@ -315,7 +315,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return map_batches(beside(near, "shingles"), exact, "a long, b long")
 
 
-_COUNTERS = 20
+_COUNTERS = 18
 
 
 def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -324,7 +324,9 @@ def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     Shingles are ordered by how many of these documents have them (hashed counters, so about) and by hash. Sets that
     reach the threshold share a shingle among the first n - ceil(threshold x n) + 1 of each; what comes before the first
     shared one is in one set only, which bounds the overlap. Texts that share a body but differ in more places
-    than the threshold allows thus never meet: their rarest shingles, their own, fill the prefix.
+    than the threshold allows thus seldom meet: their rarest shingles, their own, fill the prefix. Where they do, a
+    bitmap of each set's rare shingles bounds the overlap too: rareness is the shingle's, the same for all sets, so
+    each bit that differs stands for a shingle in just one of them.
     """
 
     def slots(s: np.ndarray) -> np.ndarray:
@@ -337,26 +339,35 @@ def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
                 np.add.at(out, slots(np.frombuffer(x, "<u8")), 1)
         return out
 
-    counts = rows.sparkSession.sparkContext.broadcast(_merged(rows.select("shingles"), count, np.add, np.int32, 1 << _COUNTERS))
+    counted = _merged(rows.select("shingles"), count, np.add, np.int32, 1 << _COUNTERS)
+    mean = float(counted.mean())
+    counts, rare = rows.sparkSession.sparkContext.broadcast(counted), mean + 5 * math.sqrt(mean) + 2
 
     def prefixes(batches):
         for b in batches:
             cols = [[], [], []]
-            sizes = []
+            sizes, bits = [], np.zeros((len(b["doc"]), 4), _U)
             for i, x in enumerate(b["shingles"].to_pylist()):
                 s = np.frombuffer(x, "<u8")
                 first = len(s) - -(-num * len(s) // den) + 1
-                cols[0].append(s[np.lexsort((s, counts.value[slots(s)]))[:first]])
+                seen = counts.value[slots(s)]
+                few = s[seen <= rare]
+                np.bitwise_or.at(bits[i], ((few >> _U(6)) & _U(3)).astype(np.int64), _U(1) << (few & _U(63)))
+                cols[0].append(s[np.lexsort((s, seen))[:first]])
                 cols[1].append(np.arange(first, dtype=np.int32))
                 cols[2].append(np.full(first, i))
                 sizes.append(first)
             if sizes:
                 at = pa.array(np.concatenate(cols[2]))
-                yield {"token": pa.array(np.concatenate(cols[0]).view(np.int64)), "place": pa.array(np.concatenate(cols[1]))} | {c: b[c].take(at) for c in ("doc", "n", "component")}
+                words = {f"bits{k}": pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)).take(at) for k in range(4)}
+                yield {"token": pa.array(np.concatenate(cols[0]).view(np.int64)), "place": pa.array(np.concatenate(cols[1]))} | {c: b[c].take(at) for c in ("doc", "n", "component")} | words
 
-    tokens = saved(map_batches(rows.select("doc", "n", "component", "shingles"), prefixes, "token long, place int, doc long, n int, component long"), "prefixes")
+    schema = "token long, place int, doc long, n int, component long, bits0 long, bits1 long, bits2 long, bits3 long"
+    tokens = saved(map_batches(rows.select("doc", "n", "component", "shingles"), prefixes, schema), "prefixes")
     x, y = tokens.alias("x"), tokens.alias("y")
     reach = (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")).cast("long") * (num + den)) >= (F.col("x.n") + F.col("y.n")).cast("long") * num
+    differ = sum((F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in range(4)), F.lit(0))
+    reach &= differ.cast("long") * (den + num) <= (F.col("x.n") + F.col("y.n")).cast("long") * (den - num)
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & reach
     return x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
@@ -382,8 +393,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     classes = saved(thin.filter("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("size")), "classes")
     total = classes.agg(F.sum("size").alias("n")).first()["n"] or 0
 
-    pairs = saved(members.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct(), "pairs")
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+    # each document is compared with the hub it shares most parts with; what that leaves open comes after
+    shared = members.groupBy("hub", "doc").agg(F.count("*").alias("k"))
+    best = shared.groupBy("doc").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
+    pairs = saved(best.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct(), "pairs")
+    ids = saved(shared.select(F.explode(F.array("hub", "doc")).alias("doc")).distinct(), "ids")
     reps = saved(attach_by_key(thin.join(ids, "doc", "left_semi"), classes, "digest", "size", total).select("doc", "rep"), "reps")
     own = reps.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     sets = _set_table(rows, ids, shingle)
