@@ -120,7 +120,8 @@ RETRY_MOST_MS = 300_000
 
 def retry_hint_ms(message: Column) -> Column:
     found = F.coalesce(*[F.when(message.rlike(p), F.regexp_extract(message, p, 1)) for p in RETRY_PATTERNS])
-    return F.least(F.round(found.cast("double") * 1000).cast("long"), F.lit(RETRY_MOST_MS).cast("long"))
+    wait = F.round(found.cast("double") * 1000).cast("long")
+    return F.when(wait > RETRY_MOST_MS, F.lit(RETRY_MOST_MS).cast("long")).otherwise(wait)
 
 
 def failure_outcome(cls: Column, delivery: Column) -> Column:

@@ -184,7 +184,7 @@ def error_classify(spark, d):
 
 @query(
     "retry_hint",
-    f"""WITH {_FAILED_SQL} SELECT event_id, least(CAST(round(TRY_CAST(coalesce(nullif(regexp_extract(m, 'retry\\s+in\\s+([0-9]+(\\.[0-9]+)?)\\s*s', 1), ''), nullif(regexp_extract(m, 'retry[_-]?delay"?\\s*[:=]\\s*"?([0-9]+(\\.[0-9]+)?)\\s*s', 1), '')) AS DOUBLE) * 1000) AS BIGINT), 300000) AS hint_ms FROM c""",
+    f"""WITH {_FAILED_SQL} SELECT event_id, CASE WHEN ms > 300000 THEN 300000 ELSE ms END AS hint_ms FROM (SELECT event_id, CAST(round(TRY_CAST(coalesce(nullif(regexp_extract(m, 'retry\\s+in\\s+([0-9]+(\\.[0-9]+)?)\\s*s', 1), ''), nullif(regexp_extract(m, 'retry[_-]?delay"?\\s*[:=]\\s*"?([0-9]+(\\.[0-9]+)?)\\s*s', 1), '')) AS DOUBLE) * 1000) AS BIGINT) AS ms FROM c)""",
 )
 def retry_hint(spark, d):
     return failures(spark, d).select("event_id", routing.retry_hint_ms(F.col("message")).alias("hint_ms"))
@@ -201,7 +201,7 @@ _HTTP_SQL = ", ".join(f"('{c}', {s}, '{k}', {str(r).lower()})" for c, (s, k, r)
 @query(
     "error_http_map",
     f"""WITH {_FAILED_SQL}, h AS (SELECT * FROM (VALUES {_HTTP_SQL}) t(class, status, code, retry)), r AS (SELECT event_id, TRY_CAST(coalesce(nullif(regexp_extract(m, 'retry in ([0-9.]+)s', 1), ''), nullif(regexp_extract(m, 'retrydelay: ([0-9.]+)s', 1), '')) AS DOUBLE) AS s FROM c)
-    SELECT event_id, status, code, CASE WHEN retry THEN greatest(1, CAST(ceil(coalesce(least(s, 300), 60)) AS BIGINT)) END AS retry_after FROM c JOIN h USING (class) JOIN r USING (event_id)""",
+    SELECT event_id, status, code, CASE WHEN retry THEN greatest(1, CAST(ceil(coalesce(CASE WHEN s > 300 THEN 300 ELSE s END, 60)) AS BIGINT)) END AS retry_after FROM c JOIN h USING (class) JOIN r USING (event_id)""",
 )
 def error_http_map(spark, d):
     """Status, code and, where a retry makes sense, seconds to wait: the hint rounded up, a minute without one."""
