@@ -149,7 +149,7 @@ def diversity_metrics(spark, d):
 
 @query(
     "fewshot_select",
-    """WITH pool AS (SELECT doc_id, lang AS pat, CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 2000 THEN 1 ELSE 2 END AS len FROM documents WHERE doc_id < 400), q AS (SELECT doc_id AS q, lang AS qpat, CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 2000 THEN 1 ELSE 2 END AS qlen FROM documents WHERE doc_id BETWEEN 400 AND 499),
+    """WITH pool AS (SELECT doc_id, lang AS pat, CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 2000 THEN 1 ELSE 2 END AS len FROM documents), q AS (SELECT doc_id AS q, lang AS qpat, CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 2000 THEN 1 ELSE 2 END AS qlen FROM documents WHERE doc_id % 50 = 0),
     anchor AS (SELECT q, doc_id, 0 AS step, qpat AS pat FROM q JOIN pool ON pat = qpat QUALIFY row_number() OVER (PARTITION BY q ORDER BY abs(len - qlen), doc_id) = 1),
     other AS (SELECT q, doc_id, 1 AS step, pat FROM q JOIN (SELECT pat, min(doc_id) AS doc_id FROM pool GROUP BY pat) f ON f.pat <> q.qpat) SELECT q, doc_id, step, pat FROM anchor UNION ALL SELECT q, doc_id, step, pat FROM other""",
 )
@@ -160,8 +160,8 @@ def fewshot_select(spark, d):
     """
     size = F.when(F.col("n_chars") < 500, 0).when(F.col("n_chars") < 2000, 1).otherwise(2)
     docs = load(spark, d, "documents").select("doc_id", F.col("lang").alias("pat"), size.alias("len"))
-    firsts = docs.filter("doc_id < 400").groupBy("pat", "len").agg(F.min("doc_id").alias("doc_id"))
-    q = docs.filter("doc_id BETWEEN 400 AND 499").select(F.col("doc_id").alias("q"), F.col("pat").alias("qpat"), F.col("len").alias("qlen"))
+    firsts = docs.groupBy("pat", "len").agg(F.min("doc_id").alias("doc_id"))
+    q = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("q"), F.col("pat").alias("qpat"), F.col("len").alias("qlen"))
     near = F.min(F.struct(F.abs(F.col("len") - F.col("qlen")).alias("far"), "doc_id"))
     anchor = q.join(F.broadcast(firsts), F.col("pat") == F.col("qpat")).groupBy("q", "pat").agg(near.alias("m")).select("q", "m.doc_id", F.lit(0).alias("step"), "pat")
     each = firsts.groupBy("pat").agg(F.min("doc_id").alias("doc_id")).agg(F.collect_list(F.struct("pat", "doc_id")).alias("all"))

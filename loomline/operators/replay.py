@@ -230,11 +230,11 @@ def replay(items: DataFrame) -> DataFrame:
 def cache_items(spark, d) -> DataFrame:
     docs = load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left")
     grade = F.when(F.col("toxic") == 1, "REJECTED").when(F.col("quality") == 0, "DEGRADED").otherwise("VERIFIED")
-    masked = F.md5(F.regexp_replace(F.substring("text", 1, 12), "[0-9A-Z]+", "#"))
+    masked = F.md5(F.regexp_replace("text", "[0-9A-Z]+", "#"))
     return docs.select(F.col("doc_id").alias("pos"), F.md5("text").alias("l1_key"), F.when(F.length("text") % 2 == 0, masked).alias("template_hash"), grade.alias("grade"), (F.col("doc_id") % 5 != 0).alias("stores"))
 
 
-_ITEMS_SQL = f"""items AS (SELECT doc_id AS pos, md5(text) AS k, CASE WHEN length(text) % 2 = 0 THEN md5(regexp_replace(substr(text, 1, 12), '[0-9A-Z]+', '#', 'g')) END AS th, coalesce({GRADE_SQL}, 'VERIFIED') AS grade, doc_id % 5 <> 0 AS stores FROM documents LEFT JOIN labels USING (doc_id)),
+_ITEMS_SQL = f"""items AS (SELECT doc_id AS pos, md5(text) AS k, CASE WHEN length(text) % 2 = 0 THEN md5(regexp_replace(text, '[0-9A-Z]+', '#', 'g')) END AS th, coalesce({GRADE_SQL}, 'VERIFIED') AS grade, doc_id % 5 <> 0 AS stores FROM documents LEFT JOIN labels USING (doc_id)),
 r AS (SELECT *, min(pos) FILTER (grade <> 'REJECTED') OVER (PARTITION BY k) AS a FROM items), r1 AS (SELECT *, coalesce(pos > a, false) AS hit FROM r),
 r2 AS (SELECT *, min(pos) FILTER (th IS NOT NULL AND NOT hit AND stores AND grade = 'VERIFIED') OVER (PARTITION BY th) AS p0 FROM r1), r3 AS (SELECT *, CASE WHEN th IS NOT NULL THEN p0 END AS p FROM r2),
 o AS (SELECT *, CASE WHEN coalesce(pos > p, false) AND coalesce(a <= p, false) THEN 'L1' WHEN coalesce(pos > p, false) THEN 'L2' WHEN hit THEN 'L1' ELSE 'LLM' END AS outcome FROM r3)"""

@@ -80,11 +80,11 @@ def pattern_bucket(spark, d):
 
 @query(
     "clean_text",
-    """SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('○ ' || substr(text, 1, 40) || ' (x王y)  ○<thought>a b</thought>z', '(?s)<thought>.*?</thought>', '', 'g'), '^\\s*○\\s*', ''), '○', ' ', 'g')) AS light,
-    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('○ ' || substr(text, 1, 40) || ' (x王y)  ○<thought>a b</thought>z', '(?s)<thought>.*?</thought>', '', 'g'), '^\\s*○\\s*', ''), '○', ' ', 'g'), '\\([^)]*[一-鿿][^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) AS deep FROM documents""",
+    """SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('○ ' || text || ' (x王y)  ○<thought>a b</thought>z', '(?s)<thought>.*?</thought>', '', 'g'), '^\\s*○\\s*', ''), '○', ' ', 'g')) AS light,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('○ ' || text || ' (x王y)  ○<thought>a b</thought>z', '(?s)<thought>.*?</thought>', '', 'g'), '^\\s*○\\s*', ''), '○', ' ', 'g'), '\\([^)]*[一-鿿][^)]*\\)', '', 'g'), '\\s+', ' ', 'g')) AS deep FROM documents""",
 )
 def clean_text(spark, d):
-    raw = F.concat(F.lit("○ "), F.substring("text", 1, 40), F.lit(" (x王y)  ○<thought>a b</thought>z"))
+    raw = F.concat(F.lit("○ "), F.col("text"), F.lit(" (x王y)  ○<thought>a b</thought>z"))
     return load(spark, d, "documents").select("doc_id", T.clean_output(raw).alias("light"), T.clean_output(raw, deep=True).alias("deep"))
 
 
