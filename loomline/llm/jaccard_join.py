@@ -318,8 +318,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 _COUNTERS = 18
 
 
-def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) across components that can reach the threshold, from rows (doc, n, shingles, component).
+def _prefix_tokens(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Saved (token, place, doc, n, bitmap) of each document's prefix, from rows (doc, n, shingles).
 
     Shingles are ordered by how many of these documents have them (hashed counters, so about) and by hash. Sets that
     reach the threshold share a shingle among the first n - ceil(threshold x n) + 1 of each; what comes before the first
@@ -360,18 +360,51 @@ def _prefix_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
             if sizes:
                 at = pa.array(np.concatenate(cols[2]))
                 words = {f"bits{k}": pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)).take(at) for k in range(4)}
-                yield {"token": pa.array(np.concatenate(cols[0]).view(np.int64)), "place": pa.array(np.concatenate(cols[1]))} | {c: b[c].take(at) for c in ("doc", "n", "component")} | words
-
-    schema = "token long, place int, doc long, n int, component long, bits0 long, bits1 long, bits2 long, bits3 long"
-    tokens = saved(map_batches(rows.select("doc", "n", "component", "shingles"), prefixes, schema), "prefixes")
-    x, y = tokens.alias("x"), tokens.alias("y")
-    reach = (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")).cast("long") * (num + den)) >= (F.col("x.n") + F.col("y.n")).cast("long") * num
-    differ = sum((F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in range(4)), F.lit(0))
-    reach &= differ.cast("long") * (den + num) <= (F.col("x.n") + F.col("y.n")).cast("long") * (den - num)
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component")) & reach
+                yield {"token": pa.array(np.concatenate(cols[0]).view(np.int64)), "place": pa.array(np.concatenate(cols[1]))} | {c: b[c].take(at) for c in ("doc", "n")} | words
+
+    schema = "token long, place int, doc long, n int, bits0 long, bits1 long, bits2 long, bits3 long"
+    return saved(map_batches(rows.select("doc", "n", "shingles"), prefixes, schema), "prefixes")
+
+
+def _can_reach(num: int, den: int):
+    """Whether prefix rows x and y of one token can belong to a link: by what stands before the token in each, and by the bitmaps."""
+    ahead = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")).cast("long")
+    both = (F.col("x.n") + F.col("y.n")).cast("long")
+    differ = sum((F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in range(4)), F.lit(0)).cast("long")
+    return (F.col("x.component") != F.col("y.component")) & (ahead * (num + den) >= both * num) & (differ * (den + num) <= both * (den - num))
+
+
+def _star_pairs(tokens: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of each token's first document with its others, where they can link."""
+    rows = tokens.join(named, "doc")
+    hubs = rows.groupBy("token").agg(F.min(F.struct("doc", *[c for c in rows.columns if c not in ("token", "doc")])).alias("h")).select("token", "h.*")
+    x, y = hubs.alias("x"), rows.alias("y")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & _can_reach(num, den)
+    return x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+
+
+def _prefix_pairs(tokens: DataFrame, named: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) across components that share a prefix token and can link."""
+    rows = tokens.join(named, "doc")
+    x, y = rows.alias("x"), rows.alias("y")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & _can_reach(num, den)
     return x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    a, b = named.toDF("a", "_a"), named.toDF("b", "_b")
+    return saved(pairs.join(a, "a").join(b, "b").filter("_a <> _b").select("a", "b"), "apart")
+
+
+def _merge_components(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` (doc, component) after the components that ``links`` (a, b) join became one, under their smallest name."""
+    a, b = named.toDF("a", "_a"), named.toDF("b", "_b")
+    edges = links.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    merged = connected_components(edges, "components").toDF("component", "_to")
+    return saved(named.join(merged, "component", "left").select("doc", F.coalesce("_to", "component").alias("component")), "named")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", block: int = 1 << 21) -> DataFrame:
     """key, n_shingles, component_id of every row: documents link when their shingle sets' Jaccard index is num / den or more.
 
@@ -393,28 +426,36 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     classes = saved(thin.filter("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("size")), "classes")
     total = classes.agg(F.sum("size").alias("n")).first()["n"] or 0
 
-    # each document is compared with the hub it shares most parts with; what that leaves open comes after
-    shared = members.groupBy("hub", "doc").agg(F.count("*").alias("k"))
-    best = shared.groupBy("doc").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
-    pairs = saved(best.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct(), "pairs")
-    ids = saved(shared.select(F.explode(F.array("hub", "doc")).alias("doc")).distinct(), "ids")
+    shared = saved(members.groupBy(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).agg(F.count("*").alias("k")), "pairs")
+    ids = saved(shared.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
     reps = saved(attach_by_key(thin.join(ids, "doc", "left_semi"), classes, "digest", "size", total).select("doc", "rep"), "reps")
-    own = reps.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    named = reps.select("doc", F.col("rep").alias("component")).unionByName(reps.select(F.col("rep").alias("doc"), F.col("rep").alias("component"))).groupBy("doc").agg(F.min("component").alias("component"))
+    named = saved(named, "named")
+    if reps.groupBy("doc").count().filter("count > 1").limit(1).count():  # a key with several texts joins their classes
+        named = _merge_components(named, reps.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
     sets = _set_table(rows, ids, shingle)
-    links = saved(_verified(pairs, sets, num, den).unionByName(own), "links")
-    parts = connected_components(links, "links-cc")
+
+    # each document is first compared with the document it shares most parts with, then with those still apart
+    ends = shared.select("k", F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("b").alias("to")), F.struct(F.col("b").alias("doc"), F.col("a").alias("to")))).alias("e")).select("k", "e.*")
+    best = ends.groupBy("doc").agg(F.max_by("to", F.struct("k", -F.col("to"))).alias("to"))
+    first = saved(best.select(F.least("doc", "to").alias("a"), F.greatest("doc", "to").alias("b")).distinct(), "first")
+    named = _merge_components(named, _verified(_apart(first, named), sets, num, den))
+    named = _merge_components(named, _verified(_apart(shared.select("a", "b"), named).join(first, ["a", "b"], "left_anti"), sets, num, den))
 
     # documents of parts whose ends are still in different components: a link not yet found has both its ends among them
-    named = saved(ids.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")), "named")
-    ends = members.join(named.select(F.col("doc").alias("hub"), F.col("component").alias("_hub")), "hub").join(named.withColumnRenamed("component", "_doc"), "doc")
-    open_parts = ends.filter("_hub <> _doc").select("key").distinct()
+    still = _apart(shared.select("a", "b"), named)
+    open_parts = members.select("key", F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).join(still, ["a", "b"], "left_semi").select("key").distinct()
     of_open = members.join(open_parts, "key", "left_semi").select(F.explode(F.array("hub", "doc")).alias("doc")).distinct()
-    inside = saved(sets.select("doc", "n", "shingles").join(named.join(of_open, "doc", "left_semi"), "doc"), "open")
-    more = _prefix_pairs(inside, num, den).join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(saved(more, "more"), sets, num, den))
-    parts = connected_components(links, "all-cc").select(F.col("node").alias("rep"), "component")
-
-    named_classes = classes.join(parts, "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component"))
+    inside = saved(sets.select("doc", "n", "shingles").join(of_open, "doc", "left_semi"), "open")
+    tokens = _prefix_tokens(inside, num, den)
+    star = saved(_star_pairs(tokens, named, num, den).join(still, ["a", "b"], "left_anti"), "star")
+    named = _merge_components(named, _verified(star, sets, num, den))
+    rest = _prefix_pairs(tokens, named, num, den).join(still, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
+    named = _merge_components(named, _verified(saved(rest, "rest"), sets, num, den))
+    parts = named.select(F.col("doc").alias("rep"), "component")
+
+    # a class's documents carry one name, that of its smallest
+    named_classes = classes.join(parts.select("rep", "component"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component"))
     linked = attach_by_key(thin.filter("digest is not null and doc is not null"), saved(named_classes, "components"), "digest", "size", total)
     alone = thin.filter("digest is null or doc is null").withColumn("component", F.col("doc"))
     return linked.select("doc", "n", "component").unionByName(alone.select("doc", "n", "component")).select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
