@@ -23,21 +23,51 @@ _SINGLE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 _MARKS = ".,!?;:"
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as a letter: itself if printable, else the next one from U+0100 on. By code point of Latin-1."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+#: Latin letters are in NFC and have simple lower cases, but for the dotted capital I; others take the tokenizer's whole way.
+_LATIN_END, _DOTTED = "\u0250", "\u0130"
+
+
 class _Words(dict):
-    """Ids of single words by text, each as it is encoded after ``prefix``."""
+    """Ids of single words by text, each as it is encoded after ``prefix``.
 
-    def __init__(self, tokenizer, prefix: str):
+    A word of Latin letters is one piece for the tokenizers' patterns, so it goes to the merges directly.
+    """
+
+    def __init__(self, tokenizer, prefix: str, lower: bool):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.prefix, self.lower, self.merge = tokenizer, prefix, lower, tokenizer.model.tokenize
+        self.start = prefix.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
     def learn(self, words: set[str]) -> None:
         if len(self) > MOST_WORDS:
             kept = dict(islice(self.items(), MOST_WORDS // 2))
             self.clear()
             self.update(kept)
-        if new := [w for w in words if w not in self]:
-            found = self.tokenizer.encode_batch_fast([self.prefix + w for w in new], add_special_tokens=False)
-            for w, e in zip(new, found, strict=True):
+        others = []
+        merge, start, lower = self.merge, self.start, self.lower
+        for w in words:
+            if w in self:
+                continue
+            if not (w.isalpha() and max(w) < _LATIN_END and _DOTTED not in w):
+                others.append(w)
+                continue
+            low = w.lower() if lower else w
+            found = self.get(low)
+            if found is None:
+                letters = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                self[low] = found = np.array([k.id for k in merge(start + letters)], "<u4").tobytes()
+            self[w] = found
+        if others:
+            encoded = self.tokenizer.encode_batch_fast([self.prefix + w for w in others], add_special_tokens=False)
+            for w, e in zip(others, encoded, strict=True):
                 self[w] = np.array(e.ids, "<u4").tobytes()
 
 
@@ -52,8 +82,8 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.blanks_dropped = blanks_dropped
         self.known: dict[str, bytes | None] = {}
-        self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ")
-        self.bare = self.spaced if blanks_dropped else _Words(self.tokenizer, "")
+        self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ", blanks_dropped)
+        self.bare = self.spaced if blanks_dropped else _Words(self.tokenizer, "", False)
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces that follow a space. A word and the marks after it are encoded apart, and so are lines."""
