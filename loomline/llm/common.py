@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,26 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables saved inside are deleted at the end, but for those whose paths are taken out of the list."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for path in _scopes.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 10000, size: str = "4m") -> None:
     """Bound an Arrow batch by bytes, as texts may be very long, and by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, connected_components, map_batches, saved, small_batches, texts_of
+from .common import attach_by_key, connected_components, discarding, map_batches, saved, small_batches, texts_of
 from .textvec import mix, shingle_sets
 
 _U = np.uint64
@@ -405,26 +405,10 @@ def _merge_components(named: DataFrame, links: DataFrame) -> DataFrame:
     return saved(named.join(merged, "component", "left").select("doc", F.coalesce("_to", "component").alias("component")), "named")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", block: int = 1 << 21) -> DataFrame:
-    """key, n_shingles, component_id of every row: documents link when their shingle sets' Jaccard index is num / den or more.
-
-    Words are runs between ASCII blanks, A-Z lower-cased; a text with fewer words than ``shingle`` has its whole sequence as
-    its only shingle; an empty or null text has none and links with nothing. component_id is the smallest key that links
-    reach; equal sets link whatever their size. Rows with a null key link with nothing and have a null component;
-    rows that repeat a key are one document, whose links are those of either text. An empty table gives an empty
-    result; extra columns are ignored.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    tiles = Tiles(num, den)
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
-    found = _candidates(rows, shingle, tiles, block)
-    members = found.filter("hub is not null").select("key", "hub", "doc")
-    thin = found.filter("n is not null").select("doc", "n", "digest")
-
+def _class_components(rows: DataFrame, members: DataFrame, thin: DataFrame, total: int, shingle: int, num: int, den: int) -> DataFrame:
+    """Saved (digest, size, component) of each class of equal sets. The last table saved is the result."""
     # equal sets are one class, known by its smallest document
     classes = saved(thin.filter("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("size")), "classes")
-    total = classes.agg(F.sum("size").alias("n")).first()["n"] or 0
 
     shared = saved(members.groupBy(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).agg(F.count("*").alias("k")), "pairs")
     ids = saved(shared.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
@@ -455,8 +439,32 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     parts = named.select(F.col("doc").alias("rep"), "component")
 
     # a class's documents carry one name, that of its smallest
-    named_classes = classes.join(parts.select("rep", "component"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component"))
-    linked = attach_by_key(thin.filter("digest is not null and doc is not null"), saved(named_classes, "components"), "digest", "size", total)
+    out = classes.join(parts, "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component"))
+    return saved(out, "components")
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", block: int = 1 << 21) -> DataFrame:
+    """key, n_shingles, component_id of every row: documents link when their shingle sets' Jaccard index is num / den or more.
+
+    Words are runs between ASCII blanks, A-Z lower-cased; a text with fewer words than ``shingle`` has its whole sequence as
+    its only shingle; an empty or null text has none and links with nothing. component_id is the smallest key that links
+    reach; equal sets link whatever their size. Rows with a null key link with nothing and have a null component;
+    rows that repeat a key are one document, whose links are those of either text. An empty table gives an empty
+    result; extra columns are ignored.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    tiles = Tiles(num, den)
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
+    found = _candidates(rows, shingle, tiles, block)
+    members = found.filter("hub is not null").select("key", "hub", "doc")
+    thin = found.filter("n is not null").select("doc", "n", "digest")
+
+    total = thin.filter("digest is not null and doc is not null").count()
+    with discarding(spark) as spent:  # only the classes' components are needed afterwards
+        named_classes = _class_components(rows, members, thin, total, shingle, num, den)
+        spent.pop()
+    linked = attach_by_key(thin.filter("digest is not null and doc is not null"), named_classes, "digest", "size", total)
     alone = thin.filter("digest is null or doc is null").withColumn("component", F.col("doc"))
     return linked.select("doc", "n", "component").unionByName(alone.select("doc", "n", "component")).select(F.col("doc").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
