@@ -51,7 +51,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], termi
         # a batch writes a folder of its own and overwrites it when replayed
         earlier = spark.read.option("recursiveFileLookup", True).schema(batch.schema).parquet(path) if batch_id else None
         if earlier is not None:
-            rows = rows.join(earlier.filter(F.col("_metadata.file_path").contains(f"batch={batch_id}/") == F.lit(False)).select(*keys), keys, "left_anti")
+            rows = rows.join(earlier.filter(~F.col("_metadata.file_path").contains(f"batch={batch_id}/")).select(*keys), keys, "left_anti")
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
