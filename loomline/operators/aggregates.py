@@ -341,7 +341,7 @@ def topk_per_group(spark, d):
 @query(
     "movers",
     """WITH a AS (SELECT user_id, round(avg(value), 6) AS va FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, round(avg(value), 6) AS vb FROM events WHERE event_type = 'click' GROUP BY 1),
-    m AS (SELECT user_id, round(vb - va, 5) AS delta FROM a JOIN b USING (user_id)) SELECT round(sum(delta), 4) AS total, round(avg(delta), 4) AS mean, count(*) FILTER (delta < 0) AS worse, count(*) FILTER (delta > 0) AS better, count(*) FILTER (delta = 0) AS same FROM m""",
+    m AS (SELECT user_id, round(vb - va, 6) AS delta FROM a JOIN b USING (user_id)) SELECT round(sum(delta), 4) AS total, round(avg(delta), 4) AS mean, count(*) FILTER (delta < 0) AS worse, count(*) FILTER (delta > 0) AS better, count(*) FILTER (delta = 0) AS same FROM m""",
 )
 def movers(spark, d):
     m = paired(spark, d).filter("delta is not null")

@@ -173,10 +173,10 @@ def paired(spark, d) -> DataFrame:
     e = load(spark, d, "events")
     a = e.filter("event_type = 'view'").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("va"))
     b = e.filter("event_type = 'click'").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("vb"))
-    return a.join(b, "user_id", "left").withColumn("delta", F.round(F.col("vb") - F.col("va"), 5))
+    return a.join(b, "user_id", "left").withColumn("delta", F.round(F.col("vb") - F.col("va"), 6))
 
 
-@query("paired_delta", f"WITH {_PAIRED_SQL} SELECT user_id, va, vb, round(vb - va, 5) AS delta FROM a LEFT JOIN b USING (user_id)")
+@query("paired_delta", f"WITH {_PAIRED_SQL} SELECT user_id, va, vb, round(vb - va, 6) AS delta FROM a LEFT JOIN b USING (user_id)")
 def paired_delta(spark, d):
     return paired(spark, d)
 

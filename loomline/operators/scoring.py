@@ -120,7 +120,7 @@ def round_spread(spark, d):
 @query(
     "noninferiority",
     f"""WITH {_MEDIAN_SQL}, t AS (SELECT max(chrf) - min(chrf) AS tc, max(recall) - min(recall) AS tr FROM r WHERE variant = '{CONTROL}'), b AS (SELECT chrf AS bc, recall AS br FROM m WHERE variant = '{CONTROL}'),
-    v AS (SELECT variant, round(chrf - bc, 5) AS d_chrf, round(recall - br, 5) AS d_recall, tokens, chrf - bc >= -tc AND recall - br >= -tr AS pass FROM m, t, b WHERE variant <> '{CONTROL}') SELECT variant, d_chrf, d_recall, pass, pass AND tokens = (SELECT min(tokens) FROM v WHERE pass) AS chosen FROM v""",
+    v AS (SELECT variant, round(chrf - bc, 6) AS d_chrf, round(recall - br, 6) AS d_recall, tokens, chrf - bc >= -tc AND recall - br >= -tr AS pass FROM m, t, b WHERE variant <> '{CONTROL}') SELECT variant, d_chrf, d_recall, pass, pass AND tokens = (SELECT min(tokens) FROM v WHERE pass) AS chosen FROM v""",
 )
 def noninferiority(spark, d):
     """A variant passes if no metric falls below the control by more than the tolerance; of those, the fewest tokens are chosen."""
@@ -128,17 +128,17 @@ def noninferiority(spark, d):
     base = m.filter(F.col("variant") == CONTROL).select(F.col("chrf").alias("bc"), F.col("recall").alias("br"))
     v = m.filter(F.col("variant") != CONTROL).join(F.broadcast(tol)).join(F.broadcast(base))
     ok = (F.col("chrf") - F.col("bc") >= -F.col("tc")) & (F.col("recall") - F.col("br") >= -F.col("tr"))
-    v = v.select("variant", F.round(F.col("chrf") - F.col("bc"), 5).alias("d_chrf"), F.round(F.col("recall") - F.col("br"), 5).alias("d_recall"), "tokens", ok.alias("pass"))
+    v = v.select("variant", F.round(F.col("chrf") - F.col("bc"), 6).alias("d_chrf"), F.round(F.col("recall") - F.col("br"), 6).alias("d_recall"), "tokens", ok.alias("pass"))
     least = v.agg(F.min(F.when(F.col("pass"), F.col("tokens"))).alias("least"))
     return v.join(F.broadcast(least)).select("variant", "d_chrf", "d_recall", "pass", F.coalesce(F.col("pass") & (F.col("tokens") == F.col("least")), F.lit(False)).alias("chosen"))
 
 
-@query("ab_compare", f"WITH {_MEDIAN_SQL} SELECT round(a.chrf - b.chrf, 5) AS d_chrf, round(a.recall - b.recall, 5) AS d_recall, round(100 * (a.tokens - b.tokens) / b.tokens, 4) AS d_tokens_pct FROM m a, m b WHERE a.variant = 'click' AND b.variant = '{CONTROL}'")
+@query("ab_compare", f"WITH {_MEDIAN_SQL} SELECT round(a.chrf - b.chrf, 6) AS d_chrf, round(a.recall - b.recall, 6) AS d_recall, round(100 * (a.tokens - b.tokens) / b.tokens, 4) AS d_tokens_pct FROM m a, m b WHERE a.variant = 'click' AND b.variant = '{CONTROL}'")
 def ab_compare(spark, d):
     m = medians(rounds(spark, d))
     pick = lambda c, v: F.max(F.when(F.col("variant") == v, F.col(c)))
     return m.agg(
-        F.round(pick("chrf", "click") - pick("chrf", CONTROL), 5).alias("d_chrf"),
-        F.round(pick("recall", "click") - pick("recall", CONTROL), 5).alias("d_recall"),
+        F.round(pick("chrf", "click") - pick("chrf", CONTROL), 6).alias("d_chrf"),
+        F.round(pick("recall", "click") - pick("recall", CONTROL), 6).alias("d_recall"),
         F.round(100 * (pick("tokens", "click") - pick("tokens", CONTROL)) / pick("tokens", CONTROL), 4).alias("d_tokens_pct"),
     )
