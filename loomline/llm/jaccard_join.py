@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, connected_components, discarding, map_batches, saved, small_batches, texts_of
+from .common import attach_by_key, connected_components, discarding, map_batches, release, saved, small_batches, texts_of
 from .textvec import mix, shingle_sets
 
 _U = np.uint64
@@ -402,7 +402,9 @@ def _merge_components(named: DataFrame, links: DataFrame) -> DataFrame:
     a, b = named.toDF("a", "_a"), named.toDF("b", "_b")
     edges = links.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     merged = connected_components(edges, "components").toDF("component", "_to")
-    return saved(named.join(merged, "component", "left").select("doc", F.coalesce("_to", "component").alias("component")), "named")
+    out = saved(named.join(merged, "component", "left").select("doc", F.coalesce("_to", "component").alias("component")), "named")
+    release(named.sparkSession)
+    return out
 
 
 def _class_components(rows: DataFrame, members: DataFrame, thin: DataFrame, total: int, shingle: int, num: int, den: int) -> DataFrame:
@@ -418,6 +420,7 @@ def _class_components(rows: DataFrame, members: DataFrame, thin: DataFrame, tota
     if reps.groupBy("doc").count().filter("count > 1").limit(1).count():  # a key with several texts joins their classes
         named = _merge_components(named, reps.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
     sets = _set_table(rows, ids, shingle)
+    release(rows.sparkSession)
 
     # each document is first compared with the document it shares most parts with, then with those still apart
     ends = shared.select("k", F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("b").alias("to")), F.struct(F.col("b").alias("doc"), F.col("a").alias("to")))).alias("e")).select("k", "e.*")
@@ -457,6 +460,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     tiles = Tiles(num, den)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
     found = _candidates(rows, shingle, tiles, block)
+    release(spark)
     members = found.filter("hub is not null").select("key", "hub", "doc")
     thin = found.filter("n is not null").select("doc", "n", "digest")
 
