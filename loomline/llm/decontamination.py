@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join texts to test items, Smith-Waterman alignment scores the copies.
+"""Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignment scores the copies.
 
-Seeds are the items' word n-grams that chance would seldom form, judged by how often their words occur over the whole
-corpus; a leaked item's n-grams stay rare by that measure however many copies there are. Each seed found in a text opens a window
-of about the item's length, and the best local alignment of words there tells copies, also edited ones, from phrases
-in common.
+Seeds are all word n-grams of the items, whatever the corpus holds, so no number of copies can thin them out. Each seed found in a
+text opens a window of about the item's length. Phrases in common open many: a window that shares too few words with the
+item for any alignment to pass is left there, and the best local alignment of words in the others tells copies, also
+edited ones, from phrases in common.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ class Seeds:
     owners: np.ndarray  # (item number, place)
 
     def __post_init__(self):
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
         self.maybe = np.zeros(1 << _BLOOM, bool)
         self.maybe[(self.hashes >> np.uint64(64 - _BLOOM)).astype(np.int64)] = True
 
@@ -52,6 +53,14 @@ class Seeds:
                 yield item, start, place
 
 
+def most_matches(bag: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int:
+    """The words an item and a window share, repeats counted: no alignment matches more."""
+    words, counts = bag
+    at = np.searchsorted(words, window)
+    at[at == len(words)] = 0
+    return int(np.minimum(np.bincount(at[words[at] == window], minlength=len(words)), counts).sum())
+
+
 def align(item: np.ndarray, window: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
     """(score, end in item, end in window) of the best local alignment, ends exclusive; the first best end on ties.
 
@@ -83,7 +92,7 @@ def text_hits(words: np.ndarray, seeds: Seeds, least: float) -> list[tuple[int,
         lo, hi = max(0, place - start - slack), min(len(words), place - start + m + slack)
         spans = windows.setdefault(item, [])
         if spans and lo <= spans[-1][1] - m:  # seeds come in order of place: the same copy
-            spans[-1][1] = max(hi, spans[-1][1])
+            spans[-1] = [min(lo, spans[-1][0]), max(hi, spans[-1][1])]
         elif not spans or spans[-1] != [lo, hi]:
             spans.append([lo, hi])
     out = []
@@ -91,6 +100,8 @@ def text_hits(words: np.ndarray, seeds: Seeds, least: float) -> list[tuple[int,
         best = (0.0, 0, 0)
         words_of = seeds.words[item]
         for lo, hi in spans:
+            if most_matches(seeds.bags[item], words[lo:hi]) / len(words_of) < least:
+                continue
             score, end_i, end_w = align(words_of, words[lo:hi])
             share = score / (2 * len(words_of))
             if share >= least and share > best[0]:
@@ -101,31 +112,6 @@ def text_hits(words: np.ndarray, seeds: Seeds, least: float) -> list[tuple[int,
     return out
 
 
-def _word_counts(docs: DataFrame, vocabulary: np.ndarray, text: str) -> tuple[np.ndarray, int]:
-    """How often each word of the sorted ``vocabulary`` occurs in all texts, and the number of all words."""
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
-
-    def count(batches):
-        counts, total = np.zeros(len(vocabulary) + 1, np.int64), 0
-        for b in batches:
-            words, _ = word_hashes(texts_of(b["_text"]), ALNUM)
-            total += len(words)
-            words = words[maybe[(words >> np.uint64(44)).astype(np.int64)]]
-            at = np.searchsorted(vocabulary, words)
-            at[at == len(vocabulary)] = 0
-            counts[:-1] += np.bincount(at[vocabulary[at] == words], minlength=len(vocabulary))
-        counts[-1] = total
-        some = np.flatnonzero(counts)
-        yield {"word": pa.array(some), "n": pa.array(counts[some])}
-
-    summed = map_batches(docs.select(F.col(text).cast("string").alias("_text")), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in summed.collect():  # as many rows as the benchmark slice has words
-        counts[r["word"]] = r["n"]
-    return counts[:-1], int(counts[-1])
-
-
 def _slices(benchmark: DataFrame, key: str, text: str, most_bytes: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """The items in slices whose texts hold about ``most_bytes``; items without id or with under 8 words are no evidence of a copy."""
     items = benchmark.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_item")).filter("_id is not null and _item is not null")
@@ -139,26 +125,16 @@ def _slices(benchmark: DataFrame, key: str, text: str, most_bytes: int) -> Itera
             yield [i for i, _ in kept], [w for _, w in kept]
 
 
-def find_seeds(docs: DataFrame, ids: list, words: list[np.ndarray], text: str, n: int, most_chance: float) -> Seeds:
-    """Seeds of one slice: n-grams whose words, drawn at their corpus rates, would meet at most ``most_chance`` times a word; at least an item's three rarest."""
-    vocabulary = np.unique(np.concatenate(words))
-    counts, total = _word_counts(docs, vocabulary, text)
-    log_rate = np.log((counts + 0.5) / (total + 1))
-    hashes, owners = [], []
-    for i, w in enumerate(words):
-        each = log_rate[np.searchsorted(vocabulary, w)]
-        chance = sum(each[j : len(w) - n + 1 + j] for j in range(n))
-        limit = max(np.log(most_chance), np.sort(chance)[min(2, len(chance) - 1)])
-        at = np.flatnonzero(chance <= limit)
-        hashes.append(ngrams(w, n)[at])
-        owners.append(np.stack([np.full(len(at), i), at], 1))
-    every, owner = np.concatenate(hashes), np.concatenate(owners)
+def find_seeds(ids: list, words: list[np.ndarray], n: int) -> Seeds:
+    """Seeds of one slice: every n-gram of every item."""
+    every = np.concatenate([ngrams(w, n) for w in words])
+    owner = np.concatenate([np.stack([np.full(max(len(w) - n + 1, 0), i), np.arange(max(len(w) - n + 1, 0))], 1) for i, w in enumerate(words)])
     order = np.argsort(every, kind="stable")
     uniq, first = np.unique(every[order], return_index=True)
     return Seeds(ids, words, n, uniq, np.append(first, len(every)), owner[order])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, most_chance: float = 1e-7, most_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, most_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and test item copied in it: key, item_id, score, first_word, end_word (exclusive), best copy.
 
     The benchmark is broadcast in slices of at most ``most_bytes`` of text, one pass of the corpus each, so it may be of
@@ -170,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: i
     schema = f"{key} long, {item_key} long, score double, first_word long, end_word long"
     out = None
     for ids, words in _slices(benchmark, item_key, item_text, most_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(find_seeds(docs, ids, words, text, n, most_chance))
+        shared = docs.sparkSession.sparkContext.broadcast(find_seeds(ids, words, n))
 
         def run(batches, shared=shared):
             seeds = shared.value
@@ -188,13 +164,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: i
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, most_chance: float = 1e-7, most_bytes: int = 16 << 20, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, most_bytes: int = 16 << 20, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no test item is copied. Rows go or stay where they lie."""
     small_batches(docs.sparkSession)
     ship(docs.sparkSession)
     out, column = docs, docs.columns.index(text)
     for ids, words in _slices(benchmark, item_key, item_text, most_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(find_seeds(docs, ids, words, text, n, most_chance))
+        shared = docs.sparkSession.sparkContext.broadcast(find_seeds(ids, words, n))
 
         def run(batches, shared=shared):
             for b in batches:
