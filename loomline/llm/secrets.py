@@ -25,12 +25,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # leftmost matches of [0-9a-f]+ are whole ru
 LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
-# Runs of key characters that hold a digit: letters alone are words here.
+# Runs of key characters, of letters alone too: words take few tokens, so the ratio keeps them out.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_DIGIT = re.compile(r"[0-9]")
-# Known digests and identifiers: whole hex strings, UUIDs, subresource hashes, decimal numbers, dates, slugs of words.
+# Known digests and identifiers: hex strings of a digest's length in one case, UUIDs, subresource hashes, decimal numbers,
+# dates, and slugs of two or more words. A slug's words are in one case but for a capital at the start, and shorter than a run.
+_DIGESTS = "|".join(f"[0-9{c}]{{{n}}}" for c in ("a-f", "A-F") for n in (32, 40, 56, 64, 96, 128))
+_WORD = r"(?:[A-Za-z][a-z]{0,18}|[A-Z]{1,19})(?![A-Za-z])"
 _KNOWN = re.compile(
-    r"[0-9a-fA-F]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(md5|sha1|sha256|sha384|sha512)[-=_]?[A-Za-z0-9+/=]+|[0-9_+/=-]+|[/=_+-]*[A-Za-z]+([/=_+-]+([A-Za-z]+|[0-9]{1,6}))*[/=_+-]*"
+    rf"{_DIGESTS}|[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}|(md5|sha1|sha256|sha384|sha512)[-=_]?[A-Za-z0-9+/=]+|[0-9_+/=-]+|[/=_+-]*{_WORD}([/=_+-]+({_WORD}|[0-9]{{1,6}}))*[/=_+-]*"
 )
 
 
@@ -63,7 +65,7 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], encode, most_char
         if any(a < e and s < b for a, b, _ in by_start[at:] if a < e):
             continue
         run = m.group()
-        if not _DIGIT.search(run) or _KNOWN.fullmatch(run):
+        if _KNOWN.fullmatch(run):
             continue
         if len(run) / len(encode(run)) <= most_chars_per_token:
             out.append((s, e, "random"))

@@ -158,6 +158,19 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs.limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_secrets_without_digits_and_hex_keys(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24)) for _ in range(200)]
+    keys += ["xKqPzTvLw/RbYnQcJhMdGfWs", "KEY-" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24))]
+    keys += ["".join(rng.choices(h, k=k)) + "4b" for h in ("0123456789abcdef", "0123456789ABCDEF") for k in (22, 28)] + ["".join(rng.choices("0123456789ABCDEF", k=48))]
+    known = ["".join(rng.choices("0123456789ABCDEF", k=k)) for k in (32, 40, 56, 64, 96, 128)]
+    known += ["Donaudampfschifffahrtsgesellschaft", "electroencephalographically", "getElementsByClassNameFromDocument", "a/b/c/d/e/f/g/h/i/j/k/l/m", "how-to-be-a-b-or-a-c-in-2024", "-" * 40, "1" * 30]
+    docs = table(spark, [*enumerate(keys), *((1000 + i, k) for i, k in enumerate(known))])
+    got = {r["doc_id"]: r["n_random"] for r in secrets.find_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    assert [got[i] for i in range(len(keys))] == [1] * len(keys)
+    assert [got[1000 + i] for i in range(len(known))] == [0] * len(known)
+
+
 def test_pipeline_against_plain_steps(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "jaccard_join", "decontamination", "packing"]
