@@ -63,8 +63,8 @@ def declared_targets(html: Column) -> Column:
     """Array of the urls a page names as its canonical address or refreshes to."""
     # Head tags are short; the page is cut to its link and meta tags first, each of which is then read for its attribute.
     tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"""(?i)\A<link\b.*\brel\s*=\s*["']?canonical\b"""))
-    refresh = F.filter(tags, lambda t: t.rlike(r"""(?i)\A<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""))
+    canonical = F.filter(tags, lambda t: t.rlike(r"""(?is)\A<link\b.*\brel\s*=\s*["']?canonical\b"""))
+    refresh = F.filter(tags, lambda t: t.rlike(r"""(?is)\A<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""))
     hrefs = F.transform(canonical, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
     moves = F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'>]+)""", 1))
     return F.concat(hrefs, moves)

@@ -201,6 +201,17 @@ def test_urls(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, RULES, log).collect()}[10] == "block"
 
 
+def test_urls_of_tags_over_lines(spark):
+    rows = [
+        (1, "http://m.org/a", '<link href="http://a.net/es/1"\n  rel="canonical">'),
+        (2, "http://m.org/b", '<meta content="0;\r\n url=http://a.net/es/1"\r\n http-equiv="refresh">'),
+        (3, "http://m.org/c", '<link\nrel="canonical"\nhref="http://a.net/es/1"\n>'),
+        (4, "http://m.org/d", '<link href="http://a.net/es/1"\n  rel="stylesheet">'),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, RULES).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 # --- Jaccard join
 
 
