@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +16,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one, but only if all run on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="loomline-")
@@ -32,35 +32,59 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loomline/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Tables:
+    """Intermediate tables of one call, written to the shared folder and read back: that cuts the lineage and survives lost executors.
+
+    A table is deleted as soon as it is dropped, the rest when the ``with`` block ends, but for those that were kept
+    because a lazy result still reads them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.at: dict[int, tuple[DataFrame, str]] = {}
+
+    def save(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh_path(self.spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.at[id(out)] = (out, path)
+        return out
 
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete(self.spark, self.at.pop(id(t))[1])
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose results are saved: it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def keep(self, table: DataFrame) -> DataFrame:
+        del self.at[id(table)]
+        return table
 
+    def __enter__(self) -> Tables:
+        return self
 
-_scopes: list[list[str]] = []
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in self.at.values()])
 
 
-@contextmanager
-def discarding(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables saved inside are deleted at the end, but for those whose paths are taken out of the list."""
-    _scopes.append([])
-    try:
-        yield _scopes[-1]
-    finally:
-        for path in _scopes.pop():
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder that stays there, for lazy results to read."""
+    return (tables := Tables(df.sparkSession)).keep(tables.save(df, label))
 
 
 def small_batches(spark: SparkSession, rows: int = 10000, size: str = "4m") -> None:
@@ -104,16 +128,21 @@ def attach_by_key(rows: DataFrame, classes: DataFrame, key: str, size: str, tota
     return hot_rows.unionByName(cold_rows)
 
 
-def connected_components(edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> DataFrame:
+def _starred(edges: DataFrame) -> bool:
+    """Whether each larger node has one edge, and no smaller node has an edge to a smaller one still."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").limit(1).count()
+
+
+def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, component) of an undirected graph given as columns ``a`` and ``b``; component is the smallest node.
 
-    Alternating large-star and small-star rounds: each contracts the graph towards stars around the smallest node.
-    Minima are combined before the shuffle, nodes with many edges are split by the adaptive skew join, and each
-    round is a table in the shared folder. Nodes without a partner do not appear.
+    Alternating large-star and small-star rounds: each contracts the graph towards stars around the smallest node, until
+    all are. Minima are combined before the shuffle, nodes with many edges are split by the adaptive skew join, and each
+    round is a table in the shared folder that replaces the one before. Nodes without a partner do not appear.
     """
-    edges = saved(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
-    for _ in range(most_rounds):
+    edges = tables.save(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _starred(edges):
         # large star: each larger neighbour of u points to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -121,15 +150,8 @@ def connected_components(edges: DataFrame, label: str = "cc", most_rounds: int =
         # small star: u and its smaller neighbours point to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == (now["n"], now["h"]):
-            break
-        before = (now["n"], now["h"])
-        if not now["n"]:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+        before, edges = edges, tables.save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        tables.drop(before)
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots)
