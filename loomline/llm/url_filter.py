@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved
+from .common import Tables, connected_components, saved
 
 #: Query parameters that mark where a visitor came from and never change the page.
 TRACKING = ("utm_[^=&]*", "ref", "fbclid", "gclid")
@@ -34,8 +34,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"\A[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def written_key(url: Column) -> Column:
+    """A url's name in the alias graph: as written, without its fragment. Null without ``://``."""
+    return F.when(after_scheme(url).isNotNull(), F.substring_index(url, "#", 1))
+
+
 def page_key(url: Column) -> Column:
-    """A url's name in the alias graph: host without ``www.`` and default port, path without index page and trailing slash, query without tracking parameters; no fragment. Null without ``://``."""
+    """A name that other spellings of a url share too: host without ``www.`` and default port, path without index page and trailing slash, query without tracking parameters; no fragment. Null without ``://``."""
     rest = after_scheme(url)
     host = F.regexp_replace(F.regexp_replace(host_of(url), r":(80|443)\z", ""), r"\Awww\.", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.html?\z", "/"), r"/+\z", "")
@@ -79,44 +84,41 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str | None = "html", fold_spellings: bool = False
+) -> DataFrame:
     """key, host, path, rule, verdict, alias_blocked per row.
 
     Edges come from ``html`` (canonical links, refreshes) and from ``redirects`` (columns src, dst), a crawler's log. A
     url judged by a rule keeps that verdict; another is blocked if its component has a blocked and no allowed name, else
-    allowed. Targets that were never crawled are judged by the rules too. A null url, one without ``://`` and null or
-    empty html have no aliases and are allowed; repeated rows repeat; an empty table gives an empty result.
+    allowed. Targets that were never crawled are judged by the rules too. Names are urls as written, but for fragments;
+    ``fold_spellings`` takes urls that differ in ``www.``, default port, index page, trailing slash or tracking parameters
+    for one name as well.
+
+    A null url, one without ``://`` and null or empty html have no aliases and are allowed; very long html is read whole;
+    repeated rows repeat; of fitting rules of one length the last by text wins; an empty
+    table gives an empty result; extra columns are ignored, whatever their names.
     """
+    name = page_key if fold_spellings else written_key
     u = F.col("_url")
-    base = pages.select(F.col(key), F.col(url).cast("string").alias("_url"), (F.col(html).cast("string") if html else F.lit(None).cast("string")).alias("_html"))
+    base = pages.select(F.col(key).alias("_id"), F.col(url).cast("string").alias("_url"), (F.col(html).cast("string") if html else F.lit(None).cast("string")).alias("_html"))
     links = base.filter(u.isNotNull() & F.col("_html").rlike(r"(?i)<(link|meta)\b[^>]*(canonical|refresh)")).select(u, F.explode(declared_targets(F.col("_html"))).alias("_to"))
     edges = links.select(u.alias("src"), resolved(F.col("_to"), u).alias("dst"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("src").cast("string"), resolved(F.col("dst").cast("string"), F.col("src").cast("string")).alias("dst")))
-    edges = saved(edges.filter("src is not null and dst is not null").distinct(), "aliases")
-    graph = edges.select(page_key(F.col("src")).alias("a"), page_key(F.col("dst")).alias("b"))
-    parts = connected_components(graph, "aliases-cc").select(F.col("node").alias("_key"), F.col("component").alias("_part"))
-
-    names = base.select(u).unionByName(edges.select(F.col("src").alias("_url"))).unionByName(edges.select(F.col("dst").alias("_url")))
-    found = names.select(page_key(u).alias("_key"), rule_of(host_of(u), path_of(u), rules)["verdict"].alias("_said")).filter("_key is not null and _said is not null")
-    said = found.groupBy("_key").agg(F.max(F.col("_said") == "block").alias("_block"), F.max(F.col("_said") == "allow").alias("_allow"))
-    by_part = (
-        said.join(parts, "_key", "left")
-        .groupBy(F.coalesce("_part", "_key").alias("_part"))
-        .agg(F.max("_block").alias("_block"), F.max("_allow").alias("_allow"))
-        .filter("_block and not _allow")
-        .select("_part")
-    )
-    judged = base.select(key, "_url", host_of(u).alias("host"), path_of(u).alias("path"), rule_of(host_of(u), path_of(u), rules).alias("_rule"), page_key(u).alias("_key"))
-    # Few names are blocked through aliases: those are gathered once per name, and only rows no rule judges look them up.
-    blocked = by_part.join(parts, "_part", "left").select(F.coalesce("_key", "_part").alias("_key"), F.lit(True).alias("alias_blocked")).distinct()
+    with Tables(pages.sparkSession) as tables:
+        edges = tables.save(edges.filter("src is not null and dst is not null").distinct(), "aliases")
+        parts = connected_components(edges.select(name(F.col("src")).alias("a"), name(F.col("dst")).alias("b")), tables).toDF("_key", "_part")
+        names = base.select(u).unionByName(edges.select(F.col("src").alias("_url"))).unionByName(edges.select(F.col("dst").alias("_url")))
+        found = names.select(name(u).alias("_key"), rule_of(host_of(u), path_of(u), rules)["verdict"].alias("_said")).filter("_key is not null and _said is not null")
+        said = found.groupBy("_key").agg(F.max(F.col("_said") == "block").alias("_block"), F.max(F.col("_said") == "allow").alias("_allow"))
+        # a spelling without edges is a component of its own when spellings are folded; else no other url has its name
+        of_part = said.join(parts, "_key", "left" if fold_spellings else "inner").groupBy(F.coalesce("_part", "_key").alias("_part"))
+        by_part = of_part.agg(F.max("_block").alias("_block"), F.max("_allow").alias("_allow")).filter("_block and not _allow").select("_part")
+        # few names are blocked through aliases: those are gathered once per name, and only rows no rule judges look them up
+        blocked = saved(by_part.join(parts, "_part", "left").select(F.coalesce("_key", "_part").alias("_key"), F.lit(True).alias("alias_blocked")).distinct(), "blocked")
+    judged = base.select("_id", host_of(u).alias("host"), path_of(u).alias("path"), rule_of(host_of(u), path_of(u), rules).alias("_rule"), name(u).alias("_key"))
     open_rows = judged.filter("_rule is null").join(blocked, "_key", "left")
     closed = judged.filter("_rule is not null").withColumn("alias_blocked", F.lit(False))
-    return closed.unionByName(open_rows.select(closed.columns)).select(
-        key,
-        "host",
-        "path",
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), F.when(F.coalesce("alias_blocked", F.lit(False)), "block").otherwise("allow")).alias("verdict"),
-        F.coalesce("alias_blocked", F.lit(False)).alias("alias_blocked"),
-    )
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.coalesce("alias_blocked", F.lit(False)), "block").otherwise("allow")).alias("verdict")
+    return closed.unionByName(open_rows.select(closed.columns)).select(F.col("_id").alias(key), "host", "path", F.col("_rule.rule").alias("rule"), verdict, F.coalesce("alias_blocked", F.lit(False)).alias("alias_blocked"))

@@ -201,6 +201,52 @@ def test_urls(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, RULES, log).collect()}[10] == "block"
 
 
+def test_spellings_without_edges_stay_apart(spark):
+    rows = [(1, "http://a.net/es", None), (2, "http://a.net/es/", None), (3, "http://www.a.net/es?ref=x", None), (4, "http://a.net:80/es", None), (5, "http://a.net/es/#top", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, RULES).collect()} == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block"}
+    assert {r["verdict"] for r in url_filter.judge_urls(pages, RULES, fold_spellings=True).collect()} == {"block"}
+
+
+def plain_verdict(url):
+    """(rule, verdict) by the longest rule."""
+    if url is None or "://" not in url:
+        return None, None
+    rest = url.split("://", 1)[1]
+    host = rest
+    for c in "/?#":
+        host = host.split(c, 1)[0]
+    path = rest[len(host) :].split("?", 1)[0].split("#", 1)[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def test_urls_match_union_find_on_random_graphs(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        hosts = ["a.net", "www.a.net", "b.org", "example.com", "www.example.com", "c.org", "d.io"]
+        urls = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/es/', '/en/', '/x', '/index.html'])}{rng.choice(['', '?ref=1', '#f', str(i)])}" for i in range(80)]
+        log = [(rng.choice(urls), rng.choice(urls)) for _ in range(45)]
+        rows = [(i, u) for i, u in enumerate(urls)]
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in log:
+            parent[find(a.split("#")[0])] = find(b.split("#")[0])
+        says = defaultdict(set)
+        for u in [*urls, *(x for e in log for x in e)]:
+            says[find(u.split("#")[0])].add(plain_verdict(u)[1])
+        want = {i: plain_verdict(u)[1] or ("block" if "block" in (s := says[find(u.split("#")[0])]) and "allow" not in s else "allow") for i, u in rows}
+        got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), RULES, spark.createDataFrame(log, "src string, dst string"), html=None).collect()
+        assert {r["page_id"]: r["verdict"] for r in got} == want
+        assert {r["page_id"]: r["rule"] for r in got} == {i: plain_verdict(u)[0] for i, u in rows}
+
+
 def test_urls_of_tags_over_lines(spark):
     rows = [
         (1, "http://m.org/a", '<link href="http://a.net/es/1"\n  rel="canonical">'),
@@ -262,6 +308,17 @@ def test_jaccard_components_match_brute_force(spark, k, num, den):
     assert {r[0] for r in kept.collect()} == set(want.values())
 
 
+def test_keeping_one_each_leaves_any_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "u1", 5), (2, text + " more", "u2", 6), (3, None, "u3", 7), (None, text, "u4", 8), (4, "word " * 100000, "u5", 9), (4, "word " * 100000, "u6", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped string, key long").withColumn("_drop", F.col("dropped")).withColumn("component_id", F.lit(1)).withColumn("a.b", F.lit(2))
+    kept = jaccard_join.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["dropped"] for r in kept.collect()) == ["u1", "u3", "u4", "u5", "u6"]
+    assert all(r["_drop"] == r["dropped"] for r in kept.collect())
+    assert jaccard_join.keep_one_each(docs.limit(0)).count() == 0
+
+
 def test_jaccard_of_empty_table(spark):
     assert jaccard_join.jaccard_components(table(spark, ROWS).limit(0)).count() == 0
 
