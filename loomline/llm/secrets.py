@@ -25,15 +25,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # leftmost matches of [0-9a-f]+ are whole ru
 LEAST_ASSIGNED, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
-# Runs of key characters, of letters alone too: words take few tokens, so the ratio keeps them out.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-# Known digests and identifiers: hex strings of a digest's length in one case, UUIDs, subresource hashes, decimal numbers,
-# dates, and slugs of two or more words. A slug's words are in one case but for a capital at the start, and shorter than a run.
+# Whole runs of key characters, of letters alone too: words take few tokens, so the ratio keeps them out.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+# Known digests and identifiers: hex strings of a digest's length in one case, UUIDs, subresource hashes, decimal numbers, dates,
+# and slugs of two or more words, each in one case but for a capital at the start.
 _DIGESTS = "|".join(f"[0-9{c}]{{{n}}}" for c in ("a-f", "A-F") for n in (32, 40, 56, 64, 96, 128))
 _WORD = r"(?:[A-Za-z][a-z]{0,18}|[A-Z]{1,19})(?![A-Za-z])"
 _KNOWN = re.compile(
-    rf"{_DIGESTS}|[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}|(md5|sha1|sha256|sha384|sha512)[-=_]?[A-Za-z0-9+/=]+|[0-9_+/=-]+|[/=_+-]*{_WORD}([/=_+-]+({_WORD}|[0-9]{{1,6}}))*[/=_+-]*"
+    rf"{_DIGESTS}|[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}|(md5|sha1|sha256|sha384|sha512)[-=_]?[A-Za-z0-9+/=]+|[0-9_+/=-]+|[/=_+-]*{_WORD}([/=_+-]+({_WORD}|[0-9]{{1,6}}))+[/=_+-]*"
 )
+# A single word, in one case but for a capital at the start, must tokenize worse to count as random.
+_ONE_WORD = re.compile(rf"[/=_+-]*{_WORD}[/=_+-]*")
 
 
 @lru_cache(maxsize=2)
@@ -54,20 +56,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def random_spans(text: str, taken: list[tuple[int, int, str]], encode, most_chars_per_token: float) -> list[tuple[int, int, str]]:
+def merged_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What ``spans`` cover, as ranges in order that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for s, e, _ in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def random_spans(text: str, taken: list[tuple[int, int, str]], encode, most_chars_per_token: float, most_of_words: float) -> list[tuple[int, int, str]]:
     """Runs of key characters that overlap no span of ``taken``, are no known digest or identifier and tokenize badly."""
     out, at = [], 0
-    by_start = sorted(taken)
+    covered = merged_spans(taken)
     for m in _RUN.finditer(text):
         s, e = m.span()
-        while at < len(by_start) and by_start[at][1] <= s:
+        while at < len(covered) and covered[at][1] <= s:
             at += 1
-        if any(a < e and s < b for a, b, _ in by_start[at:] if a < e):
+        if at < len(covered) and covered[at][0] < e:
             continue
         run = m.group()
-        if _KNOWN.fullmatch(run):
-            continue
-        if len(run) / len(encode(run)) <= most_chars_per_token:
+        ratio = len(run) / len(encode(run))
+        if ratio <= most_chars_per_token and not _KNOWN.fullmatch(run) and (ratio <= most_of_words or not _ONE_WORD.fullmatch(run)):
             out.append((s, e, "random"))
     return out
 
@@ -76,11 +88,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def find_secrets(docs: DataFrame, ranks: str, pattern: str, most_chars_per_token: float = 2.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, ranks: str, pattern: str, most_chars_per_token: float = 2.0, most_of_words: float = 1.4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex, n_random, base_sha256, spans for every whole text.
 
-    Spans are code points with an exclusive end, by start, then kind. A null or empty text has none. Rows are
-    independent: repeated rows repeat, very long texts are scanned whole, extra columns are ignored.
+    Spans are code points with an exclusive end, by start, then kind. A run of 12 or more key characters is ``random`` at
+    ``most_chars_per_token`` or less, one that reads as a word at ``most_of_words`` or less. A null or empty text has none,
+    and an empty table no rows. Rows are independent: repeated rows repeat, null keys stay null, very long texts are
+    scanned whole in time that grows with their length, extra columns are ignored.
     """
     small_batches(docs.sparkSession)
 
@@ -90,7 +104,7 @@ def find_secrets(docs: DataFrame, ranks: str, pattern: str, most_chars_per_token
             rows = []
             for t in texts_of(b["_text"]):
                 base = base_spans(t)
-                found = random_spans(t, base, encode, most_chars_per_token)
+                found = random_spans(t, base, encode, most_chars_per_token, most_of_words)
                 spans = sorted([*base, *found], key=lambda x: (x[0], KINDS.index(x[2])))
                 kinds = [k for _, _, k in spans]
                 rows.append((*map(kinds.count, KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
