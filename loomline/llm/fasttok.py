@@ -79,7 +79,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        # a text that may hold a token's own spelling, such as an end mark's, is encoded whole
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.hint = re.match(r"[^\W\d_]*|[\W\d_]*", os.path.commonprefix(added)).group() if added else ""
+        self.hint = "" if self.hint.isalpha() else self.hint
         self.blanks_dropped = blanks_dropped
         self.known: dict[str, bytes | None] = {}
         self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ", blanks_dropped)
@@ -136,6 +140,14 @@ class PieceEncoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if len(self.known) > MOST_PIECES:
             self.known = dict(islice(self.known.items(), MOST_PIECES // 2))
+        whole = [i for i, t in enumerate(texts) if self.added and self.hint in t and self.added.search(t)]
+        if whole:
+            apart = set(whole)
+            rest = [t for i, t in enumerate(texts) if i not in apart]
+            out = self.encode(rest) if rest else []
+            for i in whole:
+                out.insert(i, self._plain(texts[i]))
+            return out
         gc.disable()  # nothing here is cyclic, and each pass would walk all pieces
         try:
             return self._word_level(texts) if self.blanks_dropped else self._byte_level(texts)
