@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, map_batches, saved, small_batches
+from .common import attach_by_key, fresh_names, map_batches, saved, small_batches
 
 _HEAD = struct.Struct("<Qqqqi")
 _NONE = -(1 << 63)  # a null id sorts below all others
@@ -191,19 +191,22 @@ def _checked_classes(docs: DataFrame, body: Column, key: str, budget: int) -> tu
 def keep_distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise=None, budget: int = 48 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts, that with the largest key (nulls lowest).
 
-    Rows are met with the classes' digests and keys, a row at most for each class; rows that repeat both are one.
+    Rows are met with the classes' digests and keys, a row at most for each class; rows that repeat both are one, and of a
+    group without any key one row stays. A null text counts as empty; very long texts are compared whole; an empty table
+    stays empty; columns may have any names.
     """
     body = _body(text, normalise)
     classes, _ = _checked_classes(docs, body, key, budget)
-    stay = classes.select(F.col("digest").alias("_digest"), F.col("top").alias("_top"), "at_top")
-    rows = docs.withColumn("_digest", F.unhex(F.sha2(body, 256))).withColumn("_key", F.col(key).cast("long"))
-    named = stay.filter("_top is not null")
+    digest, own, top = fresh_names(docs, "digest", "own", "top")
+    stay = classes.select(F.col("digest").alias(digest), F.col("top").alias(top), F.col("at_top"))
+    rows = docs.withColumn(digest, F.unhex(F.sha2(body, 256))).withColumn(own, F.col(key).cast("long"))
+    named = stay.filter(F.col(top).isNotNull())
     # the larger key alone tells most rows apart, so a group's rows are spread by key
-    kept = rows.join(named, (rows["_key"] == named["_top"]) & (rows["_digest"] == named["_digest"]), "left_semi")
-    if stay.filter("_top is null or at_top > 1").limit(1).count():
-        nameless = stay.filter("_top is null")
-        kept = kept.unionByName(rows.filter("_key is null").join(nameless, "_digest", "left_semi").select(rows.columns)).dropDuplicates(["_digest"])
-    return kept.select(docs.columns)
+    kept = rows.join(named, (rows[own] == named[top]) & (rows[digest] == named[digest]), "left_semi")
+    if stay.filter(F.col(top).isNull() | (F.col("at_top") > 1)).limit(1).count():
+        nameless = stay.filter(F.col(top).isNull())
+        kept = kept.unionByName(rows.filter(F.col(own).isNull()).join(nameless, digest, "left_semi")).dropDuplicates([digest])
+    return kept.drop(digest, own)
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", normalise=None, budget: int = 48 << 20) -> DataFrame:
