@@ -208,7 +208,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: i
     The benchmark is broadcast in slices of at most ``most_bytes`` of text, one pass of the corpus each, so it may be of
     any size. Items of under 8 words are copied where their whole word sequence occurs, or their characters in scripts
     without blanks. Documents are scanned whole where they lie; nothing of theirs is shuffled. Null and empty texts match
-    nothing; repeated rows repeat; rows with a null key are reported with it; equal items are reported each.
+    nothing; repeated rows repeat; rows with a null key are reported with it; equal items are reported each; of copies with one
+    score the first counts. Very long texts are searched whole; an empty table on either side gives an empty result;
+    extra columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
@@ -233,7 +235,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n: int = 3, most_bytes: int = 16 << 20, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in which no test item is copied. Rows go or stay where they lie."""
+    """The rows of ``docs``, all columns, whatever their names, in which no test item is copied. Rows go or stay where they lie.
+
+    Null and empty texts stay; repeated rows go or stay alike; very long texts are searched whole; an empty table stays
+    empty, and without items all rows stay.
+    """
     small_batches(docs.sparkSession)
     ship(docs.sparkSession)
     out, column = docs, docs.columns.index(text)

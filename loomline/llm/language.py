@@ -121,8 +121,9 @@ def train(docs: DataFrame, usable: Column, most_rows: int = 20000, key: str = "d
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score, languages (share of each in the chosen set) for every whole text.
 
-    ``und`` and 0 where the text is null or has no letter. Rows are independent: repeated rows repeat, an empty table
-    gives an empty result, extra columns are ignored.
+    ``und`` and 0 where the text is null or has no letter. Of equal shares the language first in the alphabet
+    is named. Rows are independent: repeated rows repeat, null keys stay null, very long texts are read whole, an empty
+    table gives an empty result, extra columns are ignored.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -84,7 +84,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, key: st
     each document is placed by sum of squares among its task's open windows, and the windows open at the end fill one
     another, so each task pads one window at most. Nothing is shuffled: a task packs its own partition, in key order,
     and a task run anew gives the same rows. Only open windows are held. A null or empty text is its end id; repeated
-    rows are packed each; a null key stays null; an empty table gives an empty result.
+    rows are packed each; a null key stays null; a very long text is cut into windows; an empty table gives an empty
+    result; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
 

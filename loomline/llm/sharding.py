@@ -84,7 +84,8 @@ def assign_shards(docs: DataFrame, root: Node, grown: Node | None = None, key: s
 
     Only thin rows are shuffled, in key ranges; slots number a shard's rows by key, through per-range counts and their
     running sums, so that no task sees a whole shard. Rows with a null key hash alike, to one shard. Repeated rows get
-    the same shard and slots of their own. An empty table gives an empty result; extra columns are ignored.
+    the same shard and slots of their own. Very long texts only count by their size. An empty table gives an empty
+    result; extra columns are ignored.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     thin = docs.select(

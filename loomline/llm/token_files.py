@@ -26,7 +26,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, b
     """Encode whole texts (null: empty), append ``end_id`` and write rows of doc_id, file_no, file_start (ids before it in its file), n_ids, ids.
 
     Rows are dealt by ranges of the key, so hot sources or copies don't matter; repeated rows follow one another and a
-    null key comes first. Files are only committed when complete, and a lost task's file is written anew.
+    null key comes first. Files are only committed when complete, and a lost task's file is written anew. A very
+    long text is one row; extra columns are ignored.
     """
     small_batches(docs.sparkSession)
 

@@ -48,6 +48,28 @@ def test_shards_keep_their_law(spark):
     assert sharding.assign_shards(docs.limit(0), eight).count() == 0
 
 
+def test_shards_match_a_plain_descent(spark):
+    """The same draws recomputed one by one: the child with the least -ln(u) / weight wins at each level."""
+    root = sharding.tree({"r0": {"k0": {0: 1.0, 1: 3.0}, "k1": {2: 0.5}}, "r1": {"k2": {3: 1.0, 4: 0.0}}, "r2": {"k3": {5: 2.0}}})
+    paths = {}
+
+    def collect(n):
+        for c in n.children:
+            paths[c.path] = c
+            collect(c)
+
+    collect(root)
+    order = sorted(paths)
+    rows = spark.range(500).select("id", *[F.xxhash64("id", F.lit(p)).alias(f"h{k}") for k, p in enumerate(order)], sharding.shard_of(F.col("id"), root).alias("shard")).collect()
+    for r in rows:
+        node = root
+        while node.shard is None:
+            alive = [c for c in node.children if c.weight > 0]
+            time = [-np.log((((r[f"h{order.index(c.path)}"] % 2**64) >> 11) + 0.5) * 2.0**-53) / c.weight for c in alive]
+            node = alive[int(np.argmin(time))]
+        assert r["shard"] == node.shard
+
+
 def test_weight_changes_confine_movement(spark):
     before = sharding.tree({"r0": {"k0": {0: 1.0, 1: 1.0}, "k1": {2: 1.0}}, "r1": {"k2": {3: 1.0, 4: 1.0}}, "r2": {"k3": {5: 2.0}}})
     after = sharding.tree({"r0": {"k0": {0: 1.0, 1: 1.0}, "k1": {2: 3.0}}, "r1": {"k2": {3: 1.0, 4: 1.0}}, "r2": {"k3": {5: 2.0}}})
@@ -90,16 +112,27 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(table(spark, ROWS).limit(0)).count() == 0
 
 
+def test_keeping_distinct_leaves_any_columns(spark):
+    rows = [(1, "a", "u1", 5), (2, "a", "u2", 6), (3, None, "u3", 7), (4, "", "u4", 8), (None, "a", "u5", 1), (None, "b", "u6", 2), (None, "b", "u6", 2), (5, "x" * 300000, "u7", 3), (5, "x" * 300000, "u7", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, own long")
+    docs = docs.withColumns({"_digest": F.col("digest"), "_key": F.col("own"), "top": F.col("own"), "at_top": F.lit(9), "n": F.lit(1), "content": F.col("text"), "a.b": F.lit(1)})
+    kept = exact_dedup.keep_distinct(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r["digest"] for r in got) == ["u2", "u4", "u6", "u7"]
+    assert all(r["_digest"] == r["digest"] and r["_key"] == r["own"] == r["top"] for r in got)
+    assert exact_dedup.keep_distinct(docs.limit(0)).count() == 0
+
+
 # --- tokens
 
 
 @pytest.mark.parametrize(("file", "dropped"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_pieces_give_the_tokenizers_ids(file, dropped):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(2)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "'s", "'", "9", "!", "..", " ", "\x1c", "́", "日本", "<|endoftext|>", "\r\n", " the", ".\nThe", "x,", "don't."]
-    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)]
+    parts = ["a", "B", " ", "  ", "\n", "\t", "é", "'s", "'", "9", "!", "..", " ", "\x1c", "́", "日本", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "\r\n", " the", ".\nThe", "x,", "don't."]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)] + ["see <|endoftext|> here"]
     want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert fasttok.PieceEncoder(public_tokenizers.path(file), dropped).encode(texts) == want
 
