@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of formulaic sentences, with their class.
@@ -124,6 +124,17 @@ def retry_hint_ms(message: Column) -> Column:
     return F.when(wait > RETRY_MOST_MS, F.lit(RETRY_MOST_MS).cast("long")).otherwise(wait)
 
 
+def retry_attempts(failed: DataFrame, cls: str, attempts: int = 2, base_ms: int = 2000, factor: int = 2, jitter: float = 0.5) -> DataFrame:
+    """A row an attempt of each failing call, with the wait after it and the bounds that jitter sets; none after the last.
+
+    Only classes that may pass are tried again, and parse errors aren't: the same output would come back.
+    """
+    again = F.col(cls).isin([c for c, (retry, _) in ERROR_FLAGS.items() if retry and c != "PARSE_ERROR"])
+    rows = failed.withColumn("_last", F.when(again, attempts).otherwise(1)).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.col("_last"))))
+    wait = F.when(F.col("attempt") < F.col("_last"), base_ms * F.pow(F.lit(factor), F.col("attempt") - 1))
+    return rows.withColumns({"wait_ms": wait.cast("long"), "least_ms": (wait * (1 - jitter)).cast("long"), "most_ms": (wait * (1 + jitter)).cast("long")}).drop("_last")
+
+
 def failure_outcome(cls: Column, delivery: Column) -> Column:
     """struct(status, error, dead_letter, pause_batch, acknowledge) of a failed job at its nth delivery."""
     dead_now = cls.isin([c for c, (_, dead) in ERROR_FLAGS.items() if dead])

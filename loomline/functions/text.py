@@ -19,6 +19,11 @@ def nfc(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """``12.34%``, halves to even; a dash where there is no whole."""
+    return F.when(whole == 0, "—").otherwise(F.format_string("%.2f%%", F.bround(100.0 * part / F.nullif(whole, F.lit(0)), 2)))
+
+
 def normalized_hash(text: Column) -> Column:
     """Hex SHA-256 of the NFC form without ASCII blanks."""
     return F.sha2(F.regexp_replace(nfc(text), ASCII_BLANKS, ""), 256)

@@ -96,16 +96,16 @@ def stage_distribution(spark, d):
 def doc_signals(spark, d) -> DataFrame:
     """Per order: entities, ambiguous, misses and whether its priority counts as formulaic."""
     rows = linked_mentions(spark, d).groupBy("doc_id").agg(
-        F.count_if(F.col("line") > 1).alias("entities"),
-        F.count_if((F.col("line") > 1) & (F.col("link.stage") == "AMBIGUOUS")).alias("ambiguous"),
-        F.count_if((F.col("line") > 1) & (F.col("link.stage") == "MISS")).alias("missing"),
+        F.count("*").alias("entities"),
+        F.count_if(F.col("link.stage") == "AMBIGUOUS").alias("ambiguous"),
+        F.count_if(F.col("link.stage") == "MISS").alias("missing"),
     )
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").rlike("URGENT|HIGH").alias("formulaic"))
     return o.join(rows, "doc_id", "left").na.fill(0, ["entities", "ambiguous", "missing"])
 
 
-_SIGNALS_SQL = f"""WITH {MENTIONS_SQL}, s AS (SELECT o_orderkey AS doc_id, regexp_matches(o_orderpriority, 'URGENT|HIGH') AS formulaic, count(*) FILTER (line > 1) AS entities,
-  count(*) FILTER (line > 1 AND stage = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (line > 1 AND stage = 'MISS') AS missing FROM orders LEFT JOIN linked ON doc_id = o_orderkey GROUP BY 1, 2)"""
+_SIGNALS_SQL = f"""WITH {MENTIONS_SQL}, s AS (SELECT o_orderkey AS doc_id, regexp_matches(o_orderpriority, 'URGENT|HIGH') AS formulaic, count(line) AS entities,
+  count(*) FILTER (stage = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (stage = 'MISS') AS missing FROM orders LEFT JOIN linked ON doc_id = o_orderkey GROUP BY 1, 2)"""
 
 
 @query(

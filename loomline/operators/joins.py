@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
@@ -11,40 +11,67 @@ from loomline.plans.registry import load, query
 # --- entity linking -------------------------------------------------------------------------------------------------
 
 
-def candidate_lists(mentions: DataFrame, index: DataFrame, people: DataFrame, key: str = "mention_id") -> DataFrame:
-    """mention columns and ``candidates``: array of (pos, person_id, name, active_from, offices) in index order, duplicates kept, empty if unknown.
+def titles_of(offices: Column) -> Column:
+    """The texts that show a person's offices in a context: each title without its brackets, and the first bracketed part; none empty."""
+    bare = F.transform(offices, lambda o: F.trim(F.regexp_replace(o, r"\(.*?\)", "")))
+    han = F.transform(offices, lambda o: F.regexp_extract(o, r"\(([^)]*)\)", 1))
+    return F.coalesce(F.array_distinct(F.filter(F.concat(bare, han), lambda t: t.isNotNull() & (t != ""))), F.array().cast("array<string>"))
 
-    The index is joined with its people once and gathered per surface, so a mention row is never multiplied and frequent
-    surfaces cost one lookup each. A person missing from the master stays a candidate without dates.
-    """
-    entries = index.join(people, "person_id", "left").groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("pos", "person_id", "name", "active_from", "offices", F.col("known").alias("known")))).alias("candidates"))
-    none = F.array().cast(entries.schema["candidates"].dataType)
-    return mentions.join(entries, "surface", "left").withColumn("candidates", F.coalesce("candidates", none))
 
+def surface_profiles(entries: DataFrame) -> DataFrame:
+    """surface, n, first, steps, titles: a row per surface whose size follows its distinct years and titles, not its persons.
+
+    ``steps`` has for each year from which persons are active how many are by then, and the first three of those in index order.
+    """
+    dated = entries.filter("since is not null")
+    ranked = dated.withColumn("k", F.row_number().over(Window.partitionBy("surface", "since").orderBy("pos", "person_id"))).filter("k <= 3")
+    leads = ranked.groupBy("surface", "since").agg(F.collect_list(F.struct("pos", "person_id")).alias("lead"))
+    counts = dated.groupBy("surface", "since").agg(F.count("*").alias("k"))
+    so_far = Window.partitionBy("surface").orderBy("since")
+    steps = counts.join(leads, ["surface", "since"]).select(
+        "surface", F.struct("since", F.sum("k").over(so_far).alias("nt"), F.slice(F.array_sort(F.flatten(F.collect_list("lead").over(so_far))), 1, 3).alias("lead")).alias("s")
+    )
+    per = entries.groupBy("surface").agg(F.count("*").alias("n"), F.min(F.struct("pos", "person_id")).alias("first"))
+    titles = dated.select("surface", F.explode("titles").alias("t")).groupBy("surface").agg(F.collect_set("t").alias("titles"))
+    return per.join(steps.groupBy("surface").agg(F.collect_list("s").alias("steps")), "surface", "left").join(titles, "surface", "left")
 
-def office_in_context(offices: Column, context: Column) -> Column:
-    """Any title, or the first bracketed Han part of it, occurs in the context; an empty title never matches."""
-    title = lambda o: F.trim(F.regexp_replace(o, r"\(.*?\)", ""))
-    han = lambda o: F.regexp_extract(o, r"\(([^)]*)\)", 1)
-    return F.exists(F.coalesce(offices, F.array().cast("array<string>")), lambda o: ((title(o) != "") & context.contains(title(o))) | ((han(o) != "") & context.contains(han(o))))
 
+def link_mentions(mentions: DataFrame, index: DataFrame, people: DataFrame) -> DataFrame:
+    """mention columns, n, nt, no and ``link``, struct(stage, ids): candidates of a surface, those active by the year, those of them whose office the context names.
 
-def link_stage(candidates: Column, year: Column, context: Column) -> Column:
-    """struct(stage, ids): one candidate SINGLE; one active by the year TIME; one whose office the context names OFFICE; else AMBIGUOUS; none MISS.
+    One candidate is SINGLE; one active by the year TIME; one whose office the context names OFFICE; else AMBIGUOUS; none
+    MISS. The year test is one-sided. Where two or more offices fit, those are the result; else the first three in time.
+    Index entries keep their order and repeats; a person missing from the master stays a candidate without dates.
 
-    The year test is one-sided. Where two or more offices fit, those are the result; else the first three in time.
+    A mention looks up its surface's profile, then the candidates of the titles that its context names, so its cost
+    follows years, titles and its own result, not the candidates of its surface.
     """
-    ids = lambda a: F.transform(a, lambda c: c["person_id"])
-    timely = F.filter(candidates, lambda c: c["known"] & (F.coalesce(c["active_from"], F.lit(0)) <= F.coalesce(year, F.lit(2147483647))))
-    offices = F.filter(timely, lambda c: office_in_context(c["offices"], context))
-    return (
-        F.when(F.size(candidates) == 0, F.struct(F.lit("MISS").alias("stage"), F.array().cast("array<long>").alias("ids")))
-        .when(F.size(candidates) == 1, F.struct(F.lit("SINGLE").alias("stage"), ids(candidates).alias("ids")))
-        .when(F.size(timely) == 1, F.struct(F.lit("TIME").alias("stage"), ids(timely).alias("ids")))
-        .when(F.size(offices) == 1, F.struct(F.lit("OFFICE").alias("stage"), ids(offices).alias("ids")))
-        .when(F.size(offices) >= 2, F.struct(F.lit("AMBIGUOUS").alias("stage"), ids(offices).alias("ids")))
-        .otherwise(F.struct(F.lit("AMBIGUOUS").alias("stage"), ids(F.slice(timely, 1, 3)).alias("ids")))
+    since = F.when(F.col("known"), F.coalesce("active_from", F.lit(0)))
+    entries = index.join(people, "person_id", "left").select("surface", "pos", "person_id", since.alias("since"), titles_of(F.col("offices")).alias("titles"))
+    year = F.coalesce("year", F.lit(2147483647))
+    rows = mentions.join(surface_profiles(entries), "surface", "left")
+    rows = rows.withColumn("at", F.array_max(F.filter("steps", lambda s: s["since"] <= year)))
+    named = F.filter("titles", lambda t: F.col("context").contains(t))
+    rows = rows.withColumn("named", F.when(F.col("n") > 1, F.array_sort(named))).drop("steps", "titles")
+    # holders of each title of a surface, and of each set of titles that some context names together
+    holders = entries.filter("since is not null").select("surface", F.explode("titles").alias("t"), F.struct("pos", "person_id", "since").alias("e"))
+    single = holders.groupBy("surface", "t").agg(F.array_sort(F.collect_list("e")).alias("holders"))
+    sets = rows.filter(F.size("named") > 1).select("surface", "named").distinct().withColumn("t", F.explode("named"))
+    several = sets.join(single, ["surface", "t"]).groupBy("surface", "named").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("holders"))
+    by_set = single.select("surface", F.array("t").alias("named"), "holders").unionByName(several)
+    rows = rows.join(by_set, ["surface", "named"], "left").withColumn("fits", F.coalesce(F.filter("holders", lambda e: e["since"] <= year), F.array().cast("array<struct<pos:bigint,person_id:bigint,since:int>>")))
+    stage = lambda name, ids: F.struct(F.lit(name).alias("stage"), F.coalesce(ids, F.array().cast("array<long>")).alias("ids"))
+    fits, lead = (F.transform(c, lambda e: e["person_id"].cast("long")) for c in (F.col("fits"), F.col("at.lead")))
+    link = (
+        F.when(F.col("n").isNull(), stage("MISS", F.lit(None).cast("array<long>")))
+        .when(F.col("n") == 1, stage("SINGLE", F.array(F.col("first.person_id").cast("long"))))
+        .when(F.col("at.nt") == 1, stage("TIME", lead))
+        .when(F.size("fits") == 1, stage("OFFICE", fits))
+        .when(F.size("fits") >= 2, stage("AMBIGUOUS", fits))
+        .otherwise(stage("AMBIGUOUS", lead))
     )
+    counts = F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("at.nt", F.lit(0)).cast("long").alias("nt"), F.size("fits").cast("long").alias("no")
+    return rows.select(*mentions.columns, *counts, link.alias("link"))
 
 
 def _people(spark, d) -> DataFrame:
@@ -75,9 +102,7 @@ def mentions(spark, d) -> DataFrame:
 
 
 def linked_mentions(spark, d) -> DataFrame:
-    rows = candidate_lists(mentions(spark, d), _index(spark, d), _people(spark, d))
-    link = link_stage(F.col("candidates"), F.col("year"), F.col("context"))
-    return rows.select("doc_id", "line", "surface", "year", "context", "candidates", link.alias("link"))
+    return link_mentions(mentions(spark, d), _index(spark, d), _people(spark, d))
 
 
 MENTIONS_SQL = """
@@ -100,19 +125,17 @@ linked AS (SELECT m.*, n, nt, no, CASE WHEN n = 0 THEN 'MISS' WHEN n = 1 THEN 'S
 
 @query("link_candidates", f"WITH {MENTIONS_SQL} SELECT doc_id, line, surface, n FROM linked")
 def link_candidates(spark, d):
-    return linked_mentions(spark, d).select("doc_id", "line", "surface", F.size("candidates").cast("long").alias("n"))
+    return linked_mentions(spark, d).select("doc_id", "line", "surface", "n")
 
 
 @query("link_time", f"WITH {MENTIONS_SQL} SELECT doc_id, line, nt FROM linked WHERE n > 1")
 def link_time(spark, d):
-    timely = F.filter("candidates", lambda c: F.coalesce(c["active_from"], F.lit(0)) <= F.col("year"))
-    return linked_mentions(spark, d).filter(F.size("candidates") > 1).select("doc_id", "line", F.size(timely).cast("long").alias("nt"))
+    return linked_mentions(spark, d).filter("n > 1").select("doc_id", "line", "nt")
 
 
 @query("link_office", f"WITH {MENTIONS_SQL} SELECT doc_id, line, no FROM linked WHERE n > 1")
 def link_office(spark, d):
-    fit = F.filter("candidates", lambda c: (F.coalesce(c["active_from"], F.lit(0)) <= F.col("year")) & office_in_context(c["offices"], F.col("context")))
-    return linked_mentions(spark, d).filter(F.size("candidates") > 1).select("doc_id", "line", F.size(fit).cast("long").alias("no"))
+    return linked_mentions(spark, d).filter("n > 1").select("doc_id", "line", "no")
 
 
 @query("entity_link", f"WITH {MENTIONS_SQL} SELECT doc_id, line, stage, array_to_string(link_ids, ',') AS ids FROM linked")
@@ -283,18 +306,23 @@ def nearest(queries: DataFrame, pool: DataFrame, most: int = 20000) -> DataFrame
 
         def best(batches, shared=shared):
             ids, block = shared.value
-            dist, near = np.full(len(ids), np.inf), np.full(len(ids), -1)
+            own, dist, near = np.array(ids), np.full(len(ids), np.inf), np.full(len(ids), -1)
             for b in batches:
                 if not b.num_rows or not ids:
                     continue
                 v = np.array(b.column(1).to_pylist(), float)
                 order = np.argsort(b.column(0).to_numpy(), kind="stable")
                 keys, v = b.column(0).to_numpy()[order], v[order]
-                for i, q in enumerate(block):
-                    each = np.where(keys == ids[i], np.inf, np.round(np.sqrt(((v - q) ** 2).sum(1)), 9))
-                    j = int(np.argmin(each))
-                    if (each[j], keys[j]) < (dist[i], near[i]):
-                        dist[i], near[i] = each[j], keys[j]
+                for lo in range(0, len(ids), 256):
+                    q = block[lo : lo + 256]
+                    # squared distances by one product choose what is near; those few are measured exactly
+                    rough = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
+                    rough[keys[None, :] == own[lo : lo + 256, None]] = np.inf
+                    slack = 1e-6 * (1 + rough.min(1, initial=np.inf, where=np.isfinite(rough))[:, None])
+                    for i, j in zip(*np.nonzero((rough <= rough.min(1)[:, None] + slack) & np.isfinite(rough)), strict=True):
+                        exact = round(float(np.sqrt(((v[j] - q[i]) ** 2).sum())), 9)
+                        if (exact, keys[j]) < (dist[lo + i], near[lo + i]):
+                            dist[lo + i], near[lo + i] = exact, keys[j]
             some = [i for i in range(len(ids)) if near[i] >= 0]
             yield pa.RecordBatch.from_pydict({"vec_id": pa.array([ids[i] for i in some], pa.int64()), "id": pa.array([int(near[i]) for i in some], pa.int64()), "dist": pa.array([float(dist[i]) for i in some])})
 

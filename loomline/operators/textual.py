@@ -10,15 +10,17 @@ from loomline.functions import text as T
 from loomline.functions.shipping import ship
 from loomline.plans.registry import load, query
 
-#: Sentences in the shape of the court records, dealt to documents by id; the tables have none.
+#: Sentences in the shape of the court records, dealt to documents by id and put before their texts; the tables have none.
 SENTENCES = (
     "傳曰, 知道。", "○ 上在昌德宮。", "以姜銑爲副修撰", "領議政李元翼進曰, 許之。", "答曰, 允從。不允", "命放釋罪廢之人。", "承旨金自點, 啓曰, 還宮", "許之諫, 馳啓", "傳于李馨長曰知道", "拜柳洪爲判書", "藥房無事", "上曰, 不許。狀啓",
 )
-_SENTENCE_SQL = "[" + ", ".join(f"'{s}'" for s in SENTENCES) + f"][doc_id % {len(SENTENCES)} + 1]"
+_SENTENCE_SQL = "[" + ", ".join(f"'{s}'" for s in SENTENCES) + f"][doc_id % {len(SENTENCES)} + 1] || chr(10) || coalesce(text, '')"
 
 
 def sentences(spark, d) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, SENTENCES)), (F.col("doc_id") % len(SENTENCES) + 1).cast("int")).alias("s"))
+    """Whole texts, each after a sentence."""
+    first = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.col("doc_id") % len(SENTENCES) + 1).cast("int"))
+    return load(spark, d, "documents").select("doc_id", F.concat(first, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("s"))
 
 
 @query("formulaic_flag", f"SELECT doc_id, regexp_matches({_SENTENCE_SQL}, '{'|'.join(p for p, _ in routing.FORMULAIC)}') AS formulaic FROM documents")
@@ -64,11 +66,10 @@ EDGES_SCORER, EDGES_SELECTOR, EDGES_REVIEW = [(30, "XS"), (80, "S"), (150, "M")]
     "pattern_bucket",
     f"""SELECT doc_id, CASE WHEN contains(s, '啓曰') THEN 'REP' WHEN contains(s, '不許') THEN 'DEN' WHEN contains(s, '狀啓') THEN 'MEM' WHEN regexp_matches(s, '上曰|傳曰') THEN 'ROY' ELSE 'GEN' END AS pattern,
     CASE WHEN n <= 30 THEN 'XS' WHEN n <= 80 THEN 'S' WHEN n <= 150 THEN 'M' ELSE 'L' END AS scorer, CASE WHEN n < 50 THEN 'XS' WHEN n < 150 THEN 'S' WHEN n < 350 THEN 'M' ELSE 'L' END AS selector,
-    CASE WHEN n < 30 THEN '0-30' WHEN n < 80 THEN '30-80' ELSE '80+' END AS review FROM (SELECT doc_id, {_SENTENCE_SQL} AS s, length(text) % 400 AS n FROM documents)""",
+    CASE WHEN n < 30 THEN '0-30' WHEN n < 80 THEN '30-80' ELSE '80+' END AS review FROM (SELECT doc_id, {_SENTENCE_SQL} AS s, length(text) AS n FROM documents)""",
 )
 def pattern_bucket(spark, d):
-    n = F.length("text") % 400
-    rows = load(spark, d, "documents").select("doc_id", n.alias("n")).join(sentences(spark, d), "doc_id")
+    rows = load(spark, d, "documents").select("doc_id", F.length("text").alias("n")).join(sentences(spark, d), "doc_id")
     return rows.select(
         "doc_id",
         F.coalesce(T.first_match(F.col("s"), SENTENCE_PATTERNS), F.lit("GEN")).alias("pattern"),
@@ -281,11 +282,9 @@ def name_reflected(spark, d):
 
 @query("rule_ner")
 def rule_ner(spark, d):
-    """Names by rule with offsets; the sentences' distinct forms go through the recogniser once and are joined back."""
+    """Names by rule with offsets."""
     ship(spark)
-    rows = sentences(spark, d)
-    seen = rows.select("s").distinct().select("s", ner.rule_ner("s").alias("found"))
-    return rows.join(seen, "s").select("doc_id", F.array_join(F.transform("found", lambda e: F.concat(e["surface"], F.lit("@"), e["start"].cast("string"))), ";").alias("found"))
+    return sentences(spark, d).select("doc_id", ner.rule_ner("s").alias("found")).select("doc_id", F.array_join(F.transform("found", lambda e: F.concat(e["surface"], F.lit("@"), e["start"].cast("string"))), ";").alias("found"))
 
 
 @query("bio_spans")

@@ -10,20 +10,20 @@ from loomline.sources import sinks
 from .textual import _FAILED_SQL, failures
 
 
-@query("insert_if_absent", "SELECT user_id AS c_custkey, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1")
+@query("insert_if_absent", "SELECT l_partkey AS c_custkey, min(l_orderkey) AS first_order FROM lineitem WHERE l_partkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1")
 def insert_if_absent(spark, d):
-    new = load(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.min("event_id").alias("event_id"))
-    return sinks.insert_if_absent(load(spark, d, "customer").filter("c_custkey % 2 = 0"), new, ["c_custkey"])
+    new = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("c_custkey")).agg(F.min("l_orderkey").alias("first_order"))
+    return sinks.insert_if_absent(load(spark, d, "customer"), new, ["c_custkey"])
 
 
 @query(
     "upsert_merge",
-    """WITH n AS (SELECT s_suppkey + 5 AS k, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS bal FROM supplier), o AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey < 50)
+    """WITH n AS (SELECT s_suppkey + 5 AS k, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS bal FROM supplier), o AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer)
     SELECT coalesce(n.k, o.k) AS k, coalesce(n.name, o.name) AS name, coalesce(n.bal, o.bal) AS bal FROM o FULL JOIN n ON o.k = n.k""",
 )
 def upsert_merge(spark, d):
     new = load(spark, d, "supplier").select((F.col("s_suppkey") + 5).alias("k"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")).alias("bal"))
-    old = load(spark, d, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    old = load(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
     return sinks.upsert(old, new, ["k"])
 
 

@@ -43,6 +43,13 @@ def xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame
     return spark.read.format("xml").schema(schema).option("rowTag", tag).option("mode", "DROPMALFORMED").load(path)
 
 
+def files_in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` read from files, with ``file_no``, the place of each one's file among the sorted paths: a rank over a row a file."""
+    named = rows.withColumn("_file", F.col("_metadata.file_path"))
+    files = named.select("_file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
+    return named.join(files, "_file").drop("_file")
+
+
 def xml_fallback(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Contents of a tag by pattern, for files that don't parse."""
     raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where all run on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='loomline-')}"
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def append_pending(table: DataFrame, new: DataFrame, status: str = "status") -> DataFrame:
+    """``table`` and the new rows, which are pending; columns they lack are null."""
+    return table.unionByName(new.withColumn(status, F.lit("PENDING")), allowMissingColumns=True)
+
+
+def cache_entries(rows: DataFrame, output: Column, grade: Column, slotted: Column, put: Column, days: int = 30) -> DataFrame:
+    """``rows`` with ``l1`` and ``l2``, whether a cache takes them whole or as a template, and ``expires``; a read keeps what hasn't expired."""
+    full = F.coalesce(F.trim(output), F.lit("")) != ""
+    taken = lambda c: F.coalesce(full & c, F.lit(False))
+    return rows.withColumns({"l1": taken(grade != "REJECTED"), "l2": taken((grade == "VERIFIED") & slotted), "expires": put + F.expr(f"interval {days} days")})
+
+
 def insert_if_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``new`` whose key isn't in ``table``, one a key: what an append would add."""
     return new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.plans.registry import load, query
+from loomline.sources import sinks
 
 from . import processors, state
 
@@ -17,14 +15,14 @@ def _millis(column: str = "ts"):
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
-@query("stream_ingest", "SELECT event_id, user_id, event_type FROM events WHERE user_id % 10 <> 3")
+@query("stream_ingest", "SELECT event_id, user_id, event_type FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def stream_ingest(spark, d):
-    """The events file read as a stream to its end, terminal users skipped, appended once."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomline-')}"
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """The events file read as a stream to its end, events of finished jobs skipped, the rest appended once."""
+    base = sinks.scratch(spark, "stream")
+    done = load(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
     events = load(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d).filter("user_id % 10 <> 3")
-    processors.ingest(stream, f"{base}/out", f"{base}/checkpoint", ["event_id"]).awaitTermination()
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    processors.ingest(stream, f"{base}/out", f"{base}/checkpoint", ["event_id"], done).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "event_type")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -76,11 +77,39 @@ def test_link_stages(spark):
     index = spark.createDataFrame([("강선", 0, 1), ("강선", 1, 2), ("하나", 2, 1)], "surface string, pos long, person_id long")
     cases = [(0, "강선", 1600, ""), (1, "강선", 1650, "부수찬으로 삼았다"), (2, "강선", 1650, "以姜銑爲副修撰"), (3, "없음", 1650, ""), (4, "강선", 1650, ""), (5, "하나", 1, ""), (6, "강선", 1500, "")]
     mentions = spark.createDataFrame(cases, "mention_id long, surface string, year int, context string")
-    rows = joins.candidate_lists(mentions, index, people).withColumn("l", joins.link_stage(F.col("candidates"), F.col("year"), F.col("context")))
-    got = {r["mention_id"]: (r["l"]["stage"], r["l"]["ids"]) for r in rows.collect()}
+    got = {r["mention_id"]: (r["link"]["stage"], r["link"]["ids"]) for r in joins.link_mentions(mentions, index, people).collect()}
     assert got == {0: ("TIME", [1]), 1: ("OFFICE", [2]), 2: ("OFFICE", [2]), 3: ("MISS", []), 4: ("AMBIGUOUS", [1, 2]), 5: ("SINGLE", [1]), 6: ("AMBIGUOUS", [])}
 
 
+def test_link_stages_match_a_plain_loop(spark):
+    """Persons with several titles, contexts that name several, repeated entries, unknown persons, null years and offices."""
+    rng = random.Random(4)
+    offices = ["판서(判書)", "좌랑", "승지(承旨)", "참판", "()", ""]
+    people = [(i, f"p{i}", rng.choice([None, 1500, 1550, 1600]), rng.choice([None, [], rng.sample(offices, rng.randrange(1, 4))])) for i in range(40)]
+    index = [(rng.choice("abcd"), k, rng.randrange(45)) for k in range(90)] + [("solo", 99, 3)]
+    cases = [(i, rng.choice(["a", "b", "c", "d", "solo", "none", None]), rng.choice([None, 1400, 1520, 1560, 1700]), rng.choice([None, "", "判書", "좌랑 참판", "승지와 判書와 좌랑", "x"])) for i in range(300)]
+    known, want = {p[0]: p for p in people}, {}
+    for i, surface, year, context in cases:
+        entries = [(known.get(p), p) for s, _, p in sorted(index, key=lambda x: x[1]) if s == surface]
+        timely = [(k, p) for k, p in entries if k and (k[2] or 0) <= (9999 if year is None else year)]
+        fits = []
+        for k, p in timely:
+            shown = [t for o in k[3] or [] for t in (re.sub(r"\(.*?\)", "", o).strip(), (re.search(r"\(([^)]*)\)", o) or [0, ""])[1]) if t]
+            if any(t in (context or "") for t in shown):
+                fits.append(p)
+        ids = [p for _, p in timely]
+        if len(entries) < 2:
+            want[i] = ("SINGLE", [entries[0][1]]) if entries else ("MISS", [])
+        else:
+            want[i] = ("TIME", ids) if len(ids) == 1 else ("OFFICE", fits) if len(fits) == 1 else ("AMBIGUOUS", fits or ids[:3])
+    got = joins.link_mentions(
+        spark.createDataFrame(cases, "mention_id long, surface string, year int, context string"),
+        spark.createDataFrame(index, "surface string, pos long, person_id long"),
+        spark.createDataFrame(people, "person_id long, name string, active_from int, offices array<string>").withColumn("known", F.lit(True)),
+    )
+    assert {r["mention_id"]: (r["link"]["stage"], r["link"]["ids"]) for r in got.collect()} == want
+
+
 def test_chrf_and_bleu(spark):
     df = spark.createDataFrame([("the cat sat on it", "the cat sat on it"), ("abc def", "xyz uvw"), ("the cat sat", "the cat sat on the mat")], "hyp string, ref string")
     rows = df.select(metrics.chrf_stats("hyp", "ref").alias("c"), metrics.bleu_word_stats("hyp", "ref").alias("b")).select("c", metrics.chrf_score(F.col("c")).alias("chrf"), metrics.bleu_score(F.col("b")).alias("bleu")).collect()
