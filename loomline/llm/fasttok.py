@@ -82,8 +82,7 @@ class PieceEncoder:
         # a text that may hold a token's own spelling, such as an end mark's, is encoded whole
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
-        self.hint = re.match(r"[^\W\d_]*|[\W\d_]*", os.path.commonprefix(added)).group() if added else ""
-        self.hint = "" if self.hint.isalpha() else self.hint
+        self.hint = re.match(r"[\W\d_]*", os.path.commonprefix(added)).group()  # what is alike in either case
         self.blanks_dropped = blanks_dropped
         self.known: dict[str, bytes | None] = {}
         self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ", blanks_dropped)
