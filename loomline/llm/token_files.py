@@ -78,6 +78,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return thin.join(before, "file_no").select("doc_id", (F.col("_before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_ids, ids of the wanted documents. The condition reaches the ORC reader: files and stripes are left out by
+    their statistics, and row groups by the row index and the Bloom filter on doc_id. Without ids the result is empty.
+    """
+    return spark.read.schema(_SCHEMA).orc(path).filter(F.col("doc_id").isin([int(i) for i in doc_ids])).select("doc_id", "n_ids", "ids")
+
+
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, blanks_dropped: bool) -> DataFrame:
     """Write ``docs`` to token files in the shared folder and read them back. An empty table gives an empty result."""
     path = fresh_path(docs.sparkSession, "tokens")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyarrow.orc import ORCFile
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -205,6 +206,25 @@ def test_token_files_round_trip(spark):
     assert token_files.token_table(table(spark, ROWS).limit(0), file, 2, True).count() == 0
 
 
+def test_token_files_are_pruned_by_their_metadata(spark, tmp_path):
+    file = public_tokenizers.path("word_bpe_49k.json")
+    path = str(tmp_path / "tokens")
+    docs = spark.range(0, 40000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    token_files.write_token_files(docs, path, file, 2, True)
+    parts = [ORCFile(p) for p in sorted(tmp_path.glob("tokens/*.orc"))]
+    assert sum(p.nrows for p in parts) == 20000
+    assert all(p.row_index_stride == 1000 and p.nstripes >= 1 and p.file_footer_length > 0 for p in parts)
+    tokenizer = Tokenizer.from_file(file)
+    for wanted, most in (([7000], 1000), ([7001], 0), ([10, 39998], 2000), ([], 0)):  # 7001 lies in a row group's range; its Bloom filter has no such id
+        found = token_files.lookup(spark, path, wanted)
+        rows = {r["doc_id"]: list(r["ids"]) for r in found.collect()}
+        assert rows == {i: [*tokenizer.encode(f"word {i}", add_special_tokens=False).ids, 2] for i in wanted if i % 2 == 0}
+        if wanted:
+            plan = found._jdf.queryExecution().executedPlan()
+            read = plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+            assert read <= most + 1000 * (wanted == [7001])
+
+
 # --- urls
 
 
