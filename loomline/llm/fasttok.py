@@ -9,15 +9,16 @@ from __future__ import annotations
 import gc
 import os
 import re
+from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 
-#: Ids remembered in a worker: of at most so many pieces, and of so many words inside them. Over that, the earliest
-#: half stays, as frequent ones come early.
-MOST_PIECES, MOST_WORDS = 400_000, 800_000
+#: Ids remembered in a worker: of at most so many pieces when a batch begins. Over that, the earliest half stays, as
+#: frequent ones come early.
+MOST_PIECES = 900_000
 _SINGLE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 #: Marks that the tokenizers' patterns part from letters before them, also in runs; the apostrophe isn't one.
 _MARKS = ".,!?;:"
@@ -46,29 +47,36 @@ class _Words(dict):
         self.tokenizer, self.prefix, self.lower, self.merge = tokenizer, prefix, lower, tokenizer.model.tokenize
         self.start = prefix.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) > MOST_WORDS:
-            kept = dict(islice(self.items(), MOST_WORDS // 2))
+    def forget(self) -> None:
+        if len(self) > MOST_PIECES:
+            kept = dict(islice(self.items(), MOST_PIECES // 2))
             self.clear()
             self.update(kept)
+
+    def learn(self, words: set[str]) -> None:
         others = []
         merge, start, lower = self.merge, self.start, self.lower
         for w in words:
             if w in self:
                 continue
-            if not (w.isalpha() and max(w) < _LATIN_END and _DOTTED not in w):
+            if not w.isalpha():
+                others.append(w)
+                continue
+            if w.isascii():
+                low = letters = w.lower() if lower else w
+            elif max(w) < _LATIN_END and _DOTTED not in w:
+                low = w.lower() if lower else w
+                letters = low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            else:
                 others.append(w)
                 continue
-            low = w.lower() if lower else w
-            found = self.get(low)
-            if found is None:
-                letters = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                self[low] = found = np.array([k.id for k in merge(start + letters)], "<u4").tobytes()
+            if low is w or (found := self.get(low)) is None:
+                self[low] = found = array("I", [k.id for k in merge(start + letters)]).tobytes()
             self[w] = found
         if others:
             encoded = self.tokenizer.encode_batch_fast([self.prefix + w for w in others], add_special_tokens=False)
             for w, e in zip(others, encoded, strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self[w] = array("I", e.ids).tobytes()
 
 
 class PieceEncoder:
@@ -84,37 +92,38 @@ class PieceEncoder:
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.hint = re.match(r"[\W\d_]*", os.path.commonprefix(added)).group()  # what is alike in either case
         self.blanks_dropped = blanks_dropped
-        self.known: dict[str, bytes | None] = {}
         self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ", blanks_dropped)
         self.bare = self.spaced if blanks_dropped else _Words(self.tokenizer, "", False)
+        #: Pieces that follow a space, words and others alike; None marks one that no split gives apart.
+        self.known: dict[str, bytes | None] = self.spaced
 
     def _learn(self, pieces: set[str]) -> None:
         """Ids of pieces that follow a space. A word and the marks after it are encoded apart, and so are lines."""
         spaced, bare = self.spaced, self.bare
-        words, marks, others = set(), set(), []
+        words, marks, ended, others = set(), set(), [], []
         for p in pieces:
+            if p.isalpha():
+                words.add(p)
+                continue
             word = p.rstrip(_MARKS)
             if word.isalpha():
+                mark = p[len(word) :]
                 words.add(word)
-                if len(word) < len(p):
-                    marks.add(p[len(word) :])
+                marks.add(mark)
+                ended.append((p, word, mark))
             else:
-                others.append(p)
-        cut = {p: self._lines(p) for p in others}
-        for steps in cut.values():
+                others.append((p, self._lines(p)))
+        for _, steps in others:
             words.update(w for own, w in steps if own is spaced)
             marks.update(w for own, w in steps if own is not spaced)
         if spaced is bare:
             words |= marks
         spaced.learn(words)
         bare.learn(marks)
-        known = self.known
-        for p in pieces:
-            if p in cut:
-                known[p] = b"".join([own[w] for own, w in cut[p]])
-            else:
-                word = p.rstrip(_MARKS)
-                known[p] = spaced[word] + bare[p[len(word) :]] if len(word) < len(p) else spaced[word]
+        for p, word, mark in ended:
+            spaced[p] = spaced[word] + bare[mark]
+        for p, steps in others:
+            spaced[p] = b"".join([own[w] for own, w in steps])
 
     def _lines(self, piece: str) -> list[tuple[_Words, str]]:
         out: list[tuple[_Words, str]] = []
@@ -137,8 +146,8 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.known) > MOST_PIECES:
-            self.known = dict(islice(self.known.items(), MOST_PIECES // 2))
+        self.spaced.forget()
+        self.bare.forget()
         whole = [i for i, t in enumerate(texts) if self.added and self.hint in t and self.added.search(t)]
         if whole:
             apart = set(whole)
@@ -160,9 +169,13 @@ class PieceEncoder:
     def _word_level(self, texts: Sequence[str]) -> list[bytes]:
         """Blanks end a token and are dropped: split at each space and line feed; other blanks stay inside a piece."""
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(self._unknown(parts))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        get = self.known.get
+        found = [list(map(get, p)) for p in parts]
+        lacking = [k for k, f in enumerate(found) if None in f]
+        self._learn({p for k in lacking for p, ids in zip(parts[k], found[k], strict=True) if ids is None})
+        for k in lacking:
+            found[k] = [get(p) if ids is None else ids for p, ids in zip(parts[k], found[k], strict=True)]
+        return list(map(b"".join, found))
 
     def _byte_level(self, texts: Sequence[str]) -> list[bytes]:
         """A space between two other characters starts a token: split before it.
