@@ -88,7 +88,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def find_secrets(docs: DataFrame, ranks: str, pattern: str, most_chars_per_token: float = 2.0, most_of_words: float = 1.4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, ranks: str, pattern: str, most_chars_per_token: float = 2.0, most_of_words: float = 1.6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex, n_random, base_sha256, spans for every whole text.
 
     Spans are code points with an exclusive end, by start, then kind. A run of 12 or more key characters is ``random`` at
