@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 from loomline.plans.registry import load, query
 
-from .joins import _HASH_SQL, MENTIONS_SQL, linked_mentions, paired
+from .joins import _HASH_SQL, MENTIONS_SQL, linked_mentions, missed_mentions, paired
 
 
 @query("filtered_counts", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'P') AS bad FROM orders GROUP BY o_custkey")
@@ -174,7 +174,7 @@ def prefix_dup_curve(spark, d):
     SELECT sum(n)::BIGINT AS mentions, count(*) AS surfaces, round(100 * coalesce(sum(n) FILTER (n >= 10), 0) / sum(n), 4) AS tail_share, round(100 * sum(n) FILTER (k <= 200) / sum(n), 4) AS top_share FROM r""",
 )
 def miss_surface_coverage(spark, d):
-    per = linked_mentions(spark, d).filter("link.stage = 'MISS'").groupBy("surface").agg(F.count("*").alias("n"))
+    per = missed_mentions(spark, d).groupBy("surface").agg(F.count("*").alias("n"))
     top = per.orderBy(F.desc("n"), "surface").limit(200).agg(F.sum("n").alias("top"))
     total = per.agg(F.sum("n").alias("mentions"), F.count("*").alias("surfaces"), F.sum(F.when(F.col("n") >= 10, F.col("n")).otherwise(0)).alias("tail"))
     return total.join(top).select(

@@ -44,34 +44,33 @@ def link_mentions(mentions: DataFrame, index: DataFrame, people: DataFrame) -> D
     Index entries keep their order and repeats; a person missing from the master stays a candidate without dates.
 
     A mention looks up its surface's profile, then the candidates of the titles that its context names, so its cost
-    follows years, titles and its own result, not the candidates of its surface.
+    follows years, titles and its own result, not the candidates of its surface. Office matches are collected once for each
+    distinct surface, year and set of named titles.
     """
     since = F.when(F.col("known"), F.coalesce("active_from", F.lit(0)))
     entries = index.join(people, "person_id", "left").select("surface", "pos", "person_id", since.alias("since"), titles_of(F.col("offices")).alias("titles"))
     year = F.coalesce("year", F.lit(2147483647))
+    named = F.coalesce(F.array_sort(F.filter("titles", lambda t: F.col("context").contains(t))), F.array().cast("array<string>"))
     rows = mentions.join(surface_profiles(entries), "surface", "left")
-    rows = rows.withColumn("at", F.array_max(F.filter("steps", lambda s: s["since"] <= year)))
-    named = F.filter("titles", lambda t: F.col("context").contains(t))
-    rows = rows.withColumn("named", F.when(F.col("n") > 1, F.array_sort(named))).drop("steps", "titles")
-    # holders of each title of a surface, and of each set of titles that some context names together
-    holders = entries.filter("since is not null").select("surface", F.explode("titles").alias("t"), F.struct("pos", "person_id", "since").alias("e"))
-    single = holders.groupBy("surface", "t").agg(F.array_sort(F.collect_list("e")).alias("holders"))
-    sets = rows.filter(F.size("named") > 1).select("surface", "named").distinct().withColumn("t", F.explode("named"))
-    several = sets.join(single, ["surface", "t"]).groupBy("surface", "named").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("holders"))
-    by_set = single.select("surface", F.array("t").alias("named"), "holders").unionByName(several)
-    rows = rows.join(by_set, ["surface", "named"], "left").withColumn("fits", F.coalesce(F.filter("holders", lambda e: e["since"] <= year), F.array().cast("array<struct<pos:bigint,person_id:bigint,since:int>>")))
-    stage = lambda name, ids: F.struct(F.lit(name).alias("stage"), F.coalesce(ids, F.array().cast("array<long>")).alias("ids"))
-    fits, lead = (F.transform(c, lambda e: e["person_id"].cast("long")) for c in (F.col("fits"), F.col("at.lead")))
-    link = (
-        F.when(F.col("n").isNull(), stage("MISS", F.lit(None).cast("array<long>")))
-        .when(F.col("n") == 1, stage("SINGLE", F.array(F.col("first.person_id").cast("long"))))
-        .when(F.col("at.nt") == 1, stage("TIME", lead))
-        .when(F.size("fits") == 1, stage("OFFICE", fits))
-        .when(F.size("fits") >= 2, stage("AMBIGUOUS", fits))
-        .otherwise(stage("AMBIGUOUS", lead))
-    )
-    counts = F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("at.nt", F.lit(0)).cast("long").alias("nt"), F.size("fits").cast("long").alias("no")
-    return rows.select(*mentions.columns, *counts, link.alias("link"))
+    rows = rows.withColumn("at", F.array_max(F.filter("steps", lambda s: s["since"] <= year))).withColumn("named", F.when(F.col("n") > 1, named)).withColumn("by", year)
+    # each surface, year and set of titles named together is solved once, however many mentions share it
+    cases = rows.filter(F.size("named") > 0).select("surface", "by", "named").distinct()
+    holders = entries.filter("since is not null").select("surface", F.explode("titles").alias("t"), F.struct("pos", F.col("person_id").cast("long").alias("person_id")).alias("e"), "since")
+    held = cases.withColumn("t", F.explode("named")).join(holders, ["surface", "t"]).filter("since <= by")
+    fits = held.groupBy("surface", "by", "named").agg(F.array_sort(F.array_distinct(F.collect_list("e"))).alias("fits"))
+    fits = fits.select("surface", "by", "named", F.size("fits").cast("long").alias("no"), F.col("fits.person_id").alias("fits"))
+    rows = rows.drop("steps", "titles").join(fits, ["surface", "by", "named"], "left")
+    lead = F.transform("at.lead", lambda e: e["person_id"].cast("long"))
+    n, nt, no = F.col("n"), F.coalesce("at.nt", F.lit(0)).cast("long"), F.coalesce("no", F.lit(0)).cast("long")
+    stage = F.when(n.isNull(), "MISS").when(n == 1, "SINGLE").when(nt == 1, "TIME").when(no == 1, "OFFICE").otherwise("AMBIGUOUS")
+    ids = F.when(n == 1, F.array(F.col("first.person_id").cast("long"))).when((nt != 1) & (no > 0), F.col("fits")).when(n > 1, lead)
+    link = F.struct(stage.alias("stage"), F.coalesce(ids, F.array().cast("array<long>")).alias("ids")).alias("link")
+    return rows.select(*mentions.columns, F.coalesce(n, F.lit(0)).cast("long").alias("n"), nt.alias("nt"), no.alias("no"), link)
+
+
+def missed(mentions: DataFrame, index: DataFrame) -> DataFrame:
+    """The mentions whose stage is MISS: no index entry has their surface."""
+    return mentions.join(index.select("surface"), "surface", "left_anti")
 
 
 def _people(spark, d) -> DataFrame:
@@ -105,6 +104,10 @@ def linked_mentions(spark, d) -> DataFrame:
     return link_mentions(mentions(spark, d), _index(spark, d), _people(spark, d))
 
 
+def missed_mentions(spark, d) -> DataFrame:
+    return missed(mentions(spark, d), _index(spark, d))
+
+
 MENTIONS_SQL = """
 mentions AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, CASE WHEN l_linenumber % 3 = 0 THEN p_type WHEN l_linenumber % 3 = 1 THEN p_brand ELSE p_name END AS surface,
   CAST(trunc(l_quantity) AS INT) AS year, 'see ' || p_brand || ' of ' || l_returnflag AS context FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -145,9 +148,9 @@ def entity_link(spark, d):
 
 @query("kb_miss_spans", f"WITH {MENTIONS_SQL} SELECT doc_id, count(*) AS n, string_agg(surface || ':KB_MISS', '|' ORDER BY line, surface) AS spans FROM linked WHERE stage = 'MISS' GROUP BY doc_id")
 def kb_miss_spans(spark, d):
-    missed = linked_mentions(spark, d).filter("link.stage = 'MISS'")
+    rows = missed_mentions(spark, d)
     spans = F.array_sort(F.collect_list(F.struct("line", F.concat("surface", F.lit(":KB_MISS")).alias("s"))))
-    return missed.groupBy("doc_id").agg(F.count("*").alias("n"), spans.alias("s")).select("doc_id", "n", F.array_join(F.col("s.s"), "|").alias("spans"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), spans.alias("s")).select("doc_id", "n", F.array_join(F.col("s.s"), "|").alias("spans"))
 
 
 # --- relational joins -----------------------------------------------------------------------------------------------
