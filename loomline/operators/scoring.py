@@ -26,24 +26,54 @@ def corpus_scores(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "n", F.round(M.chrf_score(F.col("c")), 6).alias("chrf"), F.round(M.bleu_score(F.col("b")), 6).alias("bleu_char"), F.round(M.bleu_score(F.col("w")), 6).alias("bleu_word"))
 
 
-@query("chrf_corpus")
+def _scores_sql(groups: str, select: str) -> str:
+    """The metrics in SQL: n-grams of characters without blanks (c) and of words (w), counted on both sides per pair, then summed per group.
+
+    ``groups`` lists a pair's group keys; ``select`` reads grp, n and the scores of each group.
+    """
+    gram = {"c": "substr({}, i, k)", "w": "array_to_string({}[i:i + k - 1], ' ')"}
+    grams = lambda kind, side, longest: (
+        f"SELECT id, '{kind}' AS kind, k, unnest(list_transform(range(1, length({side}{kind}) - k + 2), lambda i: {gram[kind].format(side + kind)})) AS g, "
+        f"{int(side == 'h')} AS a, {int(side == 'r')} AS b FROM t, range(1, {longest + 1}) o(k)"
+    )
+    return f"""WITH p AS (SELECT row_number() OVER () AS id, u.conv_id, a.turn, u.text AS hyp, a.text AS ref FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+    t AS (SELECT *, regexp_replace(hyp, '\\s', '', 'g') AS hc, regexp_replace(ref, '\\s', '', 'g') AS rc, regexp_extract_all(hyp, '\\S+') AS hw, regexp_extract_all(ref, '\\S+') AS rw, {groups} AS grps FROM p),
+    g AS ({grams('c', 'h', 6)} UNION ALL {grams('c', 'r', 6)} UNION ALL {grams('w', 'h', 4)} UNION ALL {grams('w', 'r', 4)}),
+    m AS (SELECT id, kind, k, sum(a) AS a, sum(b) AS b, sum(least(a, b)) AS hits FROM (SELECT id, kind, k, g, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL) GROUP BY ALL),
+    q AS (SELECT id, unnest(grps) AS grp FROM t), z AS (SELECT grp, count(*) AS n FROM q GROUP BY grp),
+    s AS (SELECT grp, kind, k, sum(a) AS a, sum(b) AS b, sum(hits) AS hits FROM q JOIN m USING (id) GROUP BY ALL),
+    c AS (SELECT grp, avg(hits / a) AS p, avg(hits / b) AS r FROM s WHERE kind = 'c' AND a > 0 AND b > 0 GROUP BY grp),
+    e AS (SELECT *, sum((a > 0 AND hits = 0)::INT) OVER (PARTITION BY grp, kind ORDER BY k) AS gaps FROM s WHERE k <= 4),
+    l AS (SELECT grp, kind, max(a) FILTER (k = 1) AS a, max(b) FILTER (k = 1) AS b, max(hits) FILTER (k = 1) AS uni, count(*) FILTER (a > 0) AS orders,
+      sum(CASE WHEN a = 0 THEN 0 WHEN hits = 0 THEN ln(100.0 / (2 ** gaps * a)) ELSE ln(100.0 * hits / a) END) AS logs FROM e GROUP BY ALL),
+    x AS (SELECT grp, kind, orders, CASE WHEN coalesce(a, 0) = 0 OR uni = 0 THEN NULL WHEN a < b THEN exp(1 - b / a) ELSE 1 END AS brevity, logs FROM l),
+    y AS (SELECT grp, max(CASE WHEN orders = 4 THEN brevity * exp(logs / 4) END) FILTER (kind = 'c') AS bleu_char, max(CASE WHEN orders = 4 THEN brevity * exp(logs / 4) END) FILTER (kind = 'w') AS bleu_word,
+      max(brevity * exp(logs / orders)) FILTER (kind = 'c') AS effective FROM x GROUP BY grp),
+    f AS (SELECT grp, n, round(coalesce(CASE WHEN p + r > 0 THEN 500 * p * r / (4 * p + r) END, 0), 6) AS chrf, round(coalesce(bleu_char, 0), 6) AS bleu_char, round(coalesce(bleu_word, 0), 6) AS bleu_word,
+      round(coalesce(effective, 0), 6) AS bleu FROM z LEFT JOIN c USING (grp) LEFT JOIN y USING (grp)) {select}"""
+
+
+_BREAKDOWN_SQL = "['all', 'len=' || CASE WHEN length(hyp) <= 80 THEN 'S' WHEN length(hyp) <= 200 THEN 'M' ELSE 'L' END, 'odd=' || conv_id % 2]"
+
+
+@query("chrf_corpus", _scores_sql("['all']", "SELECT n, chrf FROM f"))
 def chrf_corpus(spark, d):
     return corpus_scores(pairs(spark, d).withColumn("all", F.lit("all")), ["all"]).select("n", "chrf")
 
 
-@query("bleu_corpus")
+@query("bleu_corpus", _scores_sql("[turn]", "SELECT grp AS turn, n, bleu_char, bleu_word FROM f"))
 def bleu_corpus(spark, d):
-    return corpus_scores(pairs(spark, d).withColumn("turn", F.col("turn")), ["turn"]).select("turn", "n", "bleu_char", "bleu_word")
+    return corpus_scores(pairs(spark, d), ["turn"]).select("turn", "n", "bleu_char", "bleu_word")
 
 
-@query("chrf_sentence")
+@query("chrf_sentence", _scores_sql("[id]", "SELECT conv_id, turn, chrf, bleu FROM f JOIN t ON id = grp"))
 def chrf_sentence(spark, d):
     ship(spark)
     rows = pairs(spark, d).select("conv_id", "turn", M.chrf_stats("hyp", "ref").alias("c"), M.bleu_char_stats("hyp", "ref").alias("b"))
     return rows.select("conv_id", "turn", F.round(M.chrf_score(F.col("c")), 6).alias("chrf"), F.round(M.bleu_score(F.col("b"), effective=True), 6).alias("bleu"))
 
 
-@query("score_breakdown")
+@query("score_breakdown", _scores_sql(_BREAKDOWN_SQL, "SELECT grp AS \"group\", n, chrf, bleu_char, bleu_word FROM f"))
 def score_breakdown(spark, d):
     """All pairs, by length and by parity of the conversation, from one pass: each row goes to its three groups before the sums."""
     n = F.length("hyp")

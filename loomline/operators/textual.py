@@ -287,7 +287,15 @@ def rule_ner(spark, d):
     return sentences(spark, d).select("doc_id", ner.rule_ner("s").alias("found")).select("doc_id", F.array_join(F.transform("found", lambda e: F.concat(e["surface"], F.lit("@"), e["start"].cast("string"))), ";").alias("found"))
 
 
-@query("bio_spans")
+@query(
+    "bio_spans",
+    """WITH l AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ['B-PER', 'I-PER', 'O'] WHEN 1 THEN ['I-LOC', 'B-PER', 'I-LOC'] WHEN 2 THEN ['O', 'O', 'O'] ELSE ['B-DAT', 'I-DAT', 'I-DAT'] END AS labels FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, unnest([1, 2, 3]) AS i, unnest(labels) AS label, unnest([0.9, 0.5, 0.4]::DOUBLE[]) AS score FROM l),
+    k AS (SELECT *, CASE WHEN label <> 'O' THEN substr(label, 3) END AS kind FROM t), p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k),
+    o AS (SELECT *, sum((kind IS NOT NULL AND (label LIKE 'B-%' OR kind IS DISTINCT FROM before))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM p),
+    e AS (SELECT doc_id, kind, min(2 * i - 2) AS s, max(2 * i) AS e, avg(score) AS m FROM o WHERE kind IS NOT NULL GROUP BY doc_id, span, kind HAVING avg(score) >= 0.5)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce((SELECT string_agg(kind || ':' || s || ':' || e || ':' || round(m, 4), ';' ORDER BY s) FROM e WHERE e.doc_id = d.doc_id), '') END AS spans FROM documents d""",
+)
 def bio_spans(spark, d):
     """Label sequences merged to spans: three tokens of two characters, labels by id."""
     ship(spark)
@@ -301,7 +309,18 @@ def bio_spans(spark, d):
 DICTIONARY = ("worthless", "less", "idiot", "the", "thes", "edition", "tion")
 
 
-@query("dict_match")
+def _marked_sql(text: str) -> str:
+    """The text with each word's kept occurrences as runs of a private character, longer words first: no two words of equal length overlap."""
+    for w in sorted(DICTIONARY, key=len, reverse=True):
+        text = f"replace({text}, '{w}', repeat(chr({0xE000 + DICTIONARY.index(w)}), {len(w)}))"
+    return text
+
+
+@query(
+    "dict_match",
+    f"""WITH m AS (SELECT doc_id, {_marked_sql('text')} AS m FROM documents), w AS (SELECT unnest({list(DICTIONARY)}) AS word, unnest(range(57344, {57344 + len(DICTIONARY)})) AS mark)
+    SELECT doc_id, word, CAST((length(m) - length(replace(m, chr(mark::INT), ''))) / length(word) AS BIGINT) AS n, CAST(instr(m, chr(mark::INT)) - 1 AS INT) AS first FROM m, w WHERE contains(m, chr(mark::INT))""",
+)
 def dict_match(spark, d):
     """Dictionary words per document, longest first, without overlaps."""
     ship(spark)
