@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,27 +13,40 @@ from pyspark.sql.types import ArrayType, LongType
 CHRF_ORDER, CHRF_BETA, BLEU_ORDER = 6, 2, 4
 
 
-def _matches(hyp: list, ref: list, n: int) -> tuple[int, int, int]:
-    a = Counter(tuple(hyp[i : i + n]) for i in range(len(hyp) - n + 1))
-    b = Counter(tuple(ref[i : i + n]) for i in range(len(ref) - n + 1))
-    return sum(a.values()), sum(b.values()), sum(min(c, b[g]) for g, c in a.items() if g in b)
+def _matches(hyp: np.ndarray, ref: np.ndarray, longest: int) -> list[tuple[int, int, int]]:
+    """For each order n-grams in hyp, in ref, in both. An n-gram is numbered from the number of its first n - 1 items and the last one, so numbers are exact."""
+    alphabet, items = np.unique(np.concatenate([hyp, ref]), return_inverse=True)
+    h, r = a, b = items[: len(hyp)], items[len(hyp) :]
+    out = []
+    for n in range(1, longest + 1):
+        if n > 1:
+            a, b = a[:-1] * len(alphabet) + h[n - 1 :], b[:-1] * len(alphabet) + r[n - 1 :]
+            grams = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+            a, b = grams[: len(a)], grams[len(a) :]
+        size = max(a.max(initial=-1), b.max(initial=-1)) + 1
+        out.append((len(a), len(b), int(np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size)).sum())))
+    return out
+
+
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer("".join(text.split()).encode("utf-32-le"), np.uint32)
+
+
+def _words(hyp: str, ref: str) -> tuple[np.ndarray, np.ndarray]:
+    number: dict[str, int] = {}
+    h, r = (np.array([number.setdefault(w, len(number)) for w in t.split()], np.int64) for t in (hyp, ref))
+    return h, r
 
 
 def chrf_counts(hyp: str, ref: str) -> list[int]:
     """For each order: n-grams in the hypothesis, in the reference, in both; blanks are left out."""
-    h, r = list("".join(hyp.split())), list("".join(ref.split()))
-    return [x for n in range(1, CHRF_ORDER + 1) for x in _matches(h, r, n)]
+    return [x for counts in _matches(_chars(hyp), _chars(ref), CHRF_ORDER) for x in counts]
 
 
 def bleu_counts(hyp: str, ref: str, tokens: str) -> list[int]:
     """Length of hypothesis and reference, then for each order n-grams matched and in the hypothesis."""
-    cut = (lambda t: list("".join(t.split()))) if tokens == "char" else str.split
-    h, r = cut(hyp), cut(ref)
-    out = [len(h), len(r)]
-    for n in range(1, BLEU_ORDER + 1):
-        total, _, both = _matches(h, r, n)
-        out += [both, total]
-    return out
+    h, r = (_chars(hyp), _chars(ref)) if tokens == "char" else _words(hyp, ref)
+    return [len(h), len(r)] + [x for total, _, both in _matches(h, r, BLEU_ORDER) for x in (both, total)]
 
 
 def _stats(count):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import metrics as M
@@ -18,12 +18,13 @@ def pairs(spark, d) -> DataFrame:
     return user.join(c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("ref")), ["conv_id", "turn"])
 
 
-def corpus_scores(rows: DataFrame, by: list[str]) -> DataFrame:
-    """chrF and BLEU (characters, words) of each group, from one statistics row a pair."""
+def corpus_scores(rows: DataFrame, by: str, groups: Column) -> DataFrame:
+    """chrF and BLEU (characters, words) of each group, from one statistics row a pair; a pair goes to all its ``groups`` once it is counted."""
     ship(rows.sparkSession)
-    stats = rows.select(*by, M.chrf_stats("hyp", "ref").alias("c"), M.bleu_char_stats("hyp", "ref").alias("b"), M.bleu_word_stats("hyp", "ref").alias("w"))
-    sums = stats.groupBy(*by).agg(F.count("*").alias("n"), M.summed(F.col("c"), 3 * M.CHRF_ORDER).alias("c"), M.summed(F.col("b"), 2 + 2 * M.BLEU_ORDER).alias("b"), M.summed(F.col("w"), 2 + 2 * M.BLEU_ORDER).alias("w"))
-    return sums.select(*by, "n", F.round(M.chrf_score(F.col("c")), 6).alias("chrf"), F.round(M.bleu_score(F.col("b")), 6).alias("bleu_char"), F.round(M.bleu_score(F.col("w")), 6).alias("bleu_word"))
+    stats = rows.select(groups.alias("groups"), M.chrf_stats("hyp", "ref").alias("c"), M.bleu_char_stats("hyp", "ref").alias("b"), M.bleu_word_stats("hyp", "ref").alias("w"))
+    stats = stats.select(F.explode("groups").alias(by), "c", "b", "w")
+    sums = stats.groupBy(by).agg(F.count("*").alias("n"), M.summed(F.col("c"), 3 * M.CHRF_ORDER).alias("c"), M.summed(F.col("b"), 2 + 2 * M.BLEU_ORDER).alias("b"), M.summed(F.col("w"), 2 + 2 * M.BLEU_ORDER).alias("w"))
+    return sums.select(by, "n", F.round(M.chrf_score(F.col("c")), 6).alias("chrf"), F.round(M.bleu_score(F.col("b")), 6).alias("bleu_char"), F.round(M.bleu_score(F.col("w")), 6).alias("bleu_word"))
 
 
 def _scores_sql(groups: str, select: str) -> str:
@@ -58,12 +59,12 @@ _BREAKDOWN_SQL = "['all', 'len=' || CASE WHEN length(hyp) <= 80 THEN 'S' WHEN le
 
 @query("chrf_corpus", _scores_sql("['all']", "SELECT n, chrf FROM f"))
 def chrf_corpus(spark, d):
-    return corpus_scores(pairs(spark, d).withColumn("all", F.lit("all")), ["all"]).select("n", "chrf")
+    return corpus_scores(pairs(spark, d), "all", F.array(F.lit("all"))).select("n", "chrf")
 
 
 @query("bleu_corpus", _scores_sql("[turn]", "SELECT grp AS turn, n, bleu_char, bleu_word FROM f"))
 def bleu_corpus(spark, d):
-    return corpus_scores(pairs(spark, d), ["turn"]).select("turn", "n", "bleu_char", "bleu_word")
+    return corpus_scores(pairs(spark, d), "turn", F.array("turn")).select("turn", "n", "bleu_char", "bleu_word")
 
 
 @query("chrf_sentence", _scores_sql("[id]", "SELECT conv_id, turn, chrf, bleu FROM f JOIN t ON id = grp"))
@@ -75,10 +76,10 @@ def chrf_sentence(spark, d):
 
 @query("score_breakdown", _scores_sql(_BREAKDOWN_SQL, "SELECT grp AS \"group\", n, chrf, bleu_char, bleu_word FROM f"))
 def score_breakdown(spark, d):
-    """All pairs, by length and by parity of the conversation, from one pass: each row goes to its three groups before the sums."""
+    """All pairs, by length and by parity of the conversation, from one pass: each pair is counted once and goes to its three groups before the sums."""
     n = F.length("hyp")
     groups = F.array(F.lit("all"), F.concat(F.lit("len="), T.bucket(n, [(80, "S"), (200, "M")], "L", True)), F.concat(F.lit("odd="), (F.col("conv_id") % 2).cast("string")))
-    return corpus_scores(pairs(spark, d).withColumn("group", F.explode(groups)), ["group"])
+    return corpus_scores(pairs(spark, d), "group", groups)
 
 
 _NAMES_SQL = "n AS (SELECT l_orderkey AS doc, l_returnflag AS tag, l_quantity > 25 AS strict, l_quantity > 20 AS lenient FROM lineitem)"
