@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -69,19 +70,25 @@ def bio_spans(least: float = 0.5):
     return merge
 
 
+@lru_cache(maxsize=8)
+def _automaton(words: tuple[str, ...]):
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for w in words:
+        machine.add_word(w, w)
+    if words:
+        machine.make_automaton()
+    return machine
+
+
 def dictionary_matches(words: list[str]):
-    """Occurrences of dictionary words, longest first, then leftmost, without overlaps; sorted by start. An automaton is built per task batch from the broadcast words."""
+    """Occurrences of dictionary words, longest first, then leftmost, without overlaps; sorted by start. A worker builds a dictionary's automaton once."""
+    known = tuple(w for w in words if w)
 
     @F.arrow_udf(MATCHES)
     def match(texts: pa.Array) -> pa.Array:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for w in words:
-            if w:
-                machine.add_word(w, w)
-        if len(machine):
-            machine.make_automaton()
+        machine = _automaton(known)
         out = []
         for t in texts.to_pylist():
             if t is None:

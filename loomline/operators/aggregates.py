@@ -9,6 +9,7 @@ from loomline.functions import text as T
 from loomline.plans.registry import load, query
 
 from .joins import _HASH_SQL, MENTIONS_SQL, linked_mentions, missed_mentions, paired
+from .quantiles import index, quantiles, share
 
 
 @query("filtered_counts", "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'P') AS bad FROM orders GROUP BY o_custkey")
@@ -182,11 +183,6 @@ def miss_surface_coverage(spark, d):
     )
 
 
-def at_index(df: DataFrame, value: str, indexes: dict[str, int], n: int) -> list[Column]:
-    """Exact order statistics by index: the percentile at index / (n - 1) needs no interpolation."""
-    return [F.round(F.percentile(value, F.lit(min(max(i, 0), n - 1) / max(n - 1, 1))), 6).alias(name) for name, i in indexes.items()]
-
-
 @query(
     "describe_scores",
     """SELECT count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS sd,
@@ -194,9 +190,9 @@ def at_index(df: DataFrame, value: str, indexes: dict[str, int], n: int) -> list
 )
 def describe_scores(spark, d):
     e = load(spark, d, "events")
-    n = e.agg(F.count("value").alias("n")).first()["n"]
-    base = [F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("sd")]
-    return e.agg(*base, *at_index(e, "value", {"p50": int(n * 0.5), "p95": int(n * 0.95)}, n))
+    base = e.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"))
+    places = quantiles(e, F.col("value"), {"median": share(0.5), "p50": index(0.5), "p95": index(0.95)})
+    return base.join(F.broadcast(places)).select("n", "mean", "sd", *[F.round(c, 6).alias(c) for c in places.columns])
 
 
 @query(
@@ -207,7 +203,7 @@ def describe_scores(spark, d):
 )
 def outlier_thresholds(spark, d):
     e = load(spark, d, "events")
-    q = e.agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    q = e.agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).join(F.broadcast(quantiles(e, F.col("value"), {"q1": share(0.25), "q3": share(0.75)})))
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return e.join(F.broadcast(q)).agg(
         F.round(F.first(low), 6).alias("iqr_low"),
@@ -229,13 +225,12 @@ def bin_hist(spark, d):
     round(avg(value) - avg(CASE WHEN user_id % 2 = 0 THEN value END), 6) AS diff FROM events GROUP BY event_type""",
 )
 def describe_pop(spark, d):
-    return load(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_pop("value"), 6).alias("sd"),
-        F.round(F.percentile("value", F.lit(0.25)), 6).alias("q1"),
-        F.round(F.percentile("value", F.lit(0.75)), 6).alias("q3"),
-        F.round(F.avg("value") - F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))), 6).alias("diff"),
+    e = load(spark, d, "events")
+    per = e.groupBy("event_type").agg(
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.round(F.avg("value") - F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))), 6).alias("diff")
     )
+    quarters = quantiles(e, F.col("value"), {"q1": share(0.25), "q3": share(0.75)}, {"type": F.col("event_type")})
+    return per.join(F.broadcast(quarters), F.col("event_type").eqNullSafe(F.col("type")), "left").select("event_type", "mean", "sd", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"), "diff")
 
 
 @query(
@@ -245,10 +240,10 @@ def describe_pop(spark, d):
 )
 def latency_by_stage(spark, d):
     e = load(spark, d, "events")
-    n = e.count()
     stages = e.select(F.explode(F.create_map(F.lit("ner"), F.col("value"), F.lit("llm"), F.col("value") * (1 + F.col("user_id") % 7))).alias("stage", "ms"))
-    per = stages.groupBy("stage").agg(F.round(F.avg("ms"), 6).alias("mean"), *at_index(stages, "ms", {"p95": int(n * 0.95)}, n), F.sum("ms").alias("total"))
-    return per.select("stage", "mean", "p95", F.round(F.col("total") / F.sum("total").over(Window.partitionBy()), 6).alias("share"))
+    per = stages.groupBy("stage").agg(F.round(F.avg("ms"), 6).alias("mean"), F.sum("ms").alias("total"))
+    late = quantiles(stages, F.col("ms"), {"p95": index(0.95)}, {"stage": F.col("stage")})
+    return per.join(F.broadcast(late), "stage").select("stage", "mean", F.round("p95", 6).alias("p95"), F.round(F.col("total") / F.sum("total").over(Window.partitionBy()), 6).alias("share"))
 
 
 @query(
@@ -428,4 +423,5 @@ def metric_counters(spark, d):
 @query("token_ratio", "SELECT round(avg(length(text) / n_chars), 6) AS mean, round(median(length(text) / n_chars), 6) AS median FROM documents")
 def token_ratio(spark, d):
     r = F.length("text") / F.col("n_chars")
-    return load(spark, d, "documents").agg(F.round(F.avg(r), 6).alias("mean"), F.round(F.median(r), 6).alias("median"))
+    docs = load(spark, d, "documents")
+    return docs.agg(F.round(F.avg(r), 6).alias("mean")).join(F.broadcast(quantiles(docs, r, {"median": share(0.5)}))).select("mean", F.round("median", 6).alias("median"))

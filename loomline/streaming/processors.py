@@ -37,24 +37,19 @@ def stateful(stream: DataFrame, key: str, processor: StepProcessor, schema: str,
     return stream.groupBy(key).transformWithState(processor, outputStructType=schema, outputMode="Append", timeMode=mode)
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], terminal: DataFrame | None = None):
-    """At-least-once consumption made idempotent: a micro-batch appends the rows whose key is neither done nor in the output yet.
+def ingest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], terminal: DataFrame | None = None, ts: str | None = None, late: str = "1 day"):
+    """At-least-once consumption made idempotent: a micro-batch appends the rows whose key is neither done nor was seen before.
 
-    A batch that fails is replayed from the checkpoint; what it had written is skipped then.
+    Seen keys are state, so a batch costs what it holds, whatever was written earlier; with ``ts`` only those of the last ``late`` are
+    kept. A batch writes a folder of its own and overwrites it when replayed from the checkpoint.
     """
+    fresh = stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if ts else stream.dropDuplicates(keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
-        if terminal is not None:
-            rows = rows.join(terminal.select(*keys), keys, "left_anti")
-        # a batch writes a folder of its own and overwrites it when replayed
-        earlier = spark.read.option("recursiveFileLookup", True).schema(batch.schema).parquet(path) if batch_id else None
-        if earlier is not None:
-            rows = rows.join(earlier.filter(~F.col("_metadata.file_path").contains(f"batch={batch_id}/")).select(*keys), keys, "left_anti")
+        rows = batch if terminal is None else batch.join(terminal.select(*keys), keys, "left_anti")
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def route_failures(stream: DataFrame, done_path: str, dead_path: str, checkpoint: str, message: str = "message", delivery: str = "delivery"):
