@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.operators import aggregates, extras, filters, jobs, joins, ordering, replay, scoring, textual, writes  # noqa: F401
+from loomline.operators import aggregates, extras, filters, jobs, joins, ordering, prompts, replay, scoring, textual, writes  # noqa: F401
 from loomline.streaming import queries as streaming_queries  # noqa: F401
 
 from .registry import ORACLES, QUERIES

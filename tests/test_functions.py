@@ -1,6 +1,7 @@
 """Example tables of the text, slot, routing, metric and recognition functions."""
 
 import math
+import os
 import random
 import re
 import unicodedata
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from loomline.functions import metrics, ner, routing, slots
 from loomline.functions import text as T
-from loomline.operators import joins, replay
+from loomline.functions.shipping import ship
+from loomline.operators import joins, replay, textual
+from loomline.operators import prompts as p
+from loomline.operators import quantiles as q
 
 
 def one(spark, column):
@@ -138,3 +142,88 @@ def test_replay_matches_sequential_fold(spark):
                     l2.setdefault(template, pos)
         df = spark.createDataFrame(items, "pos long, l1_key string, template_hash string, grade string, stores boolean")
         assert {r["pos"]: r["outcome"] for r in replay.replay(df).collect()} == want, trial
+
+
+def test_quantiles_in_passes(spark, monkeypatch):
+    """Ties, one far value, null and single-value groups; small bins force several passes."""
+    monkeypatch.setattr(q, "FEW", 3)
+    monkeypatch.setattr(q, "BINS", 4)
+    rnd = random.Random(5)
+    groups = {"a": [rnd.gauss(0, 1) for _ in range(200)] + [1e12], "b": [1.0] * 50 + [2.0] * 3, None: [float(i % 7) for i in range(40)], "one": [4.5], "none": []}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    places = {"low": q.share(0.25), "mid": q.share(0.5), "late": q.index(0.95), "least": q.share(0), "most": q.share(1)}
+    got = {r["g"]: r for r in q.quantiles(df, F.col("v"), places, {"g": F.col("g")}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, r in got.items():
+        s = sorted(groups[g])
+        for name, place in places.items():
+            h = place(len(s))
+            a, b = s[math.floor(h)], s[math.ceil(h)]
+            assert math.isclose(r[name], a + (b - a) * (h - math.floor(h)), rel_tol=1e-12)
+    assert q.quantiles(df.limit(0), F.col("v"), places).collect()[0].asDict() == dict.fromkeys(places)
+    assert q.quantiles(df.limit(0), F.col("v"), places, {"g": F.col("g")}).count() == 0
+
+
+def test_prompt_sections(spark):
+    none = F.array().cast("array<string>")
+    row = spark.range(1).select(
+        p.section("[t]", none).alias("empty"),
+        p.section("[t]", F.array(F.lit("a"), F.lit("b"))).alias("two"),
+        p.before(F.lit("x\nline"), "line", p.section("[t]", none)).alias("same"),
+        p.phrase_rule(F.lit(None).cast("string"), F.lit("n"), F.lit("u")).alias("no_rule"),
+        p.brief(F.array(F.struct(F.lit("A").alias("kind"), F.lit("outer").alias("message")), F.struct(F.lit("B").alias("kind"), F.lit("r" * 300).alias("message")))).alias("brief"),
+    ).first()
+    assert row["empty"] == "" and row["two"] == "[t]\n  · a\n  · b" and row["same"] == "x\nline" and row["no_rule"] == "" and row["brief"] == "B: " + "r" * 200
+
+
+def _scan_names(text: str) -> list[tuple[int, str]]:
+    """The three rules read character by character: tried at each place, longer runs first where the rule is greedy."""
+    han = lambda s: s != "" and all("一" <= c <= "鿿" for c in s)
+    surnames = ner.NAME_RULES[1].split("]")[0].removeprefix("([")
+    offices = ner.NAME_RULES[2].split(")")[0].removeprefix("(?:").split("|")
+    speech, kept = "曰啓疏箚辭進退對白", []
+
+    def appointed(i):
+        for n in (2, 3):
+            if text[i] == "以" and len(name := text[i + 1 : i + 1 + n]) == n and han(name) and text[i + 1 + n : i + 2 + n] == "爲":
+                return i + 1, i + 1 + n, i + 2 + n
+
+    def spoke(i):
+        for n in (2, 1):
+            e = i + 1 + n
+            after = text[e + 1 : e + 2] if text[e : e + 1] in (",", "、") and text[e : e + 1] else text[e : e + 1]
+            if text[i] in surnames and len(text[i + 1 : e]) == n and han(text[i + 1 : e]) and after and after in speech:
+                return i, e, e
+
+    def in_office(i):
+        for o in offices:
+            if text.startswith(o, i):
+                for n in (3, 2):
+                    s, e = i + len(o), i + len(o) + n
+                    if len(text[s:e]) == n and han(text[s:e]) and (text[e : e + 1] in (",", "、", "。") or e == len(text) or text[e:] == "\n"):
+                        return s, e, e
+
+    for rule in (appointed, spoke, in_office):
+        i = 0
+        while i < len(text):
+            hit = rule(i)
+            if hit and all(hit[1] <= a or b <= hit[0] for a, b in kept):
+                kept.append(hit[:2])
+            i = hit[2] if hit else i + 1
+    return [(s, text[s:e]) for s, e in sorted(kept)]
+
+
+def test_rule_names_against_a_scan(spark):
+    """The whole query, and random mixtures of the rules' characters."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(["以", "爲", "金", "李", "曰", "啓", ",", "、", "。", "承旨", "判書", "銑", "翼", "x", "\n"]) for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
+    ship(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", ner.rule_ner("s").alias("found"))
+    for r in df.collect():
+        assert [(e["start"], e["surface"]) for e in r["found"]] == _scan_names(texts[r["i"]]), texts[r["i"]]
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        whole = {r["doc_id"]: r["s"] for r in textual.sentences(spark, sf).collect()}
+        for r in textual.rule_ner(spark, sf).collect():
+            assert r["found"] == ";".join(f"{w}@{s}" for s, w in _scan_names(whole[r["doc_id"]]))

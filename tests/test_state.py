@@ -142,3 +142,30 @@ def test_sinks(spark, tmp_path):
     assert done.count() == 1 and len(dead.first()["message"]) == 400
     sinks.write_report(table, str(tmp_path / "report"))
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "report")).filter(F.col("k") == "1").count() == 1
+
+
+def test_ingest_skips_what_earlier_batches_brought(spark, tmp_path):
+    schema = "id long, t timestamp"
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    write = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.timestamp_seconds(F.col("id")).alias("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    done = spark.createDataFrame([(2,)], "id long")
+    for ts in (None, "t"):
+        out, state_dir = str(tmp_path / f"out{ts}"), str(tmp_path / f"c{ts}")
+        write([1, 1, 2, 3])
+        processors.ingest(stream(), out, state_dir, ["id"], done, ts).awaitTermination()
+        write([3, 4])
+        processors.ingest(stream(), out, state_dir, ["id"], done, ts).awaitTermination()
+        assert sorted(r["id"] for r in spark.read.option("recursiveFileLookup", True).schema(schema).parquet(out).collect()) == [1, 3, 4]
+
+
+def test_reserved_are_the_first_of_a_day(spark):
+    from loomline.streaming.queries import reserved
+
+    rows = [(i, k, f"2024-01-0{1 + i % 2} 00:00:0{i % 3}") for k in ("a", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, k string, t string").select("event_id", "k", F.col("t").cast("timestamp").alias("ts")).repartition(5)
+    got = {(r["k"], r["event_id"]) for r in reserved(df, "k", 4).filter("reserved").collect()}
+    want = set()
+    for k in ("a", None):
+        for day in (0, 1):
+            want |= {(k, i) for i in sorted((i for i in range(30) if i % 2 == day), key=lambda i: (i % 3, i))[:4]}
+    assert got == want and reserved(df.limit(0), "k", 4).count() == 0
