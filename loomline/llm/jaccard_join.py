@@ -34,6 +34,8 @@ from .textvec import mix, shingle_sets
 _U = np.uint64
 _BAND = 0.7
 _SEEDS = 64
+#: Part keys of a document, about: keys' bits and partitions are chosen by it.
+_KEYS = 256
 #: Words of the sketch of a set: 64 bits each, flipped by each of its shingles.
 _WORDS = 4
 
@@ -214,9 +216,11 @@ def _part_members(rows: DataFrame, reps: DataFrame, count: int, shingle: int, ti
 
     Copies of a representative are left out where they lie, but for the few that the broadcast bits let pass; those are
     in its class anyway. Keys are cut to as many bits as keep chance meetings rare among so many; those only cost a comparison.
+    The number of partitions follows the number of keys, as they compress so well that partitions of a size in bytes hold many.
     """
     shared, width = _bloom(reps, count)
-    bits = min(64, max(32, 2 * int(256 * count).bit_length() - 10))
+    partitions = min(1 << 16, max(1, -(-_KEYS * count >> 19)))
+    bits = min(64, max(32, 2 * int(_KEYS * count).bit_length() - 10))
 
     def emit(batches):
         held = _Block(tiles, bits)
@@ -249,7 +253,7 @@ def _part_members(rows: DataFrame, reps: DataFrame, count: int, shingle: int, ti
     schema = "key long, doc long, hub long"
     emitted = map_batches(rows.filter("_key is not null"), emit, schema)
     # what a block has already settled is spread by document, so that no part's copies meet in one task
-    dealt = emitted.repartition(F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "key")))
+    dealt = emitted.repartition(partitions, F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("doc", "key")))
     return map_batches(dealt.sortWithinPartitions("key", "doc"), gather, schema)
 
 
@@ -503,7 +507,7 @@ def _named_classes(texts: _Texts, one: DataFrame, classes: DataFrame, total: int
     return classes.join(named.toDF("rep", "component"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", block: int = 1 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text", block: int = 1 << 18) -> DataFrame:
     """key, n_shingles, component_id of every row: documents link when their shingle sets' Jaccard index is num / den or more.
 
     Words are runs between ASCII blanks, A-Z lower-cased; a text with fewer words than ``shingle`` has its whole sequence as
