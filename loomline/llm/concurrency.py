@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, map_batches
+from .common import Tables, attach_by_key, map_batches
 
 #: Levels of the tree that a packed row holds.
 LEAF_BITS = 10
@@ -177,8 +177,13 @@ def sale_deltas(sales: DataFrame, lines: DataFrame, clients: DataFrame) -> DataF
     cents = F.when(total.isNull() | F.isnan(total) | (F.abs(total) == float("inf")), F.lit(0)).otherwise(F.floor(100 * total + 0.5)).cast("long")
     opened = sales.filter("sold_at is not null").select("sale_id", "client_id", minute_of(F.col("sold_at")).alias("start"), cents.alias("cents"))
     nations = clients.filter("client_id is not null").groupBy("client_id").agg(F.min("nation_id").cast("int").alias("nation"))
-    # both joins stay shuffled, as either side grows; adaptive execution splits the hot keys of the left side
-    open_ = opened.join(shipped.hint("merge"), "sale_id", "left").join(nations.hint("merge"), "client_id", "left")
+    # a client with a thousandth of all sales or more meets its rows where these lie: at most 1000 such clients are broadcast
+    tables = Tables(sales.sparkSession)
+    named, rest = opened.filter("client_id is not null"), opened.filter("client_id is null")
+    sizes = named.groupBy("client_id").agg(F.count("*").alias("size")).join(nations.hint("merge"), "client_id", "left")
+    known = attach_by_key(named, tables.keep(tables.save(sizes, "clients")), "client_id", "size", opened.count())
+    known = known.select("sale_id", "start", "cents", "nation").unionByName(rest.select("sale_id", "start", "cents", F.lit(None).cast("int").alias("nation")))
+    open_ = known.join(shipped.hint("merge"), "sale_id", "left")
     open_ = open_.withColumn("end", F.col("shipped") + 7 * 1440).filter("end is null or end > start")
     one = lambda at, sign: F.struct(at.alias("minute"), F.lit(sign).cast("long").alias("dn"), (sign * F.col("cents")).alias("dc"))
     both = F.filter(F.array(one(F.col("start"), 1), one(F.col("end"), -1)), lambda d: d["minute"].isNotNull())
