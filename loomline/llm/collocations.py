@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Tables, map_batches, small_batches
 
 #: Words of a shard, but for the last batch of texts; most bits of a filter, as a power of two.
-SHARD, FILTER_BITS = 1 << 22, 29
+SHARD, FILTER_BITS = 1 << 19, 29
 #: Bytes that end a piece become line ends, the other blank a space: fixed values. bytes.lower() folds A-Z only.
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _BREAK = b"."
@@ -220,7 +220,7 @@ def _count_phrases(batches: Iterator[dict], words, pairs, longest: int):
 def phrase_counts(docs: DataFrame, tables: Tables, least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, a) of the phrases of 1 to ``longest`` words with a count of at least ``least``, (lang, n) of all words)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size="1m")
     shards = tables.save(make_shards(docs), "shards")
     each = shards.select(F.explode(F.arrays_zip("langs", "words", "hashes", "counts")).alias("w"))
     every = each.groupBy(F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"), F.min("w.hashes").alias("h"))
