@@ -4,8 +4,8 @@ Texts become shards, arrays of at most about ``SHARD`` word ids with breaks betw
 positions of a shard are sorted by their next words by prefix doubling in numpy; neighbours that share n words form the
 intervals, an n-gram and its count each. Counts of one n-gram are summed over shards by key.
 
-Most n-grams are rare, so rounds leave out what can't reach the least count: words below it break a run of words in the second
-round, pairs below it in the third. What is frequent reaches the shards as a Bloom filter of at most 2^29 bits, sized by the number
+Most n-grams are rare, so rounds leave out what can't reach the least count: words below it break a run of words when pairs are
+counted, pairs below it when triples are, and only phrases of frequent triples are spelled out. What is frequent reaches the shards as a Bloom filter of at most 2^29 bits, sized by the number
 of entries; a false entry, or a filter too full to help, costs rows, never results, as the least count is applied to exact sums.
 """
 
@@ -17,6 +17,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,54 +165,64 @@ def _inside(filter_: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _pair_hash(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A hash of two words from theirs (ids from 1)."""
-    x = hashes[first - 1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[second - 1]
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def _hash(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words (ids from 1) from each position of ``at``, from those of the words."""
+    x = hashes[ids[at] - 1]
+    for k in range(1, n):
+        x = x * np.uint64(0x9E3779B97F4A7C15) ^ hashes[ids[at + k] - 1]
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    return x
 
 
-def _runs(b: dict, i: int, words) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, hashes) of a shard, with breaks in place of the words outside the filter."""
+def _runs(b: dict, i: int, filters: list) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, hashes) of a shard, with breaks in place of the words outside the first filter and within the pairs outside the second."""
     ids = np.frombuffer(b["ids"][i].as_py(), "<i4")
     hashes = b["hashes"].slice(i, 1).flatten().to_numpy().view(np.uint64)
-    keep = np.append(False, _inside(words, hashes))
-    return np.where(keep[ids], ids, 0), hashes
-
-
-def _count_pairs(batches: Iterator[dict], words):
+    keep = np.append(False, _inside(filters[0].value, hashes))
+    ids = np.where(keep[ids], ids, 0)
+    if len(filters) > 1:
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        linked = np.zeros(len(ids), bool)
+        linked[at] = _inside(filters[1].value, _hash(hashes, ids, at, 2))
+        ids = np.insert(ids, np.flatnonzero((ids > 0) & ~linked) + 1, 0)
+        alone = (ids > 0) & (np.append(0, ids[:-1]) == 0) & (np.append(ids[1:], 0) == 0)
+        ids = ids[~alone]
+    return ids, hashes
+
+
+def _count_hashed(batches: Iterator[dict], filters: list, n: int):
+    """Hashes and counts of a shard's n-grams whose words, and for more than two words also pairs, are in the filters."""
     for b in batches:
         for i in range(len(b["ids"])):
-            ids, hashes = _runs(b, i, words.value)
-            order = suffix_array(ids, 2)
-            first, counts = intervals(order, *common_prefixes(ids, order, 2), 2)
-            h = _pair_hash(hashes, ids[first], ids[first + 1])
+            ids, hashes = _runs(b, i, filters)
+            order = suffix_array(ids, n)
+            first, counts = intervals(order, *common_prefixes(ids, order, n), n)
+            h = _hash(hashes, ids, first, n)
             for lo in range(0, len(h), 1 << 17):
                 yield {"h": h[lo : lo + (1 << 17)].view(np.int64), "n": counts[lo : lo + (1 << 17)]}
 
 
-def _count_phrases(batches: Iterator[dict], words, pairs, longest: int):
+def _count_phrases(batches: Iterator[dict], filters: list, longest: int):
+    """A shard's n-grams of 2 to ``longest`` words, spelled out, with their counts: those whose words, pairs and triples are in the filters."""
     for b in batches:
         for i in range(len(b["ids"])):
-            ids, hashes = _runs(b, i, words.value)
-            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            linked = np.zeros(len(ids), bool)
-            linked[at] = _inside(pairs.value, _pair_hash(hashes, ids[at], ids[at + 1]))
-            # a break behind each word whose pair with the next one is rare
-            cut = np.flatnonzero((ids > 0) & ~linked)
-            ids = np.insert(ids, cut + 1, 0)
-            alone = (ids > 0) & (np.append(0, ids[:-1]) == 0) & (np.append(ids[1:], 0) == 0)
-            ids = ids[~alone]
+            ids, hashes = _runs(b, i, filters)
             order = suffix_array(ids, longest)
             left, shared = common_prefixes(ids, order, longest)
-            words_, langs = b["words"].slice(i, 1).flatten(), b["langs"].slice(i, 1).flatten()
+            words, langs = b["words"].slice(i, 1).flatten(), b["langs"].slice(i, 1).flatten()
+            triple = np.zeros(len(ids), bool)
+            at = order[left >= 3]
+            triple[at] = _inside(filters[2].value, _hash(hashes, ids, at, 3))
             for n in range(2, longest + 1):
                 first, counts = intervals(order, left, shared, n)
+                whole = np.all([triple[first + k] for k in range(n - 2)], axis=0) if n > 2 else np.ones(len(first), bool)
+                first, counts = first[whole], counts[whole]
                 for lo in range(0, len(first), 1 << 16):
                     own = first[lo : lo + (1 << 16)]
-                    named = [words_.take(pa.array(ids[own + k] - 1)) for k in range(n)]
-                    yield {"lang": langs.take(pa.array(ids[own] - 1)), "n": pa.array(np.full(len(own), n, np.int32)), "phrase": pa.compute.binary_join_element_wise(*named, " "), "a": counts[lo : lo + (1 << 16)]}
+                    named = [words.take(pa.array(ids[own + k] - 1)) for k in range(n)]
+                    yield {"lang": langs.take(pa.array(ids[own] - 1)), "n": pa.array(np.full(len(own), n, np.int32)), "phrase": pc.binary_join_element_wise(*named, " "), "a": counts[lo : lo + (1 << 16)]}
 
 
 # --- scores
@@ -227,16 +238,17 @@ def phrase_counts(docs: DataFrame, tables: Tables, least: int = 100, longest: in
     every = tables.save(every, "words")
     totals = tables.save(every.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     single = every.filter(F.col("a") >= least)
-    share = spark.sparkContext.broadcast
-    words = share(make_filter(single))
+    filters = [spark.sparkContext.broadcast(make_filter(single))]
     thin = shards.select("ids", "hashes")
-    counted = map_batches(thin, lambda b: _count_pairs(b, words), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    counted = tables.save(counted.select("h"), "pairs")
-    pairs = share(make_filter(counted))
-    found = map_batches(shards.select("ids", "hashes", "words", "langs"), lambda b: _count_phrases(b, words, pairs, longest), "lang string, n int, phrase string, a bigint")
+    for n in (2, 3):
+        counted = map_batches(thin, lambda b, n=n: _count_hashed(b, filters, n), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        counted = tables.save(counted.select("h"), "hashes")
+        filters.append(spark.sparkContext.broadcast(make_filter(counted)))
+        tables.drop(counted)
+    found = map_batches(shards.select("ids", "hashes", "words", "langs"), lambda b: _count_phrases(b, filters, longest), "lang string, n int, phrase string, a bigint")
     found = found.groupBy("lang", F.col("n").alias("words"), "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
     out = tables.save(single.select("lang", F.lit(1).alias("words"), "phrase", "a").unionByName(found), "phrases")
-    tables.drop(shards, every, counted)
+    tables.drop(shards, every)
     return out, totals
 
 
