@@ -1,8 +1,8 @@
 """An append-only log of entries in parts, and a streaming source that reads it for a consumer group.
 
 The log is a table of Parquet files, a folder a part, each entry with its part's next offset. The source reads ranges of offsets
-and prunes files by their statistics. A group's position is acknowledged when Spark commits a batch, that is after the batch's
-outcome is written; a reader of that group with a new checkpoint starts there, one with its old checkpoint where that says.
+and prunes files by their statistics. A group's position is acknowledged after a batch's outcome is written: by Spark, when it commits
+the batch before it plans the next, or by the consumer at once; a reader of that group with a new checkpoint starts there, one with its old checkpoint where that says.
 """
 
 from __future__ import annotations
@@ -98,9 +98,6 @@ class _GroupReader(DataSourceStreamReader):
         self.chunk = int(options.get("chunk", 100_000))
         self.files, self.sent = _Files(self.path), None
 
-    def _ack_path(self) -> str:
-        return f"{self.files.root}/_groups/{self.group}.json"
-
     def initialOffset(self) -> dict:
         return acknowledged(self.path, self.group)
 
@@ -127,14 +124,7 @@ class _GroupReader(DataSourceStreamReader):
                 yield pa.RecordBatch.from_arrays([pa.array([partition.part] * b.num_rows, pa.int32()), b.column(0), b.column(1)], schema=_ARROW)
 
     def commit(self, end: dict) -> None:
-        """All before ``end`` is finished. A position never goes back."""
-        done = acknowledged(self.path, self.group)
-        done |= {p: max(n, done.get(p, 0)) for p, n in end.items()}
-        target = self._ack_path()
-        self.files.fs.create_dir(posixpath.dirname(target), recursive=True)
-        with self.files.fs.open_output_stream(f"{target}.new") as out:
-            out.write(json.dumps(done).encode())
-        self.files.fs.move(f"{target}.new", target)
+        acknowledge(self.path, self.group, end)
 
 
 class GroupLog(DataSource):
@@ -161,6 +151,18 @@ def acknowledged(path: str, group: str) -> dict[str, int]:
         return json.loads(f.read())
 
 
+def acknowledge(path: str, group: str, ends: dict[str, int]) -> None:
+    """All entries before ``ends`` (part -> offset) are finished. A position never goes back."""
+    done = acknowledged(path, group)
+    done |= {p: max(n, done.get(p, 0)) for p, n in ends.items()}
+    fs, root = _open(path)
+    target = f"{root}/_groups/{group}.json"
+    fs.create_dir(posixpath.dirname(target), recursive=True)
+    with fs.open_output_stream(f"{target}.new") as out:
+        out.write(json.dumps(done).encode())
+    fs.move(f"{target}.new", target)
+
+
 def read_group(spark: SparkSession, path: str, group: str, most: int = 0, chunk: int = 100_000) -> DataFrame:
     """The log as a stream of (part, offset, body) for a group. The path is one that pyarrow opens: a local folder, hdfs, s3 or gs."""
     ship(spark)

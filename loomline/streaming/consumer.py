@@ -22,7 +22,8 @@ def consume(spark: SparkSession, path: str, group: str, process: Callable[[DataF
     """
     run = "r" + hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
-    def write(entries: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        entries = batch.persist()
         done = outcomes(spark, out)
         if done is not None:
             since = [(F.col("part") == int(p)) & (F.col("offset") < n) for p, n in log.acknowledged(path, group).items()]
@@ -30,6 +31,8 @@ def consume(spark: SparkSession, path: str, group: str, process: Callable[[DataF
             done = done.filter(~reduce(lambda a, b: a | b, since)) if since else done
             entries = entries.join(done.select("part", "offset"), ["part", "offset"], "left_anti")
         process(entries).write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
+        log.acknowledge(path, group, {str(r["part"]): r["end"] for r in batch.groupBy("part").agg((F.max("offset") + 1).alias("end")).collect()})
+        batch.unpersist()
 
     stream = log.read_group(spark, path, group, most).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
     try:

@@ -27,19 +27,23 @@ def next_tick(ms: int, period: int) -> int:
 # --- redelivery
 
 
-def redeliver(pending: dict[int, tuple[int, int]], upto: int, idle: int = 30_000, period: int = 60_000, most: int | None = 50, last: int = 5) -> list[tuple[int, int, int, bool]]:
-    """(entry, delivery, at, dead) of the ticks up to ``upto``; ``pending`` (entry -> time and number of its delivery) is changed.
+def next_redelivery(pending: dict[int, tuple[int, int]], since: int, idle: int, period: int, most: int | None) -> int | None:
+    """The first tick after ``since`` that finds an idle entry among the first ``most``; None if none is pending."""
+    if not pending:
+        return None
+    stale = min(pending[e][0] for e in sorted(pending)[:most]) + idle
+    return next_tick(max(stale, since) + 1, period)
+
+
+def redeliver(pending: dict[int, tuple[int, int]], since: int, upto: int, idle: int = 30_000, period: int = 60_000, most: int | None = 50, last: int = 5) -> list[tuple[int, int, int, bool]]:
+    """(entry, delivery, at, dead) of the ticks after ``since`` up to ``upto``; ``pending`` (entry -> time and number of its delivery) is changed.
 
     A tick looks at the first ``most`` pending entries; those idle for more than ``idle`` ms are delivered once more, or die
     when they were delivered ``last`` times.
     """
     out = []
-    while pending:
-        seen = sorted(pending)[:most]
-        tick = next_tick(min(pending[e][0] for e in seen) + idle + 1, period)
-        if tick > upto:
-            break
-        for e in seen:
+    while (tick := next_redelivery(pending, since, idle, period, most)) is not None and tick <= upto:
+        for e in sorted(pending)[:most]:
             at, n = pending[e]
             if tick - at > idle:
                 dead = n >= last
@@ -48,13 +52,10 @@ def redeliver(pending: dict[int, tuple[int, int]], upto: int, idle: int = 30_000
                     del pending[e]
                 else:
                     pending[e] = (tick, n + 1)
+        since = tick
     return out
 
 
-def next_redelivery(pending: dict[int, tuple[int, int]], idle: int, period: int, most: int | None) -> int | None:
-    return next_tick(min(pending[e][0] for e in sorted(pending)[:most]) + idle + 1, period) if pending else None
-
-
 class Timed(StatefulProcessor):
     """Rows in order of time with the ticks between them, and one timer for the next tick."""
 
@@ -97,7 +98,7 @@ class Timed(StatefulProcessor):
 
 
 class Redelivery(Timed):
-    """Keys are consumers' groups or owners; rows have ms, seq, entry and ack. State: a map of the pending entries."""
+    """Keys are consumers' groups or owners; rows have ms, seq, entry and ack. State: a map of the pending entries, and the time up to which ticks have run."""
 
     def __init__(self, idle: int = 30_000, period: int = 60_000, most: int | None = 50, last: int = 5, clock: str = "event"):
         self.rule, self.clock = {"idle": idle, "period": period, "most": most}, clock
@@ -106,12 +107,14 @@ class Redelivery(Timed):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getMapState("pending", "entry bigint", "at bigint, deliveries int")
+        self.clock_ = handle.getValueState("clock", "ms bigint")
 
     def _load(self):
         kept = {k[0]: (v[0], v[1]) for k, v in self.pending.iterator()}
-        return {"pending": dict(kept), "kept": kept}
+        return {"pending": dict(kept), "kept": kept, "since": self.clock_.get()[0] if self.clock_.exists() else -(1 << 62)}
 
     def _store(self, state) -> None:
+        self.clock_.update((state["since"],))
         for e in state["kept"].keys() - state["pending"].keys():
             self.pending.removeKey((e,))
         for e, v in state["pending"].items():
@@ -119,10 +122,12 @@ class Redelivery(Timed):
                 self.pending.updateValue((e,), v)
 
     def _next(self, state):
-        return next_redelivery(state["pending"], **self.rule)
+        return next_redelivery(state["pending"], state["since"], **self.rule)
 
     def _run(self, state, upto):
-        return redeliver(state["pending"], upto, **self.rule, last=self.last)
+        out = redeliver(state["pending"], state["since"], upto, **self.rule, last=self.last)
+        state["since"] = max(state["since"], upto)
+        return out
 
     def _take(self, state, row):
         if row["ack"]:
