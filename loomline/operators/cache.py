@@ -71,7 +71,7 @@ class ExpiringCache(Timed):
         return Row(owner=key[0], seq=out[0], outcome=out[1])
 
 
-_CACHE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS item, value < 80 AS usable, event_type <> 'error' AS admitted, CAST(epoch_ms(ts) AS BIGINT) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+_CACHE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS item, value < 80 AS usable, event_type <> 'error' AS admitted, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
 r AS (SELECT DISTINCT user_id, item, 0::BIGINT AS k, NULL::BIGINT AS event_id, '' AS outcome, 0::BIGINT AS expires FROM e
 UNION ALL SELECT e.user_id, e.item, e.k, e.event_id, CASE WHEN r.expires <= e.ms THEN 'MISS' WHEN e.usable THEN 'HIT' ELSE 'ABORT' END, CASE WHEN r.expires > e.ms AND e.usable THEN r.expires WHEN e.admitted THEN e.ms + 432000000 ELSE 0 END
 FROM r JOIN e ON e.user_id = r.user_id AND e.item = r.item AND e.k = r.k + 1)

@@ -72,7 +72,7 @@ def _orders_by_date(spark, d) -> DataFrame:
     return dense_order(rows, ["o_orderdate", "o_orderkey"])
 
 
-@query("dense_places", "SELECT sale_id, row_number() OVER (ORDER BY sold_at NULLS FIRST, sale_id) - 1 AS place FROM sales")
+@query("dense_places", "SELECT sale_id, row_number() OVER (ORDER BY sold_at NULLS FIRST, sale_id NULLS FIRST) - 1 AS place FROM sales")
 def dense_places(spark, d):
     """Sales numbered by time; some have none."""
     return dense_order(load(spark, d, "sales").select("sale_id", "sold_at"), ["sold_at", "sale_id"]).select("sale_id", "place")
@@ -97,14 +97,14 @@ SIZES = (1000, 2000, 5000, 10000, 20000, 40000)
 
 @query(
     "repeat_curve",
-    """WITH p AS (SELECT row_number() OVER (ORDER BY ts, click_id) - 1 AS place, sha256(regexp_replace(nfc_normalize(props), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS h FROM clicks), n AS (SELECT count(*) AS n FROM clicks),
+    """WITH p AS (SELECT row_number() OVER (ORDER BY ts NULLS FIRST, click_id NULLS FIRST, props NULLS FIRST) - 1 AS place, sha256(regexp_replace(nfc_normalize(props), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS h FROM clicks), n AS (SELECT count(*) AS n FROM clicks),
     s AS (SELECT size FROM (SELECT unnest([1000, 2000, 5000, 10000, 20000, 40000]) AS size) WHERE size < (SELECT n FROM n) UNION ALL SELECT n FROM n), f AS (SELECT h, min(place) AS first FROM p WHERE h IS NOT NULL GROUP BY h)
     SELECT size, (SELECT count(h) FROM p WHERE place < size) AS n, (SELECT count(h) FROM p WHERE place < size) - (SELECT count(*) FROM f WHERE first < size) AS repeats FROM s""",
 )
 def repeat_curve(spark, d):
     """Clicks in order of time: how many of the first 1000, 2000, ... and of all repeat an earlier one's properties."""
-    c = load(spark, d, "clicks").select("ts", "click_id", T.normalized_hash(F.col("props")).alias("h"))
-    rows = dense_order(c, ["ts", "click_id"])
+    c = load(spark, d, "clicks").select("ts", "click_id", "props", T.normalized_hash(F.col("props")).alias("h"))
+    rows = dense_order(c, ["ts", "click_id", "props"])
     n = rows.count()
     sizes = F.array(*[F.lit(s).cast("long") for s in (*[s for s in SIZES if s < n], n)])
     return prefix_repeats(rows, "place", "h", sizes)

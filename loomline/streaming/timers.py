@@ -255,7 +255,7 @@ def run_timed(spark, rows: DataFrame, key: str, processor: Timed, schema: str, l
 
 @query(
     "redelivery",
-    """WITH e AS (SELECT event_id, user_id, CAST(floor(epoch_ms(ts)) AS BIGINT) AS ms, CASE WHEN event_type <> 'error' THEN CAST(floor(epoch_ms(ts)) AS BIGINT) + CAST(floor(value * 3000) AS BIGINT) END AS ack FROM events),
+    """WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type <> 'error' THEN epoch_us(ts) // 1000 + CAST(floor(value * 3000) AS BIGINT) END AS ack FROM events),
     t AS (SELECT *, ((ms + 30001 + 59999) // 60000 + k - 1) * 60000 AS at_ms, k FROM e, range(1, 6) r(k))
     SELECT event_id AS entry, user_id AS owner, least(k + 1, 5) AS delivery, at_ms, k = 5 AS dead FROM t WHERE ack IS NULL OR ack >= at_ms""",
 )
@@ -271,7 +271,7 @@ def redelivery(spark, d):
 
 @query(
     "timed_pump",
-    """WITH o AS (SELECT o_custkey AS batch, CAST(epoch_ms(o_orderdate) AS BIGINT) AS ms, o_orderstatus <> 'P' AS ended FROM orders),
+    """WITH o AS (SELECT o_custkey AS batch, epoch_us(o_orderdate) // 1000 AS ms, o_orderstatus <> 'P' AS ended FROM orders),
     b AS (SELECT batch, count(*) AS total, min(ms) - 86400000 AS started FROM o GROUP BY 1),
     t AS (SELECT batch, (ms // 1000 + 1) * 1000 AS tick, row_number() OVER (PARTITION BY batch ORDER BY ms) AS r FROM o WHERE ended),
     m AS (SELECT *, max(r) OVER (PARTITION BY batch, tick) AS seen FROM t),
