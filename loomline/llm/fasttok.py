@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Sequence
 from functools import lru_cache
@@ -79,6 +80,11 @@ class _Words(dict):
                 self[w] = array("I", e.ids).tobytes()
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word still ends in a letter once it is composed and lower-cased; else a mark of its last letter joins what follows."""
+    return word[-1].isascii() or unicodedata.normalize("NFC", word).lower()[-1].isalpha()
+
+
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -106,7 +112,7 @@ class PieceEncoder:
                 words.add(p)
                 continue
             word = p.rstrip(_MARKS)
-            if word.isalpha():
+            if word.isalpha() and _ends_in_letter(word):
                 mark = p[len(word) :]
                 words.add(word)
                 marks.add(mark)
@@ -132,7 +138,7 @@ class PieceEncoder:
             if i:
                 out.append((self.bare, "\n"))
             word = line.rstrip(_MARKS)
-            if word.isalpha():
+            if word.isalpha() and _ends_in_letter(word):
                 out.append((own, word))
                 if len(word) < len(line):
                     out.append((self.bare, line[len(word) :]))

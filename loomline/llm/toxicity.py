@@ -93,15 +93,15 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, most_terms: int = 4096, fac
     """AdaGrad on the logistic loss, about ``steps`` batches of 256 documents.
 
     Terms are those whose presence tells most about the label (chi-square), and those of which a pair tells what neither of
-    its terms does; the rest is noise that long texts would add up.
+    its terms does; the rest is noise that long texts would add up. Without any document all scores are next to 0.
     """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
     y = np.asarray(labels, float)
     n, pos = len(y), float(y.sum())
     row = np.full(size, -1, np.int32)
-    if not n:
-        return Model(row, 0.0, np.zeros(0), np.zeros((0, factors)))
+    if not n:  # without labels nothing is known to be toxic
+        return Model(row, -20.0, np.zeros(0), np.zeros((0, factors)))
     prior = (pos + 0.5) / (n + 1)
     every = np.concatenate(terms) if terms else np.zeros(0, np.int32)
     df = np.bincount(every, minlength=size).astype(float)
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
     """Fit on labelled documents for which ``usable`` holds; at most ``most_rows`` of them, those whose key hashes lowest.
 
     The labels are cut to that bound before they meet the documents, so they can be broadcast. Null labels, null keys
-    and labels without a document are left out; repeated labels of a key count once, the larger one.
+    and labels without a document are left out; repeated labels of a key count once, the larger one; without labels all are civil.
     """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
