@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 from loomline.plans.registry import load, query
 
-from .joins import _HASH_SQL, MENTIONS_SQL, linked_mentions, missed_mentions, paired
+from .joins import _HASH_SQL, MENTIONS_SQL, missed_mentions, paired, staged_mentions
 from .quantiles import index, quantiles, share
 
 
@@ -91,15 +91,15 @@ def shares(rows: DataFrame, by: str) -> DataFrame:
 
 @query("stage_distribution", f"WITH {MENTIONS_SQL} SELECT stage, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM linked GROUP BY stage")
 def stage_distribution(spark, d):
-    return shares(linked_mentions(spark, d).select("link.stage"), "stage")
+    return shares(staged_mentions(spark, d).select("stage"), "stage")
 
 
 def doc_signals(spark, d) -> DataFrame:
     """Per order: entities, ambiguous, misses and whether its priority counts as formulaic."""
-    rows = linked_mentions(spark, d).groupBy("doc_id").agg(
+    rows = staged_mentions(spark, d).groupBy("doc_id").agg(
         F.count("*").alias("entities"),
-        F.count_if(F.col("link.stage") == "AMBIGUOUS").alias("ambiguous"),
-        F.count_if(F.col("link.stage") == "MISS").alias("missing"),
+        F.count_if(F.col("stage") == "AMBIGUOUS").alias("ambiguous"),
+        F.count_if(F.col("stage") == "MISS").alias("missing"),
     )
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").rlike("URGENT|HIGH").alias("formulaic"))
     return o.join(rows, "doc_id", "left").na.fill(0, ["entities", "ambiguous", "missing"])
@@ -345,23 +345,22 @@ def movers(spark, d):
 
 # The cost model's parameters.
 COST_PARAMETERS = {
-    "total_chars": 200_000_000.0, "translated": 0.3, "chars_per_sentence": 120.0, "cache_hits": 0.174, "retries": 0.02, "tokens_per_char": 1.3, "prompt_tokens": 600.0,
-    "out_ratio": 1.8, "out_tokens_per_char": 0.7, "usd_in": 1.5, "usd_out": 9.0, "usd_krw": 1400.0, "concurrency": 50.0, "latency_s": 3.2,
+    "translated": 0.3, "tokens_per_char": 1.3, "prompt_tokens": 600.0, "out_ratio": 1.8, "out_tokens_per_char": 0.7, "usd_in": 1.5, "usd_out": 9.0, "usd_krw": 1400.0, "concurrency": 50.0, "latency_s": 3.2,
 }
 
 
-@query(
-    "cost_model",
-    """WITH p AS (SELECT 200000000.0::DOUBLE * (1 - 0.3::DOUBLE) AS chars), s AS (SELECT chars, chars / 120 AS sentences FROM p), c AS (SELECT *, sentences * (1 - 0.174::DOUBLE) * (1 + 0.02::DOUBLE) AS calls FROM s),
-    t AS (SELECT *, calls * (120 * 1.3::DOUBLE + 600) AS tin, calls * (120 * 1.8::DOUBLE * 0.7::DOUBLE) AS tout FROM c), u AS (SELECT *, tin / 1e6 * 1.5::DOUBLE + tout / 1e6 * 9 AS usd FROM t)
-    SELECT round(chars, 2) AS chars, round(sentences, 2) AS sentences, round(calls, 2) AS calls, round(tin, 2) AS tokens_in, round(tout, 2) AS tokens_out, round(usd, 4) AS usd, round(usd * 1400, 2) AS krw,
-    round(usd * 1400 / sentences, 6) AS krw_per_sentence, round(calls * 3.2::DOUBLE / 50 / 86400, 6) AS days FROM u""",
-)
-def cost_model(spark, d):
-    p = COST_PARAMETERS
-    df = spark.range(1).select(F.lit(p["total_chars"] * (1 - p["translated"])).alias("chars"))
-    df = df.withColumn("sentences", F.col("chars") / p["chars_per_sentence"]).withColumn("calls", F.col("sentences") * (1 - p["cache_hits"]) * (1 + p["retries"]))
-    df = df.withColumn("tokens_in", F.col("calls") * (p["chars_per_sentence"] * p["tokens_per_char"] + p["prompt_tokens"])).withColumn("tokens_out", F.col("calls") * (p["chars_per_sentence"] * p["out_ratio"] * p["out_tokens_per_char"]))
+def cost_totals(texts: DataFrame, text: str, key: Column, calls: DataFrame, retried: Column, p: dict = COST_PARAMETERS) -> DataFrame:
+    """One row of nine totals for the share of ``texts`` that isn't translated yet: characters, sentences, calls, tokens, money and days.
+
+    Length of a sentence and cache hits (repeats of ``key``) are those of the texts, the share of retries that of ``calls``.
+    """
+    per = texts.filter(F.col(text) != "").select(F.length(text).cast("long").alias("chars"), key.alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    seen = per.agg(F.sum("chars").cast("double").alias("all_chars"), F.sum("n").cast("double").alias("all_n"), (F.sum("n") - F.count("*")).cast("double").alias("repeats"))
+    tries = calls.agg((F.count_if(retried) / F.count("*")).alias("retries"))
+    df = seen.join(F.broadcast(tries)).withColumn("length", F.col("all_chars") / F.col("all_n"))
+    df = df.withColumn("chars", F.col("all_chars") * (1 - p["translated"])).withColumn("sentences", F.col("chars") / F.col("length"))
+    df = df.withColumn("calls", F.col("sentences") * (1 - F.col("repeats") / F.col("all_n")) * (1 + F.col("retries")))
+    df = df.withColumn("tokens_in", F.col("calls") * (F.col("length") * p["tokens_per_char"] + p["prompt_tokens"])).withColumn("tokens_out", F.col("calls") * (F.col("length") * p["out_ratio"] * p["out_tokens_per_char"]))
     df = df.withColumn("usd", F.col("tokens_in") / 1e6 * p["usd_in"] + F.col("tokens_out") / 1e6 * p["usd_out"])
     return df.select(
         F.round("chars", 2).alias("chars"), F.round("sentences", 2).alias("sentences"), F.round("calls", 2).alias("calls"), F.round("tokens_in", 2).alias("tokens_in"), F.round("tokens_out", 2).alias("tokens_out"),
@@ -370,6 +369,19 @@ def cost_model(spark, d):
     )
 
 
+@query(
+    "cost_model",
+    """WITH k AS (SELECT md5(text) AS k, count(*) AS n, sum(length(text)) AS c FROM documents WHERE text <> '' GROUP BY 1), a AS (SELECT sum(c)::DOUBLE AS all_chars, sum(n)::DOUBLE AS all_n, (sum(n) - count(*))::DOUBLE AS repeats FROM k),
+    e AS (SELECT count(*) FILTER (event_type = 'error') / count(*) AS retries FROM events), p AS (SELECT *, all_chars / all_n AS len, all_chars * (1 - 0.3::DOUBLE) AS chars FROM a, e), s AS (SELECT *, chars / len AS sentences FROM p),
+    c AS (SELECT *, sentences * (1 - repeats / all_n) * (1 + retries) AS calls FROM s), t AS (SELECT *, calls * (len * 1.3::DOUBLE + 600) AS tin, calls * (len * 1.8::DOUBLE * 0.7::DOUBLE) AS tout FROM c), u AS (SELECT *, tin / 1e6 * 1.5::DOUBLE + tout / 1e6 * 9 AS usd FROM t)
+    SELECT round(chars, 2) AS chars, round(sentences, 2) AS sentences, round(calls, 2) AS calls, round(tin, 2) AS tokens_in, round(tout, 2) AS tokens_out, round(usd, 4) AS usd, round(usd * 1400, 2) AS krw,
+    round(usd * 1400 / sentences, 6) AS krw_per_sentence, round(calls * 3.2::DOUBLE / 50 / 86400, 6) AS days FROM u""",
+)
+def cost_model(spark, d):
+    """Characters, sentence length and repeats from the documents, retries from the events that fail."""
+    return cost_totals(load(spark, d, "documents"), "text", F.md5("text"), load(spark, d, "events"), F.col("event_type") == "error")
+
+
 @query(
     "status_error_counts",
     "SELECT o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS error, count(*) AS n, round(60 * count(*) / (epoch(max(o_orderdate)) - epoch(min(o_orderdate)) + 60), 6) AS per_minute FROM orders GROUP BY ALL",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.plans.registry import load, query
+from loomline.sources import sinks
 
 # --- entity linking -------------------------------------------------------------------------------------------------
 
@@ -68,6 +69,28 @@ def link_mentions(mentions: DataFrame, index: DataFrame, people: DataFrame) -> D
     return rows.select(*mentions.columns, F.coalesce(n, F.lit(0)).cast("long").alias("n"), nt.alias("nt"), no.alias("no"), link)
 
 
+def link_stages(mentions: DataFrame, index: DataFrame, people: DataFrame) -> DataFrame:
+    """Mention columns and ``stage`` as ``link_mentions`` finds it, from counts alone: no ids are gathered, and titles are looked for only where years don't decide."""
+    entries = index.join(people, "person_id", "left").select("surface", "pos", "person_id", F.when(F.col("known"), F.coalesce("active_from", F.lit(0))).alias("since"), titles_of(F.col("offices")).alias("titles"))
+    dated = entries.filter("since is not null")
+    counts = dated.groupBy("surface", "since").agg(F.count("*").alias("k")).withColumn("nt", F.sum("k").over(Window.partitionBy("surface").orderBy("since")))
+    steps = counts.groupBy("surface").agg(F.collect_list(F.struct("since", "nt")).alias("steps"))
+    titles = dated.select("surface", F.explode("titles").alias("t")).groupBy("surface").agg(F.collect_set("t").alias("titles"))
+    profiles = entries.groupBy("surface").agg(F.count("*").alias("n")).join(steps, "surface", "left").join(titles, "surface", "left")
+    year = F.coalesce("year", F.lit(2147483647))
+    rows = mentions.join(profiles, "surface", "left").withColumn("by", year)
+    rows = rows.withColumn("nt", F.coalesce(F.array_max(F.filter("steps", lambda s: s["since"] <= F.col("by")))["nt"], F.lit(0)))
+    named = F.coalesce(F.array_sort(F.filter("titles", lambda t: F.col("context").contains(t))), F.array().cast("array<string>"))
+    rows = rows.withColumn("named", F.when((F.col("n") > 1) & (F.col("nt") != 1), named)).drop("steps", "titles")
+    cases = rows.filter(F.size("named") > 0).select("surface", "by", "named").distinct()
+    holders = dated.select("surface", F.explode("titles").alias("t"), "pos", "person_id", "since")
+    held = cases.withColumn("t", F.explode("named")).join(holders, ["surface", "t"]).filter("since <= by")
+    fits = held.groupBy("surface", "by", "named").agg(F.count_distinct("pos", "person_id").alias("no"))
+    n = F.col("n")
+    stage = F.when(n.isNull(), "MISS").when(n == 1, "SINGLE").when(F.col("nt") == 1, "TIME").when(F.col("no") == 1, "OFFICE").otherwise("AMBIGUOUS")
+    return rows.join(fits, ["surface", "by", "named"], "left").select(*mentions.columns, stage.alias("stage"))
+
+
 def missed(mentions: DataFrame, index: DataFrame) -> DataFrame:
     """The mentions whose stage is MISS: no index entry has their surface."""
     return mentions.join(index.select("surface"), "surface", "left_anti")
@@ -104,6 +127,10 @@ def linked_mentions(spark, d) -> DataFrame:
     return link_mentions(mentions(spark, d), _index(spark, d), _people(spark, d))
 
 
+def staged_mentions(spark, d) -> DataFrame:
+    return link_stages(mentions(spark, d), _index(spark, d), _people(spark, d))
+
+
 def missed_mentions(spark, d) -> DataFrame:
     return missed(mentions(spark, d), _index(spark, d))
 
@@ -258,7 +285,10 @@ def misalign_band(spark, d):
     f"WITH d AS (SELECT doc_id, {_HASH_SQL} AS h FROM documents), f AS (SELECT h, min(doc_id) AS first_id FROM d GROUP BY h) SELECT first_id, doc_id FROM d JOIN f USING (h) WHERE doc_id <> first_id",
 )
 def first_pair(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", T.normalized_hash(F.col("text")).alias("h"))
+    """Each repeat with its text's first document. Texts are hashed once and the thin rows saved, as they are read twice."""
+    path = sinks.scratch(spark, "hashed")
+    load(spark, d, "documents").select("doc_id", T.normalized_hash(F.col("text")).alias("h")).write.parquet(path)
+    rows = spark.read.schema("doc_id bigint, h string").parquet(path)
     firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return rows.join(firsts, "h").filter("doc_id <> first_id").select("first_id", "doc_id")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomline.plans.registry import load, query
 
 from .joins import MENTIONS_SQL, _index, _people, mentions
+from .order import dense_order
 from .replay import _SENT_SQL, render, sentences
 from .textual import _FAILED_SQL, failures
 
@@ -132,11 +133,11 @@ def error_brief(spark, d):
 
 
 def markdown(rows: DataFrame, order: list[str]) -> DataFrame:
-    """A table as text: (line, text), head and rule first. For reports: rows are numbered in one task."""
+    """A table as text: (line, text), head and rule first. Lines are numbered by ranges, so a long table is no list in one task."""
     cells = lambda parts: F.concat(F.lit("| "), F.array_join(F.array(*parts), " | ", "—"), F.lit(" |"))
     head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(rows.columns) + " |"), (1, "|" + "---|" * len(rows.columns))], "line long, text string")
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*order, cells([F.col(c).cast("string") for c in rows.columns]).alias("_text")))).alias("l"))
-    return head.unionByName(listed.select(F.posexplode("l").alias("line", "r")).select((F.col("line") + 2).cast("long").alias("line"), F.col("r._text").alias("text")))
+    body = dense_order(rows, order, "_line").select((F.col("_line") + 2).alias("line"), cells([F.col(c).cast("string") for c in rows.columns]).alias("text"))
+    return head.unionByName(body)
 
 
 @query(

@@ -197,7 +197,7 @@ def slot_extended(spark, d):
 def fake_translate(text: Column, entities: Column, drop_first: bool = False) -> Column:
     """Deterministic stand-in for a model: surfaces become names in the entities' order, optionally all but the first."""
     known = F.filter(entities, lambda e: F.coalesce(e["resolved_name"], F.lit("")) != "")
-    return F.aggregate(F.slice(known, 2, 1000) if drop_first else known, text, lambda a, e: F.replace(a, e["surface"], e["resolved_name"]))
+    return F.aggregate(F.slice(known, F.lit(2), F.size(known)) if drop_first else known, text, lambda a, e: F.replace(a, e["surface"], e["resolved_name"]))
 
 
 @query("fake_translate", f"WITH {_SENT_SQL} SELECT id, CASE WHEN size >= 20 THEN replace(replace(text, p_name, n1), p_brand, n2) ELSE replace(text, p_name, n1) END AS whole, CASE WHEN size >= 20 THEN replace(text, p_brand, n2) ELSE text END AS dropped FROM t")

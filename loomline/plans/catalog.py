@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.operators import aggregates, cache, databases, extras, filters, jobs, joins, neighbours, order, ordering, postings, prompts, replay, reports, scoring, textual, writes  # noqa: F401
+from loomline.operators import aggregates, cache, databases, extras, filters, jobs, joins, neighbours, order, ordering, postings, prompts, replay, reports, scoring, services, sourced, textual, writes  # noqa: F401
 from loomline.streaming import consumer, timers  # noqa: F401
 from loomline.streaming import queries as streaming_queries  # noqa: F401
 

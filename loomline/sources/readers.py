@@ -74,6 +74,15 @@ def rule_table(path: str, columns: int = 2) -> list[tuple[str, ...]]:
     return rules
 
 
+def rule_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(place, fields) of tab-separated rules in file order, read by Spark from wherever it reads; ``#`` comments and blank lines skipped.
+
+    The file is one row, as its order matters and rules are few.
+    """
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line"))
+    return lines.filter((F.trim("line") != "") & ~F.col("line").startswith("#")).select("place", F.split("line", "\t").alias("fields"))
+
+
 def log_pairs(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Counts of the two groups of ``pattern`` over log files."""
     raw = spark.read.text(path)

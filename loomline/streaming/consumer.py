@@ -49,7 +49,31 @@ def outcomes(spark: SparkSession, out: str) -> DataFrame | None:
     return spark.read.option("basePath", out).parquet(out)
 
 
-# --- query
+def skip_terminal(entries: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
+    """Entries whose job has no outcome yet, one a job: what a redelivered or doubled entry leaves to do."""
+    todo = entries.dropDuplicates([key])
+    return todo if done is None else todo.join(done.select(key), key, "left_anti")
+
+
+# --- queries
+
+
+@query("log_redelivered", "SELECT event_id AS id, event_type = 'error' AS dead FROM events")
+def log_redelivered(spark, d):
+    """Every event is in the log twice, the second time after all first ones; a job that has its outcome, good or dead, is skipped."""
+    base = sinks.scratch(spark, "log")
+    path, out = f"{base}/log", f"{base}/outcomes"
+    events = load(spark, d, "events")
+    body = F.to_json(F.struct(F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("dead")))
+
+    def work(entries: DataFrame) -> DataFrame:
+        jobs = entries.select("part", "offset", F.from_json("body", "id bigint, dead boolean").alias("e")).select("part", "offset", "e.*")
+        return skip_terminal(jobs, outcomes(spark, out), "id")
+
+    for _ in range(2):
+        log.append_log(events, path, 3, F.col("user_id"), ["ts", "event_id"], body)
+        consume(spark, path, "workers", work, out, f"{base}/checkpoint")
+    return outcomes(spark, out).select("id", "dead")
 
 
 @query(

@@ -21,8 +21,8 @@ def stream_ingest(spark, d):
     base = sinks.scratch(spark, "stream")
     done = load(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id"))
     events = load(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    processors.ingest(stream, f"{base}/out", f"{base}/checkpoint", ["event_id"], done).awaitTermination()
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    processors.ingest(stream, f"{base}/out", f"{base}/checkpoint", ["event_id"], done, ts="ts").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "event_type")
 
 
