@@ -87,7 +87,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, key: st
     rows are packed each; a null key stays null; a very long text is cut into windows; an empty table gives an empty
     result; extra columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="1m")
 
     def run(batches):
         encoder = piece_encoder(tokenizer, False)
