@@ -12,7 +12,9 @@ from . import processors, state
 
 
 def _millis(column: str = "ts"):
-    return F.unix_millis(F.col(column).cast("timestamp"))
+    """Milliseconds since 1970, rounded half away from zero as the SQL's epoch_ms does."""
+    us = F.unix_micros(F.col(column).cast("timestamp"))
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from loomline.sources import readers, sinks
-from loomline.streaming import processors, state
+from loomline.streaming import processors, queries, state
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't have the tests
 
@@ -169,3 +169,28 @@ def test_reserved_are_the_first_of_a_day(spark):
         for day in (0, 1):
             want |= {(k, i) for i in sorted((i for i in range(30) if i % 2 == day), key=lambda i: (i % 3, i))[:4]}
     assert got == want and reserved(df.limit(0), "k", 4).count() == 0
+
+
+def test_milliseconds_round_as_in_sql(spark):
+    import duckdb
+
+    some = [0, 499, 500, 501, 1499, 1500, -499, -500, -501, -1500, 1_704_090_635_999_596, 1_704_090_635_999_499]
+    df = spark.createDataFrame([(u,) for u in some], "u long").select("u", F.timestamp_micros("u").alias("ts"))
+    got = {r["u"]: r["ms"] for r in df.select("u", queries._millis().alias("ms")).collect()}
+    c = duckdb.connect()
+    assert got == {u: c.execute("select epoch_ms(make_timestamp(?::bigint))", [u]).fetchone()[0] for u in some}
+
+
+def test_token_bucket_at_a_rounded_millisecond(spark, tmp_path):
+    import duckdb
+
+    from loomline.plans import catalog
+
+    # the third event's time rounds up to a multiple of 2160 ms, which changes its wait
+    at = [1_704_090_000_000_000, 1_704_090_010_000_000, 1_704_090_635_999_596]
+    df = spark.createDataFrame([(k, u, 7, "error") for k, u in enumerate(at)], "event_id long, u long, user_id long, event_type string")
+    df.select("event_id", F.timestamp_micros("u").cast("timestamp_ntz").alias("ts"), "user_id", "event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(c.execute(catalog.oracle_sql()["token_bucket"]).fetchall())
+    assert sorted(tuple(r) for r in catalog.queries()["token_bucket"](spark, str(tmp_path)).collect()) == want
