@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 from loomline.plans.registry import load, query
 
-from .joins import _HASH_SQL, MENTIONS_SQL, missed_mentions, paired, staged_mentions
+from .joins import _HASH_SQL, MENTIONS_SQL, counted_stages, missed_mentions, paired, staged_mentions
 from .quantiles import index, quantiles, share
 
 
@@ -85,13 +85,17 @@ def cost_by_model(spark, d):
 
 def shares(rows: DataFrame, by: str) -> DataFrame:
     """Counts and per cent of all by group; the total is one number over a row a group."""
-    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
+    return count_shares(rows.groupBy(by).agg(F.count("*").alias("n")))
+
+
+def count_shares(counts: DataFrame) -> DataFrame:
+    """``counts`` with column n and each one's per cent of their sum."""
     return counts.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
 @query("stage_distribution", f"WITH {MENTIONS_SQL} SELECT stage, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM linked GROUP BY stage")
 def stage_distribution(spark, d):
-    return shares(staged_mentions(spark, d).select("stage"), "stage")
+    return count_shares(counted_stages(spark, d))
 
 
 def doc_signals(spark, d) -> DataFrame:

@@ -11,7 +11,7 @@ from loomline.sources import readers, sinks
 
 from .cache import click_items
 from .extras import repair_name
-from .joins import MENTIONS_SQL, mentions, staged_mentions
+from .joins import MENTIONS_SQL, counted_stages, mentions
 from .replay import replay
 
 # --- files
@@ -66,8 +66,8 @@ def rule_file(spark, d):
 @query("chosen_sources", f"WITH {MENTIONS_SQL} SELECT 'file' AS mode, stage, count(*) AS n FROM linked GROUP BY stage UNION ALL SELECT 'noop', 'MISS', count(*) FROM mentions")
 def chosen_sources(spark, d):
     """The same mentions with the knowledge source that each configured mode names: the file, or none, which finds nobody."""
-    modes = {"file": lambda: staged_mentions(spark, d).select("stage"), "noop": lambda: mentions(spark, d).select(F.lit("MISS").alias("stage"))}
-    parts = [readers.choose(m, modes)().groupBy("stage").agg(F.count("*").alias("n")).select(F.lit(m).alias("mode"), "stage", "n") for m in ("file", "noop")]
+    modes = {"file": lambda: counted_stages(spark, d), "noop": lambda: mentions(spark, d).agg(F.lit("MISS").alias("stage"), F.count("*").alias("n"))}
+    parts = [readers.choose(m, modes)().select(F.lit(m).alias("mode"), "stage", "n") for m in ("file", "noop")]
     return parts[0].unionByName(parts[1])
 
 

@@ -5,6 +5,7 @@ import os
 import random
 import re
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -227,3 +228,21 @@ def test_rule_names_against_a_scan(spark):
         whole = {r["doc_id"]: r["s"] for r in textual.sentences(spark, sf).collect()}
         for r in textual.rule_ner(spark, sf).collect():
             assert r["found"] == ";".join(f"{w}@{s}" for s, w in _scan_names(whole[r["doc_id"]]))
+
+
+def test_cases_are_solved_by_counts(spark, tmp_path):
+    """Counts by stage equal the mentions' own stages; entries that repeat count as often; no plan for counts gathers ids."""
+    people = spark.createDataFrame([(k, f"p{k}", k % 3, ["a(b)", "c"] if k % 2 else ["c"]) for k in range(30)], "person_id long, name string, active_from int, offices array<string>").withColumn("known", F.lit(True))
+    index = spark.createDataFrame([("x", k // 2, k // 2) for k in range(40)] + [("y", 90, 1)], "surface string, pos long, person_id long")
+    cases = [(i, s, y, c) for i, (s, y, c) in enumerate((s, y, c) for s in ("x", "y", "z", None) for y in (None, 0, 1, 2) for c in (None, "", "a", "a c", "b") for _ in range(3))]
+    mentions = spark.createDataFrame(cases, "id long, surface string, year int, context string")
+    linked = joins.link_mentions(mentions, index, people).collect()
+    counts = joins.stage_counts(mentions, index, people)
+    assert {r["stage"]: r["n"] for r in counts.collect()} == dict(Counter(r["link"]["stage"] for r in linked))
+    no = {(r["surface"], r["year"], r["context"]): (r["no"], len(r["link"]["ids"])) for r in linked}
+    assert no["x", 0, "a c"] == (14, 14) and no["x", 0, "a"] == (6, 6) and no["x", 0, ""] == (0, 3) and no["z", 0, "a"] == (0, 0)
+    got = joins.link_cases(mentions, index, people, [F.col("no")])
+    assert {(r["surface"], r["year"], r["context"]): r["no"] or 0 for r in got.collect()} == {k: v[0] for k, v in no.items()}
+    for df in (counts, got, joins.link_stages(mentions, index, people)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "lead" not in plan and "collect_list(e" not in plan
