@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from loomline.plans.registry import load, query
 from loomline.sources import sinks
-from loomline.streaming.timers import Timed, run_timed
+from loomline.streaming.timers import Timed, fold_timed, run_timed  # noqa: F401
 
 from .order import dense_order
 from .replay import replay
@@ -45,6 +45,9 @@ class ExpiringCache(Timed):
         # by the machine's clock the store drops entries itself, even of keys that no row comes for
         self.entries = handle.getMapState("entries", "item string", "expires bigint", self.ttl if self.clock == "processing" else None)
 
+    def _fresh(self):
+        return {"entries": {}, "kept": {}}
+
     def _load(self):
         kept = {k[0]: v[0] for k, v in self.entries.iterator()}
         return {"entries": dict(kept), "kept": kept}
@@ -83,7 +86,7 @@ def cache_outcomes(spark, d):
     """Each event asks its user's cache for its type: entries live five days, a value of 80 or more finds its entry unusable, errors aren't stored."""
     e = load(spark, d, "events")
     rows = e.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("seq"), F.col("user_id").alias("owner"), F.col("event_type").alias("item"), F.coalesce(F.col("value") < 80, F.lit(False)).alias("usable"), (F.col("event_type") != "error").alias("admitted"))
-    return run_timed(spark, rows, "owner", ExpiringCache(5 * DAY_MS), "owner bigint, seq bigint, outcome string", "cache")
+    return fold_timed(rows, "owner", ExpiringCache(5 * DAY_MS), "owner bigint, seq bigint, outcome string")
 
 
 # --- purge

@@ -263,3 +263,33 @@ def test_prefix_repeats(spark):
     for s in (1, 3, 6, 9):
         some = [k for k in keys[:s] if k]
         assert got[s] == (len(some), len(some) - len(Counter(some)))
+
+
+def test_a_table_folds_as_its_stream_runs(spark):
+    """Batch and stream share their steps: a hot key over several Arrow batches, keys without a due tick, a row that only moves the time."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(0, 600_000), 2 * k + a, 0 if k % 4 else k % 7, k, bool(a)) for k in range(300) for a in (0, 1) if not a or rng.random() < 0.5]
+    df = spark.createDataFrame([*rows, (700_000, None, 3, None, None)], "ms long, seq long, owner long, entry long, ack boolean")
+    schema = "owner bigint, entry bigint, delivery int, at_ms bigint, dead boolean"
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = sorted(tuple(r) for r in timers.fold_timed(df, "owner", timers.Redelivery(most=20, last=3), schema).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == sorted(tuple(r) for r in timers.run_timed(spark, df, "owner", timers.Redelivery(most=20, last=3), schema, "t").collect()) and len(got) > 100
+    assert timers.fold_timed(df.limit(0), "owner", timers.Redelivery(), schema).count() == 0
+
+
+def test_pump_of_a_table_equals_a_loop_over_ticks(spark):
+    rng = random.Random(5)
+    rows, want = [], []
+    for batch in range(12):
+        total, budget, start = rng.randrange(1, 9), rng.choice([3, 6, 99]), rng.randrange(5000)
+        ends = sorted(start + rng.randrange(1, 20_000) for _ in range(total if batch % 3 else max(0, total - 1)))
+        rows.append((start, -1, batch, "start", total, budget, None))
+        rows += [(e, k, batch, "end", None, None, 1) for k, e in enumerate(ends)]
+        want += [(batch, *x) for x in plain_pump(total, budget, start, ends)]
+    df = spark.createDataFrame(rows, "ms long, seq long, batch long, what string, total long, budget long, calls long")
+    got = timers.fold_timed(df, "batch", timers.Pump(), "batch bigint, what string, place bigint, at_ms bigint").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
