@@ -12,8 +12,10 @@ import posixpath
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -22,6 +24,8 @@ from loomline.functions.shipping import ship
 from loomline.operators.order import dense_order
 
 ENTRY = "part int, offset bigint, body string"
+#: Row groups of the log's files: a reader takes the groups that its range meets, one at a time, so they are small.
+GROUP_BYTES = 4 << 20
 _ARROW = pa.schema([("part", pa.int32()), ("offset", pa.int64()), ("body", pa.string())])
 
 
@@ -39,7 +43,7 @@ def append_log(entries: DataFrame, path: str, parts: int, key: Column, order: li
     ends = _ends(path)
     known = F.create_map(*[F.lit(x) for kv in ends.items() for x in kv]) if ends else F.create_map().cast("map<int,bigint>")
     rows = placed.join(F.broadcast(starts), "part").withColumn("offset", F.col("at") - F.col("first") + F.coalesce(F.try_element_at(known, "part"), F.lit(0)))
-    rows.select("part", "offset", "body").sortWithinPartitions("part", "offset").write.mode("append").partitionBy("part").parquet(path)
+    rows.select("part", "offset", "body").sortWithinPartitions("part", "offset").write.mode("append").option("parquet.block.size", GROUP_BYTES).partitionBy("part").parquet(path)
     ship(spark)
 
 
@@ -118,10 +122,18 @@ class _GroupReader(DataSourceStreamReader):
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         fs, _ = _open(self.path)
-        inside = (ds.field("offset") >= partition.lo) & (ds.field("offset") < partition.hi)
-        for b in ds.dataset(partition.files, filesystem=fs, format="parquet").to_batches(columns=["offset", "body"], filter=inside):
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([partition.part] * b.num_rows, pa.int32()), b.column(0), b.column(1)], schema=_ARROW)
+        for path in partition.files:
+            with fs.open_input_file(path) as opened:
+                file = pq.ParquetFile(opened, pre_buffer=False, memory_map=False)
+                at = file.schema_arrow.get_field_index("offset")
+                for k in range(file.num_row_groups):
+                    seen = file.metadata.row_group(k).column(at).statistics
+                    if seen.max < partition.lo or seen.min >= partition.hi:
+                        continue
+                    for b in file.iter_batches(10_000, row_groups=[k], columns=["offset", "body"], use_threads=False):
+                        b = b.filter((pc.field("offset") >= partition.lo) & (pc.field("offset") < partition.hi))
+                        if b.num_rows:
+                            yield pa.RecordBatch.from_arrays([pa.array([partition.part] * b.num_rows, pa.int32()), b.column(0), b.column(1)], schema=_ARROW)
 
     def commit(self, end: dict) -> None:
         acknowledge(self.path, self.group, end)

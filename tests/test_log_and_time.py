@@ -1,11 +1,13 @@
 """The log and its consumer groups, timers, dense places, the expiring cache: each against a plain loop."""
 
+import glob
 import json
 import os
 import random
 from collections import Counter
 
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +295,15 @@ def test_pump_of_a_table_equals_a_loop_over_ticks(spark):
     df = spark.createDataFrame(rows, "ms long, seq long, batch long, what string, total long, budget long, calls long")
     got = timers.fold_timed(df, "batch", timers.Pump(), "batch bigint, what string, place bigint, at_ms bigint").collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_a_reader_takes_few_entries_at_a_time(spark, tmp_path):
+    """A part far larger than a row group: groups are bounded in bytes, ranges meet few of them, and each entry is read once."""
+    body = F.concat(*[F.sha2((F.col("id") * 7 + k).cast("string"), 512) for k in range(4)])
+    log.append_log(spark.range(40_000), f"{tmp_path}/log", 1, F.lit(0), ["id"], body)
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_path}/log/part=0/*.parquet")]
+    assert max(f.metadata.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)) < 3 * log.GROUP_BYTES
+    assert sum(f.num_row_groups for f in files) >= 5
+    reader = log._GroupReader({"path": f"{tmp_path}/log", "group": "g", "chunk": "15001"})
+    batches = [b for r in reader.partitions({}, reader.latestOffset()) for b in reader.read(r)]
+    assert [o for b in batches for o in b.column(1).to_pylist()] == list(range(40_000)) and max(b.num_rows for b in batches) <= 10_000
