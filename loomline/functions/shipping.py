@@ -27,3 +27,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join(name, os.path.relpath(full, _PACKAGE)))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "1m") -> None:
+    """Bound an Arrow batch by rows and bytes, so that a worker's lists of texts, pieces and statistics don't grow with its partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import metrics as M
 from loomline.functions import morphemes
 from loomline.functions import text as T
-from loomline.functions.shipping import ship
+from loomline.functions.shipping import bound_batches, ship
 from loomline.plans.registry import load, query
 from loomline.sources import readers
 
@@ -238,6 +238,7 @@ def text_entity_features(spark, d):
 def morpheme_scores(spark, d):
     """BLEU and chrF of answers against questions, over morphemes: both sides are cut by one dictionary of 20,000 pieces, learned from all turns."""
     ship(spark)
+    bound_batches(spark)
     spans = morphemes.segmenter(*morphemes.piece_costs(load(spark, d, "conversations"), "text", 20000))
     cut = pairs(spark, d).select("turn", F.array_join(spans("hyp"), " ").alias("hyp"), F.array_join(spans("ref"), " ").alias("ref"))
     stats = cut.select("turn", M.bleu_word_stats("hyp", "ref").alias("b"), M.chrf_stats("hyp", "ref").alias("c"))

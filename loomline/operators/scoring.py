@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import metrics as M
 from loomline.functions import text as T
-from loomline.functions.shipping import ship
+from loomline.functions.shipping import bound_batches, ship
 from loomline.plans.registry import load, query
 
 
@@ -21,6 +21,7 @@ def pairs(spark, d) -> DataFrame:
 def corpus_scores(rows: DataFrame, by: str, groups: Column) -> DataFrame:
     """chrF and BLEU (characters, words) of each group, from one statistics row a pair; a pair goes to all its ``groups`` once it is counted."""
     ship(rows.sparkSession)
+    bound_batches(rows.sparkSession)
     stats = rows.select(groups.alias("groups"), M.chrf_stats("hyp", "ref").alias("c"), M.bleu_char_stats("hyp", "ref").alias("b"), M.bleu_word_stats("hyp", "ref").alias("w"))
     stats = stats.select(F.explode("groups").alias(by), "c", "b", "w")
     sums = stats.groupBy(by).agg(F.count("*").alias("n"), M.summed(F.col("c"), 3 * M.CHRF_ORDER).alias("c"), M.summed(F.col("b"), 2 + 2 * M.BLEU_ORDER).alias("b"), M.summed(F.col("w"), 2 + 2 * M.BLEU_ORDER).alias("w"))

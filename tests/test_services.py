@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,19 @@ def test_scans_push_filters_and_competing_transitions_apply_once(spark):
         db.run(spark, "UPDATE JOBS SET STATUS = 'Z'", "UPDATE JOBS SET UNKNOWN_COLUMN = 1")
     assert db.scan(spark, "JOBS").filter("STATUS = 'Z'").count() == 0
     assert isinstance(db, jdbc.Database)
+
+
+def test_morpheme_scores_bound_their_batches(spark):
+    """The query leaves Arrow batches bounded, however many rows a partition has."""
+    from pyspark.sql.types import IntegerType
+
+    from loomline.plans import catalog
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10_000)
+    catalog.queries()["morpheme_scores"](spark, "/root/testdata/sf0.001")
+    held = F.arrow_udf(lambda a: pa.array([len(a)] * len(a), pa.int32()), IntegerType())
+    sizes = spark.range(0, 5000, 1, 1).select(held("id").alias("n")).agg(F.max("n")).first()[0]
+    spark.conf.set(name, before)
+    assert sizes <= 1000
