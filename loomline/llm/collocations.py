@@ -1,12 +1,14 @@
 """Phrase collocation mining: counts of word n-grams from suffix arrays of shards, merged by key, then exact scores.
 
-Texts become shards, arrays of at most about ``SHARD`` word ids with breaks between pieces, saved with the shard's vocabulary. The
-positions of a shard are sorted by their next words by prefix doubling in numpy; neighbours that share n words form the
-intervals, an n-gram and its count each. Counts of one n-gram are summed over shards by key.
-
-Most n-grams are rare, so rounds leave out what can't reach the least count: words below it break a run of words when pairs are
-counted, pairs below it when triples are, and only phrases of frequent triples are spelled out. What is frequent reaches the shards as a Bloom filter of at most 2^29 bits, sized by the number
-of entries; a false entry, or a filter too full to help, costs rows, never results, as the least count is applied to exact sums.
+Texts become shards, arrays of at most about ``SHARD`` word ids with breaks between pieces. Words that reach the least count get
+numbers that hold in all shards; the others break a run of words. The positions of a shard are sorted by their next words by prefix
+doubling in numpy; neighbours that share n words form the intervals, an n-gram and its count each. An n-gram's key is its numbers,
+packed into whole numbers of 64 bits: exact, and much smaller than its text. Each task sums its shards' counts by key before it
+hands them on; then they are summed over all tasks, and only what reaches the least count is spelled out, once.
+
+Most n-grams are rare, so a round for each n leaves out what can't reach the least count: n-grams whose first or last n - 1 words
+don't. These reach the shards as Bloom filters of at most 2^29 bits, sized by the number of entries; a false entry, or a filter
+too full to help, costs rows, never results, as the least count is applied to exact sums.
 """
 
 from __future__ import annotations
@@ -17,15 +19,16 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, map_batches, small_batches
 
-#: Words of a shard, but for the last batch of texts; most bits of a filter, as a power of two.
-SHARD, FILTER_BITS = 1 << 19, 29
+#: Words of a shard, but for the last batch of texts; most bits of a filter, as a power of two; most words that are numbered at once.
+SHARD, FILTER_BITS, WORDS = 1 << 19, 29, 1 << 23
+#: Keys and counts that a task gathers before it sums them.
+GATHERED = 1 << 20
 #: Bytes that end a piece become line ends, the other blank a space: fixed values. bytes.lower() folds A-Z only.
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
 _BREAK = b"."
@@ -76,7 +79,7 @@ def intervals(order: np.ndarray, left: np.ndarray, shared: np.ndarray, n: int) -
 # --- shards
 
 
-def _shards(batches: Iterator[dict]):
+def _shards(batches: Iterator[dict], seed: int):
     """Batches of (text as bytes, lang) to shards; ids start at 1, 0 is a break."""
     vocab: dict[str, defaultdict] = {}
     lines: list[np.ndarray] = []
@@ -92,7 +95,7 @@ def _shards(batches: Iterator[dict]):
             own.pop(_BREAK, None)
             for w, i in own.items():
                 at[len(words)] = i
-                hashes[i - 1] = xxhash.xxh3_64_intdigest(w, xxhash.xxh32_intdigest(lang))
+                hashes[i - 1] = xxhash.xxh3_64_intdigest(w, xxhash.xxh32_intdigest(lang) + (seed << 32))
                 words.append(w)
                 langs.append(lang)
         order = np.argsort(at[: len(words)])
@@ -124,10 +127,10 @@ def _shards(batches: Iterator[dict]):
         yield flush()
 
 
-def make_shards(docs: DataFrame) -> DataFrame:
-    """(ids binary, words, langs, hashes, counts): arrays of word ids of the texts, and of each id its word, lang, hash and count."""
+def make_shards(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(ids binary, words, langs, hashes, counts): arrays of word ids of the texts, and of each id its word, lang, hash under ``seed`` and count."""
     rows = docs.select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    return map_batches(rows, _shards, "ids binary, words array<string>, langs array<string>, hashes array<bigint>, counts array<bigint>")
+    return map_batches(rows, lambda b: _shards(b, seed), "ids binary, words array<string>, langs array<string>, hashes array<bigint>, counts array<bigint>")
 
 
 # --- filters
@@ -165,64 +168,151 @@ def _inside(filter_: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _hash(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n words (ids from 1) from each position of ``at``, from those of the words."""
-    x = hashes[ids[at] - 1]
-    for k in range(1, n):
-        x = x * np.uint64(0x9E3779B97F4A7C15) ^ hashes[ids[at + k] - 1]
+# --- counts by number
+
+
+def _numbers(hashes: np.ndarray, known: np.ndarray, first: int) -> np.ndarray:
+    """The number of each hash that ``known``, ascending, holds: its place there, counted from ``first``; else 0."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at + first, 0)
+
+
+def _renumber(batches: Iterator[dict], known, first: int, last: bool):
+    """Shards in whose ids the words of ``known`` stand as their negative numbers; after the ``last`` part as the positive ones, others as breaks, lone words left out."""
+    for b in batches:
+        for i in range(len(b["ids"])):
+            ids = np.frombuffer(b["ids"][i].as_py(), "<i4")
+            hashes = b["hashes"].slice(i, 1).flatten()
+            new = _numbers(hashes.to_numpy(), known.value, first)
+            new = np.append(0, np.where(new > 0, -new, np.arange(1, len(new) + 1)))
+            ids = np.where(ids > 0, new[np.maximum(ids, 0)], ids)
+            if last:
+                ids = _without_lone(np.maximum(-ids, 0))
+            kept = pa.array([[] if last else hashes.to_numpy()], pa.list_(pa.int64()))
+            yield {"ids": pa.array([ids.astype("<i4").tobytes()], pa.binary()), "hashes": kept}
+
+
+def _without_lone(ids: np.ndarray) -> np.ndarray:
+    """Runs of two or more words, one break or more between them."""
+    before, after = np.append(0, ids[:-1]), np.append(ids[1:], 0)
+    return ids[((ids > 0) & ((before > 0) | (after > 0))) | ((ids == 0) & (before > 0))]
+
+
+def numbered(shards: DataFrame, words: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame, int]:
+    """(saved runs (ids) of numbers in all shards, saved (lang, phrase, a, number) of ``words``, how many); ``shards`` is dropped.
+
+    Numbers are places in the ascending hashes, of which no two are equal. The hashes are broadcast, 64 MB at most at once: where
+    there are more, in parts, each in a pass over the shards.
+    """
+    sc, total = shards.sparkSession.sparkContext, words.count()
+    parts = max(1, -(-total // WORDS))
+    first, names = 1, []
+    for part in range(parts):
+        own = words.filter(F.pmod(F.col("h"), F.lit(parts)) == part)
+        known = sc.broadcast(np.sort(own.select("h").toArrow()["h"].to_numpy()))
+        last = part == parts - 1
+        before, shards = shards, tables.save(map_batches(shards.select("ids", "hashes"), lambda b, k=known, f=first, e=last: _renumber(b, k, f, e), "ids binary, hashes array<bigint>"), "runs")
+        tables.drop(before)
+
+        def name(batches, known=known, first=first):
+            for b in batches:
+                yield {c: b[c] for c in ("lang", "phrase", "a")} | {"number": _numbers(b["h"].to_numpy(), known.value, first)}
+
+        names.append(tables.save(map_batches(own, name, "lang string, phrase string, a bigint, number bigint"), "names"))
+        first += len(known.value)
+    named = names[0]
+    for more in names[1:]:
+        named = named.unionByName(more)
+    return shards.select("ids"), named, total
+
+
+def _keys(ids: np.ndarray, at: np.ndarray, n: int, bits: int) -> list[np.ndarray]:
+    """The n numbers of ``bits`` bits from each position of ``at``, in order, as many to a whole number of 63 bits as fit."""
+    per, out = 63 // bits, []
+    for lo in range(0, n, per):
+        x = np.zeros(len(at), np.int64)
+        for k in range(lo, min(n, lo + per)):
+            x = x << bits | ids[at + k]
+        out.append(x)
+    return out
+
+
+def _key_names(n: int, bits: int) -> list[str]:
+    return [f"k{i}" for i in range(-(-n // (63 // bits)))]
+
+
+def _hash(keys: list[np.ndarray]) -> np.ndarray:
+    """A hash of keys, for filters."""
+    x = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        x = (x ^ k.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
     return x
 
 
-def _runs(b: dict, i: int, filters: list) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, hashes) of a shard, with breaks in place of the words outside the first filter and within the pairs outside the second."""
-    ids = np.frombuffer(b["ids"][i].as_py(), "<i4")
-    hashes = b["hashes"].slice(i, 1).flatten().to_numpy().view(np.uint64)
-    keep = np.append(False, _inside(filters[0].value, hashes))
-    ids = np.where(keep[ids], ids, 0)
-    if len(filters) > 1:
-        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        linked = np.zeros(len(ids), bool)
-        linked[at] = _inside(filters[1].value, _hash(hashes, ids, at, 2))
-        ids = np.insert(ids, np.flatnonzero((ids > 0) & ~linked) + 1, 0)
-        alone = (ids > 0) & (np.append(0, ids[:-1]) == 0) & (np.append(ids[1:], 0) == 0)
-        ids = ids[~alone]
-    return ids, hashes
-
-
-def _count_hashed(batches: Iterator[dict], filters: list, n: int):
-    """Hashes and counts of a shard's n-grams whose words, and for more than two words also pairs, are in the filters."""
+def _summed(parts: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    keys = [np.concatenate(k) for k in zip(*(k for k, _ in parts), strict=True)]
+    counts = np.concatenate([c for _, c in parts])
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
+    keys = [k[order] for k in keys]
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))[: len(counts)]
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _gathered(parts: Iterator[tuple[list[np.ndarray], np.ndarray]]):
+    """Keys and counts, summed by key whenever ``GATHERED`` are held; what is still over half of that is handed on."""
+    held, size = [], 0
+    for p in parts:
+        held.append(p)
+        size += len(p[1])
+        if size >= GATHERED:
+            held = [_summed(held)]
+            size = len(held[0][1])
+            if 2 * size >= GATHERED:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield _summed(held)
+
+
+def _grams(batches: Iterator[dict], filters: list, n: int, bits: int):
+    """(keys, counts) of each shard's n-grams whose pairs, and whose first and last n - 1 words, are in the filters (of 2, 3... words)."""
     for b in batches:
-        for i in range(len(b["ids"])):
-            ids, hashes = _runs(b, i, filters)
+        for ids in b["ids"].to_pylist():
+            ids = np.frombuffer(ids, "<i4").astype(np.int64)
+            if n > 2:
+                at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+                linked = np.zeros(len(ids), bool)
+                linked[at] = _inside(filters[0].value, _hash(_keys(ids, at, 2, bits)))
+                ids = _without_lone(np.insert(ids, np.flatnonzero((ids > 0) & ~linked) + 1, 0))
             order = suffix_array(ids, n)
             first, counts = intervals(order, *common_prefixes(ids, order, n), n)
-            h = _hash(hashes, ids, first, n)
-            for lo in range(0, len(h), 1 << 17):
-                yield {"h": h[lo : lo + (1 << 17)].view(np.int64), "n": counts[lo : lo + (1 << 17)]}
+            if n > 3:
+                whole = np.all([_inside(filters[n - 3].value, _hash(_keys(ids, first + k, n - 1, bits))) for k in (0, 1)], axis=0)
+                first, counts = first[whole], counts[whole]
+            yield _keys(ids, first, n, bits), counts
 
 
-def _count_phrases(batches: Iterator[dict], filters: list, longest: int):
-    """A shard's n-grams of 2 to ``longest`` words, spelled out, with their counts: those whose words, pairs and triples are in the filters."""
-    for b in batches:
-        for i in range(len(b["ids"])):
-            ids, hashes = _runs(b, i, filters)
-            order = suffix_array(ids, longest)
-            left, shared = common_prefixes(ids, order, longest)
-            words, langs = b["words"].slice(i, 1).flatten(), b["langs"].slice(i, 1).flatten()
-            triple = np.zeros(len(ids), bool)
-            at = order[left >= 3]
-            triple[at] = _inside(filters[2].value, _hash(hashes, ids, at, 3))
-            for n in range(2, longest + 1):
-                first, counts = intervals(order, left, shared, n)
-                whole = np.all([triple[first + k] for k in range(n - 2)], axis=0) if n > 2 else np.ones(len(first), bool)
-                first, counts = first[whole], counts[whole]
-                for lo in range(0, len(first), 1 << 16):
-                    own = first[lo : lo + (1 << 16)]
-                    named = [words.take(pa.array(ids[own + k] - 1)) for k in range(n)]
-                    yield {"lang": langs.take(pa.array(ids[own] - 1)), "n": pa.array(np.full(len(own), n, np.int32)), "phrase": pc.binary_join_element_wise(*named, " "), "a": counts[lo : lo + (1 << 16)]}
+def _count(batches: Iterator[dict], filters: list, n: int, bits: int):
+    names = _key_names(n, bits)
+    for keys, counts in _gathered(_grams(batches, filters, n, bits)):
+        for lo in range(0, len(counts), 1 << 17):
+            yield {c: k[lo : lo + (1 << 17)] for c, k in zip(names, keys, strict=True)} | {"a": counts[lo : lo + (1 << 17)]}
+
+
+def _spelled(counted: DataFrame, names: DataFrame, n: int, bits: int) -> DataFrame:
+    """(lang, words, phrase, a) of keys of n words."""
+    per, mask = 63 // bits, F.lit((1 << bits) - 1).cast("long")
+    keys = _key_names(n, bits)
+    number = [F.shiftright(f"k{k // per}", bits * (min(n, (k // per + 1) * per) - 1 - k)).bitwiseAND(mask) for k in range(n)]
+    each = counted.select(*keys, "a", F.posexplode(F.array(*number)).alias("at", "number")).join(names.select("lang", "phrase", "number"), "number")
+    named = each.groupBy(*keys, "a").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "phrase"))).alias("w"))
+    return named.select("lang", F.lit(n).alias("words"), F.array_join("w.phrase", " ").alias("phrase"), "a")
 
 
 # --- scores
@@ -232,24 +322,33 @@ def phrase_counts(docs: DataFrame, tables: Tables, least: int = 100, longest: in
     """((lang, words, phrase, a) of the phrases of 1 to ``longest`` words with a count of at least ``least``, (lang, n) of all words)."""
     spark = docs.sparkSession
     small_batches(spark, size="1m")
-    shards = tables.save(make_shards(docs), "shards")
-    each = shards.select(F.explode(F.arrays_zip("langs", "words", "hashes", "counts")).alias("w"))
-    every = each.groupBy(F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"), F.min("w.hashes").alias("h"))
-    every = tables.save(every, "words")
+    for seed in count():
+        shards = tables.save(make_shards(docs, seed), "shards")
+        each = shards.select(F.explode(F.arrays_zip("langs", "words", "hashes", "counts")).alias("w"))
+        every = each.groupBy(F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"), F.min("w.hashes").alias("h"))
+        every = tables.save(every, "words")
+        single = every.filter(F.col("a") >= least)
+        alone = single.select("h").distinct()
+        if every.join(alone, "h", "left_semi").count() == alone.count():
+            break
+        tables.drop(shards, every)  # a frequent word shares its hash with another word: all are hashed anew
     totals = tables.save(every.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
-    single = every.filter(F.col("a") >= least)
-    filters = [spark.sparkContext.broadcast(make_filter(single))]
-    thin = shards.select("ids", "hashes")
-    for n in (2, 3):
-        counted = map_batches(thin, lambda b, n=n: _count_hashed(b, filters, n), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        counted = tables.save(counted.select("h"), "hashes")
-        filters.append(spark.sparkContext.broadcast(make_filter(counted)))
-        tables.drop(counted)
-    found = map_batches(shards.select("ids", "hashes", "words", "langs"), lambda b: _count_phrases(b, filters, longest), "lang string, n int, phrase string, a bigint")
-    found = found.groupBy("lang", F.col("n").alias("words"), "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
-    out = tables.save(single.select("lang", F.lit(1).alias("words"), "phrase", "a").unionByName(found), "phrases")
-    tables.drop(shards, every)
-    return out, totals
+    runs, names, total = numbered(shards, single, tables)
+    tables.drop(every)
+    bits, filters = max(1, total.bit_length()), []
+    phrases = [names.select("lang", F.lit(1).alias("words"), "phrase", "a")]
+    for n in range(2, longest + 1):
+        keys = _key_names(n, bits)
+        counted = map_batches(runs, lambda b, n=n: _count(b, filters, n, bits), ", ".join(f"{k} bigint" for k in [*keys, "a"]))
+        counted = tables.save(counted.groupBy(*keys).agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "counted")
+        phrases.append(_spelled(counted, names, n, bits))
+        if n < longest:
+            hashes = map_batches(counted.select(*keys), lambda b: ({"h": _hash([k.to_numpy() for k in x.values()]).view(np.int64)} for x in b), "h bigint")
+            filters.append(spark.sparkContext.broadcast(make_filter(hashes)))
+    out = phrases[0]
+    for more in phrases[1:]:
+        out = out.unionByName(more)
+    return tables.save(out, "phrases"), totals
 
 
 def _part(phrase: Column, first: Column | int, size: Column) -> Column:
@@ -266,10 +365,10 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     Null texts are empty, a null lang is ``und``; very long texts are cut into no parts, repeated rows count each; an empty
     table gives no rows; other columns of any name are ignored.
     """
-    tables = Tables(docs.sparkSession)
-    counts, totals = phrase_counts(docs, tables, least, longest)
-    tables.keep(counts)
-    tables.keep(totals)
+    with Tables(docs.sparkSession) as tables:
+        counts, totals = phrase_counts(docs, tables, least, longest)
+        tables.keep(counts)
+        tables.keep(totals)
     several = counts.filter("words > 1")
     # what a longer candidate holds, with the most frequent such candidate's count
     parts = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda k: _part(F.col("phrase"), k, m))))

@@ -191,6 +191,57 @@ def test_a_filter_too_small_changes_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in collocations.collocations(df, 6, 5, 99).collect()) == plain_collocations(docs, 6, 5, 99)
 
 
+def test_a_task_sums_its_shards_before_it_hands_counts_on(spark, monkeypatch):
+    """Rows of n-gram counts, and of what is spelled out, follow the distinct n-grams of a task, not how many of its shards hold them."""
+    made, real, shards, many = {}, collocations.map_batches, collocations.make_shards, []
+
+    def counted(df, fn, schema):
+        out = real(df, fn, schema)
+        if "ids" not in schema.split() and "h" not in schema.split()[0::2]:
+            made[schema] = made.get(schema, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "map_batches", counted)
+    # a shard from each of ``many`` partitions, all read by one task
+    monkeypatch.setattr(collocations, "make_shards", lambda docs, *seed: shards(docs.repartition(many[-1]), *seed).coalesce(1))
+    rows = []
+    docs = [("one two three four five. six one two", "en")] * 40
+    df = spark.createDataFrame(docs, "text string, lang string")
+    for n in (2, 10):
+        made.clear()
+        many.append(n)
+        assert sorted(tuple(r) for r in collocations.collocations(df, 20, 5, 99).collect()) == plain_collocations(docs, 20, 5, 99)
+        rows.append(sum(made.values()))
+    assert rows[0] == rows[1]
+
+
+def test_many_words_are_numbered_in_parts_and_packed_in_several_keys(spark, monkeypatch):
+    docs = [(f"{a} {b} {a} {b} {a}", "en") for a in "abcde" for b in "fghij" for _ in range(6)]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    want = plain_collocations(docs, 6, 5, 99)
+    monkeypatch.setattr(collocations, "WORDS", 3)
+    assert sorted(tuple(r) for r in collocations.collocations(df, 6, 5, 99).collect()) == want
+    ids = np.array([1, (1 << 31) - 1, 5, 1 << 30, 7])
+    keys = collocations._keys(ids, np.array([0]), 5, 31)
+    assert [int(k[0]) for k in keys] == [(1 << 31) + (1 << 31) - 1, (5 << 31) + (1 << 30), 7]
+    names = spark.createDataFrame([("en", f"w{i}", int(n)) for i, n in enumerate(ids)], "lang string, phrase string, number long")
+    counted = spark.createDataFrame([(*(int(k[0]) for k in keys), 9)], "k0 long, k1 long, k2 long, a long")
+    assert [tuple(r) for r in collocations._spelled(counted, names, 5, 31).collect()] == [("en", 5, "w0 w1 w2 w3 w4", 9)]
+
+
+def test_words_of_one_hash_are_hashed_anew(spark, monkeypatch):
+    real = collocations.make_shards
+
+    def clash(docs, seed=0):
+        out = real(docs, seed)
+        return out if seed else out.withColumn("hashes", F.transform("hashes", lambda h: h.bitwiseAND(F.lit(1))))
+
+    monkeypatch.setattr(collocations, "make_shards", clash)
+    docs = [("a b c a b", "en")] * 9
+    df = spark.createDataFrame(docs, "text string, lang string")
+    assert sorted(tuple(r) for r in collocations.collocations(df, 6, 5, 99).collect()) == plain_collocations(docs, 6, 5, 99)
+
+
 def test_filter_holds_its_entries(spark):
     h = spark.range(5000).select(F.xxhash64("id").alias("h"))
     bitmap = collocations.make_filter(h)
