@@ -38,6 +38,8 @@ _SEEDS = 64
 _KEYS = 256
 #: Words of the sketch of a set: 64 bits each, flipped by each of its shingles.
 _WORDS = 4
+#: Slices of the rounds that come before all pairs are compared: a component's likeliest pairs in a round, at most.
+_ROUNDS = (1, 8, 64)
 
 
 class Tiles:
@@ -353,6 +355,11 @@ def _sketches(sets: list[np.ndarray]) -> dict:
 _SKETCHES = "bits binary, " + ", ".join(f"w{k} long" for k in range(_WORDS))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(doc): the documents in pairs (a, b). Each end is made distinct by itself, so that no row is made for an end of a pair."""
+    return pairs.select(F.col("a").alias("doc")).distinct().unionByName(pairs.select(F.col("b").alias("doc")).distinct()).distinct()
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: _Texts, num: int, den: int, tables: Tables) -> DataFrame:
     """Saved pairs (a, b) that reach the threshold: bounded by bitmaps first, then decided by the shingles themselves."""
 
@@ -379,7 +386,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: _Texts, num: int, de
         return df
 
     near = tables.save(map_batches(beside(pairs, sketches, "n", "bits"), bounded, "a long, b long"), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    ids = _ends(near)
     sets = tables.save(texts.build(ids, lambda sets: {"shingles": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())}, "shingles binary"), "sets")
     links = tables.save(map_batches(beside(near, sets, "shingles"), exact, "a long, b long"), "links")
     tables.drop(near, sets)
@@ -431,11 +438,15 @@ def _prefixes(ids: DataFrame, texts: _Texts, num: int, den: int, counters: int =
     return map_batches(tokens.repartition("token").sortWithinPartitions("token"), shared, "token long, place int, doc long, n int")
 
 
+def _differ():
+    return sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(_WORDS)), F.lit(0)).cast("long")
+
+
 def _can_reach(num: int, den: int):
     """Whether prefix rows x and y of one token can belong to a link: by what stands before the token in each, and by the sketches."""
     ahead = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")).cast("long")
     both = (F.col("x.n") + F.col("y.n")).cast("long")
-    differ = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(_WORDS)), F.lit(0)).cast("long")
+    differ = _differ()
     return (F.col("x.component") != F.col("y.component")) & (ahead * (num + den) >= both * num) & (differ * (den + num) <= both * (den - num))
 
 
@@ -448,7 +459,7 @@ def _star_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _prefix_pairs(rows: DataFrame, num: int, den: int, most: int = 1000) -> DataFrame:
-    """Distinct pairs (a, b) across components that share a prefix token and can link.
+    """Distinct pairs (a, b, differ) across components that share a prefix token and can link; ``differ`` is where their sketches do.
 
     A token that more than ``most`` documents have is split: each document stands in one of its slices on one side and in
     all of them on the other, so no task compares more than a slice of it with the whole.
@@ -458,13 +469,22 @@ def _prefix_pairs(rows: DataFrame, num: int, den: int, most: int = 1000) -> Data
     x = split.withColumn("slice", F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int")).alias("x")
     y = split.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.doc") < F.col("y.doc")) & _can_reach(num, den)
-    return x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    return x.join(y, meet).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), _differ().alias("differ")).distinct()
 
 
 def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     a, b = named.toDF("a", "_a"), named.toDF("b", "_b")
-    return pairs.join(a, "a").join(b, "b").filter("_a <> _b").select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter("_a <> _b").select(*pairs.columns)
+
+
+def _likeliest(pairs: DataFrame, named: DataFrame, slices: int) -> DataFrame:
+    """Of each component the pairs (a, b) whose sketches differ least: one for each of ``slices`` parts of the documents at their other ends."""
+    a, b = named.toDF("a", "_a"), named.toDF("b", "_b")
+    known = pairs.join(a, "a").join(b, "b").select("_a", "_b", F.struct("differ", "a", "b").alias("p"))
+    ends = known.select(F.col("_a").alias("own"), F.col("p.b").alias("other"), "p").unionByName(known.select(F.col("_b").alias("own"), F.col("p.a").alias("other"), "p"))
+    best = ends.groupBy("own", F.pmod(F.xxhash64("other"), F.lit(slices)).alias("slice")).agg(F.min("p").alias("p"))
+    return best.select("p.a", "p.b").distinct()
 
 
 def _merge_components(named: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
@@ -484,7 +504,7 @@ def _named_classes(texts: _Texts, one: DataFrame, classes: DataFrame, total: int
     members = tables.save(_part_members(texts.rows, classes.select(F.col("rep").alias("doc")), classes.count(), texts.shingle, tiles, block), "members")
     ends = F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")
     pairs = tables.save(members.select(*ends).distinct(), "pairs")
-    ids = tables.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+    ids = tables.save(_ends(pairs), "ids")
     # a document is named after its class at first
     named = tables.save(attach_by_key(one.join(ids, "doc", "left_semi"), classes, "digest", "size", total).select("doc", F.col("rep").alias("component")), "named")
     sketches = tables.save(texts.build(ids, _sketches, _SKETCHES), "sketches")
@@ -500,8 +520,16 @@ def _named_classes(texts: _Texts, one: DataFrame, classes: DataFrame, total: int
     tokens = tables.save(_prefixes(inside, texts, num, den).join(sketches.drop("n", "bits"), "doc"), "tokens")
     star = tables.save(_star_pairs(tokens.join(named, "doc"), num, den).join(still, ["a", "b"], "left_anti"), "star")
     named = _merge_components(named, _verified(star, sketches, texts, num, den, tables), tables)
-    rest = _prefix_pairs(tokens.join(named, "doc"), num, den).join(still, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti")
-    named = _merge_components(named, _verified(rest, sketches, texts, num, den, tables), tables)
+    rest = tables.save(_prefix_pairs(tokens.join(named, "doc"), num, den).join(still, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"), "rest")
+    tables.drop(tokens, star, still)
+    # a group of near copies has pairs with its size squared, and nearly all are within a component once a few have linked it:
+    # so rounds of the likeliest pairs of each component come first, and all that are still apart only then
+    for slices in _ROUNDS:
+        some = tables.save(_likeliest(rest, named, slices), "likeliest")
+        named = _merge_components(named, _verified(some, sketches, texts, num, den, tables), tables)
+        before, rest = rest, tables.save(_apart(rest.join(some, ["a", "b"], "left_anti"), named), "rest")
+        tables.drop(before, some)
+    named = _merge_components(named, _verified(rest.select("a", "b"), sketches, texts, num, den, tables), tables)
 
     # a class's documents carry one name, that of its smallest
     return classes.join(named.toDF("rep", "component"), "rep", "left").select("digest", "size", F.coalesce("component", "rep").alias("component"))

@@ -376,6 +376,42 @@ def test_jaccard_of_empty_table(spark):
     assert jaccard_join.jaccard_components(table(spark, ROWS).limit(0)).count() == 0
 
 
+def test_pairs_of_a_group_of_near_copies_follow_its_size(spark, monkeypatch):
+    """Copies of a text with one or two words changed: about a tenth of all pairs link. Past the first stars few pairs are compared a document, and components are exact."""
+    rng, rows = random.Random(7), []
+    for i in range(500):
+        words = [f"w{k}" for k in range(100)]
+        for _ in range(rng.choice((1, 2))):
+            words[rng.randrange(100)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    near, real = [], jaccard_join.Tables.save
+
+    def save(self, df, label):
+        out = real(self, df, label)
+        if label == "near":
+            near.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.Tables, "save", save)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(table(spark, rows).repartition(4)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(96)} for w in (t.split() for _, t in rows)]
+    root = list(range(500))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(500):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert got == {i: find(i) for i in range(500)}
+    assert 0 < sum(near[1:]) <= 1.5 * len(rows)
+
+
 def test_pairs_at_the_threshold_share_a_part():
     rng = np.random.default_rng(1)
     tiles = jaccard_join.Tiles(85, 100)
