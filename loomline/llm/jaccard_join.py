@@ -523,8 +523,11 @@ def _named_classes(texts: _Texts, one: DataFrame, classes: DataFrame, total: int
     rest = tables.save(_prefix_pairs(tokens.join(named, "doc"), num, den).join(still, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti"), "rest")
     tables.drop(tokens, star, still)
     # a group of near copies has pairs with its size squared, and nearly all are within a component once a few have linked it:
-    # so rounds of the likeliest pairs of each component come first, and all that are still apart only then
+    # so while pairs outnumber documents, rounds of the likeliest pairs of each component come first, and all that are still apart only then
+    documents = inside.count()
     for slices in _ROUNDS:
+        if rest.count() <= documents:
+            break
         some = tables.save(_likeliest(rest, named, slices), "likeliest")
         named = _merge_components(named, _verified(some, sketches, texts, num, den, tables), tables)
         before, rest = rest, tables.save(_apart(rest.join(some, ["a", "b"], "left_anti"), named), "rest")
