@@ -50,8 +50,11 @@ def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens; a null or empty text is its end token, repeated rows are packed each, an empty table gives no rows."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
+    """Sequences of at most 2048 tokens; a null or empty text is its end token, repeated rows are packed each, an empty table gives no rows.
+
+    Workers remember few pieces, as they still hold what earlier stages took.
+    """
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048, most_pieces=200_000)
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.shipping import ship
 
-from .common import map_batches, small_batches, texts_of
+from .common import map_batches, release, small_batches, texts_of
 from .textvec import ALNUM, ngrams, word_hashes
 
 _BLOOM = 22
@@ -240,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n:
     Null and empty texts stay; repeated rows go or stay alike; very long texts are searched whole; an empty table stays
     empty, and without items all rows stay.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="1m")
     ship(docs.sparkSession)
     out, column = docs, docs.columns.index(text)
     for items in _slices(benchmark, item_key, item_text, most_bytes):
@@ -251,6 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, n:
                 clean = [not hits for hits in batch_hits(texts_of(b.column(column)), shared.value, least)]
                 if b.num_rows:
                     yield b.filter(pa.array(clean, pa.bool_()))
+            release()
 
         out = out.mapInArrow(run, docs.schema)
     return out

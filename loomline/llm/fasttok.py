@@ -17,8 +17,8 @@ from itertools import islice
 
 import numpy as np
 
-#: Ids remembered in a worker: of at most so many pieces when a batch begins. Over that, the earliest half stays, as
-#: frequent ones come early.
+#: Ids remembered in a worker: of at most so many pieces when a batch begins, some 180 bytes each, unless an encoder is given
+#: another number. Over that, the earliest half stays, as frequent ones come early.
 MOST_PIECES = 900_000
 _SINGLE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 #: Marks that the tokenizers' patterns part from letters before them, also in runs; the apostrophe isn't one.
@@ -43,14 +43,14 @@ class _Words(dict):
     A word of Latin letters is one piece for the tokenizers' patterns, so it goes to the merges directly.
     """
 
-    def __init__(self, tokenizer, prefix: str, lower: bool):
+    def __init__(self, tokenizer, prefix: str, lower: bool, most: int):
         super().__init__()
-        self.tokenizer, self.prefix, self.lower, self.merge = tokenizer, prefix, lower, tokenizer.model.tokenize
+        self.tokenizer, self.prefix, self.lower, self.most, self.merge = tokenizer, prefix, lower, most, tokenizer.model.tokenize
         self.start = prefix.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
     def forget(self) -> None:
-        if len(self) > MOST_PIECES:
-            kept = dict(islice(self.items(), MOST_PIECES // 2))
+        if len(self) > self.most:
+            kept = dict(islice(self.items(), self.most // 2))
             self.clear()
             self.update(kept)
 
@@ -88,7 +88,7 @@ def _ends_in_letter(word: str) -> bool:
 class PieceEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, file: str, blanks_dropped: bool):
+    def __init__(self, file: str, blanks_dropped: bool, most: int = MOST_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,8 +98,8 @@ class PieceEncoder:
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.hint = re.match(r"[\W\d_]*", os.path.commonprefix(added)).group()  # what is alike in either case
         self.blanks_dropped = blanks_dropped
-        self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ", blanks_dropped)
-        self.bare = self.spaced if blanks_dropped else _Words(self.tokenizer, "", False)
+        self.spaced = _Words(self.tokenizer, "" if blanks_dropped else " ", blanks_dropped, most)
+        self.bare = self.spaced if blanks_dropped else _Words(self.tokenizer, "", False, most)
         #: Pieces that follow a space, words and others alike; None marks one that no split gives apart.
         self.known: dict[str, bytes | None] = self.spaced
 
@@ -217,6 +217,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=4)
-def piece_encoder(file: str, blanks_dropped: bool) -> PieceEncoder:
+def piece_encoder(file: str, blanks_dropped: bool, most: int = MOST_PIECES) -> PieceEncoder:
     """One encoder a file and worker process."""
-    return PieceEncoder(file, blanks_dropped)
+    return PieceEncoder(file, blanks_dropped, most)

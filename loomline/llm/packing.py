@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, texts_of
-from .fasttok import piece_encoder
+from .common import map_batches, release, small_batches, texts_of
+from .fasttok import MOST_PIECES, piece_encoder
 
 
 class SumOfSquares:
@@ -77,7 +77,7 @@ def close_up(rest: list[tuple[int, list]], size: int) -> list[list]:
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, key: str = "doc_id", text: str = "text", most_pieces: int = MOST_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and ``end_id``. Whole windows of a long document are sequences of their own; what is left of
@@ -85,12 +85,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, key: st
     another, so each task pads one window at most. Nothing is shuffled: a task packs its own partition, in key order,
     and a task run anew gives the same rows. Only open windows are held. A null or empty text is its end id; repeated
     rows are packed each; a null key stays null; a very long text is cut into windows; an empty table gives an empty
-    result; extra columns are ignored.
+    result; extra columns are ignored. A worker remembers the ids of ``most_pieces`` pieces of text; fewer take less memory
+    and more time, and give the same rows.
     """
     small_batches(docs.sparkSession, size="1m")
 
     def run(batches):
-        encoder = piece_encoder(tokenizer, False)
+        release()
+        encoder = piece_encoder(tokenizer, False, most_pieces)
         end = np.array([end_id], "<u4").tobytes()
         packer, task = SumOfSquares(size), TaskContext.get().partitionId()
         rows: list[tuple] = []

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.shipping import ship
 
-from .common import map_batches, small_batches, texts_of
+from .common import map_batches, release, small_batches, texts_of
 from .textvec import ALNUM, word_hashes
 
 BITS = 18
@@ -189,7 +189,7 @@ def keep_civil(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null and empty texts have the base rate, as in ``score``; repeated rows go or stay alike; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="1m")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
@@ -197,6 +197,7 @@ def keep_civil(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(shared.value.scores(texts_of(b.column(at))) < 0.5))
+        release()
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ from pyarrow.orc import ORCFile
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from loomline.llm import exact_dedup, fasttok, jaccard_join, packing, sharding, textvec, token_files, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, hub long, n long"
@@ -138,6 +139,31 @@ def test_pieces_give_the_tokenizers_ids(file, dropped):
     assert fasttok.PieceEncoder(public_tokenizers.path(file), dropped).encode(texts) == want
 
 
+@pytest.mark.parametrize(("file", "dropped"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_few_remembered_pieces_give_the_same_ids(file, dropped):
+    rng = random.Random(4)
+    path = public_tokenizers.path(file)
+    few, many = fasttok.PieceEncoder(path, dropped, 1000), fasttok.PieceEncoder(path, dropped)
+    for _ in range(20):
+        texts = ["the " + " ".join("".join(rng.choices("abcdeé", k=7)) + rng.choice(["", ",", "  x"]) for _ in range(30)) for _ in range(20)]
+        assert few.encode(texts) == many.encode(texts)
+        assert len(few.known) <= 1000 + 2 * 20 * 62  # what a batch adds: pieces and the words in them
+    assert len(many.known) > 8000
+
+
+def test_packing_with_few_remembered_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = table(spark, [*ROWS, *((100 + i, " ".join("".join(rng.choices("abcde", k=6)) for _ in range(900))) for i in range(60))]).coalesce(1)
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    key = lambda r: (r["sequence_id"], r["offset"])
+    want = sorted(packing.pack(docs, file, end_id=1).collect(), key=key)
+    assert sorted(packing.pack(docs, file, end_id=1, most_pieces=50).collect(), key=key) == want
+    asked = []
+    monkeypatch.setattr(packing, "pack", lambda *args, **named: asked.append(named))
+    corpus_pipeline.packed(spark, docs, "")
+    assert asked[0]["most_pieces"] <= 200_000  # 180 bytes each, in two workers beside a heap that earlier stages filled
+
+
 def test_packing_holds_each_id_once(spark):
     file = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(file)
