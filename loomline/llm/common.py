@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def release() -> None:
-    """Give back what Arrow and the C library keep of freed memory: workers outlive a stage, and the next one's objects lie elsewhere."""
+    """Give back what Arrow and the C library keep of freed memory: workers and the driver outlive a stage, and the next one's objects lie elsewhere."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # only the GNU library has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -143,15 +144,58 @@ def _starred(edges: DataFrame) -> bool:
     return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").limit(1).count()
 
 
-def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of all nodes of the edges (a, b) but the smallest ones themselves."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while (low[x] != low[y]).any():
+        m = np.minimum(low[x], low[y])
+        np.minimum.at(low, low[x], m)
+        np.minimum.at(low, low[y], m)
+        while (low[low] != low).any():
+            low = low[low]
+    other = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[other], nodes[low[other]]
+
+
+def _contracted(edges: DataFrame, tasks: int, most: int) -> DataFrame:
+    """The stars of each of ``tasks`` parts of the edges; nothing is shuffled, and a task holds some ``most`` edges at a time."""
+
+    def run(batches):
+        a = b = kind = None
+        for batch in batches:
+            kind = batch["a"].type
+            x, y = (batch[c].to_numpy(zero_copy_only=False) for c in "ab")
+            a, b = (x, y) if a is None else (np.concatenate((a, x)), np.concatenate((b, y)))
+            if len(a) >= most:
+                a, b = stars(a, b)
+                if 2 * len(a) > most:
+                    yield {"a": pa.array(a, kind), "b": pa.array(b, kind)}
+                    a = b = None
+        if a is not None:
+            a, b = stars(a, b)
+            yield {"a": pa.array(a, kind), "b": pa.array(b, kind)}
+
+    return map_batches(edges.coalesce(tasks), run, ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in "ab"))
+
+
+def connected_components(edges: DataFrame, tables: Tables, most: int = 1 << 16) -> DataFrame:
     """(node, component) of an undirected graph given as columns ``a`` and ``b``; component is the smallest node.
 
-    Alternating large-star and small-star rounds: each contracts the graph towards stars around the smallest node, until
-    all are. Minima are combined before the shuffle, nodes with many edges are split by the adaptive skew join, and each
-    round is a table in the shared folder that replaces the one before. Nodes without a partner do not appear.
+    Tasks of ``most`` edges or fewer contract what they have to stars; a graph of no more edges is done then. Over the stars
+    of several tasks, large-star and small-star rounds alternate: each contracts the graph towards stars around the smallest
+    node, until all are. Minima are combined before the shuffle, nodes with many edges are split by the adaptive skew join,
+    and each round is a table in the shared folder that replaces the one before. Nodes without a partner do not appear.
     """
     edges = tables.save(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while not _starred(edges):
+    while True:
+        tasks = max(1, -(-edges.count() // most))
+        contracted = _contracted(edges, tasks, max(most, 2))
+        before, edges = edges, tables.save(contracted.distinct() if tasks > 1 else contracted, "edges")
+        tables.drop(before)
+        if tasks == 1 or _starred(edges):
+            break
         # large star: each larger neighbour of u points to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

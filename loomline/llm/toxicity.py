@@ -103,9 +103,11 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, most_terms: int = 4096, fac
     if not n:  # without labels nothing is known to be toxic
         return Model(row, -20.0, np.zeros(0), np.zeros((0, factors)))
     prior = (pos + 0.5) / (n + 1)
-    every = np.concatenate(terms) if terms else np.zeros(0, np.int32)
-    df = np.bincount(every, minlength=size).astype(float)
-    hit = np.bincount(every, np.repeat(y, [len(t) for t in terms]), minlength=size)
+    df, hit = np.zeros(size), np.zeros(size)
+    for i in range(0, n, 1024):
+        part = terms[i : i + 1024]
+        df += np.bincount(np.concatenate(part), minlength=size)
+        hit += np.bincount(np.concatenate(part), np.repeat(y[i : i + 1024], [len(t) for t in part]), minlength=size)
     expected = df * prior
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - prior) * (1 - df / (n + 1)), 1e-9)
     chi[df < 5] = 0
@@ -148,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
 
     The labels are cut to that bound before they meet the documents, so they can be broadcast. Null labels, null keys
     and labels without a document are left out; repeated labels of a key count once, the larger one; without labels all are civil.
+    The driver gives the memory of the fit back.
     """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -163,7 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labe
 
     got = map_batches(rows.select("_key", "_y", "_text"), features, "k long, y int, terms binary").toArrow()
     found = sorted(zip(got["k"].to_pylist(), got["terms"].to_pylist(), got["y"].to_pylist(), strict=True))
-    return fit([np.frombuffer(t, np.int32) for _, t, _ in found], np.array([y for _, _, y in found], float))
+    del got
+    model = fit([np.frombuffer(t, np.int32) for _, t, _ in found], np.array([y for _, _, y in found], float))
+    del found
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

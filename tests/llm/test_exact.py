@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomline.llm import exact_dedup, fasttok, jaccard_join, packing, sharding, textvec, token_files, url_filter
+from loomline.llm import common, exact_dedup, fasttok, jaccard_join, packing, sharding, textvec, token_files, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, hub long, n long"
 
@@ -398,6 +398,38 @@ def test_keeping_one_each_leaves_any_columns(spark):
     assert jaccard_join.keep_one_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [False, True])
+def test_components_of_contracted_parts(spark, monkeypatch, text):
+    """Chains, stars, loops and nulls in many small parts and in one part, which needs no rounds."""
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(100)] + [(200, 201 + i) for i in range(60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)] + [(7, 7), (None, 3), (5, None)]
+    rng.shuffle(edges)
+    named = lambda i: i if i is None or not text else f"é{i:04}"
+    around = defaultdict(set)
+    for a, b in edges:
+        if None not in (a, b) and a != b:
+            around[a].add(b)
+            around[b].add(a)
+    want = {}
+    for first in sorted(around):
+        todo = [first] if first not in want else []
+        while todo:
+            i = todo.pop()
+            want[i] = first
+            todo += [k for k in around[i] if k not in want]
+    df = spark.createDataFrame([(named(a), named(b)) for a, b in edges], "a string, b string" if text else "a long, b long").repartition(7)
+    rounds, real = [], common._starred
+    monkeypatch.setattr(common, "_starred", lambda e: rounds.append(e) or real(e))
+    for most in (4, 60, 1 << 16):
+        rounds.clear()
+        with common.Tables(spark) as tables:
+            got = [tuple(r) for r in common.connected_components(df, tables, most).select("node", "component").collect()]
+        assert len(got) == len(want) and dict(got) == {named(i): named(k) for i, k in want.items()}
+        assert bool(rounds) == (most < len(edges))
+    with common.Tables(spark) as tables:
+        assert not common.connected_components(df.limit(0), tables).count()
+
+
 def test_jaccard_of_empty_table(spark):
     assert jaccard_join.jaccard_components(table(spark, ROWS).limit(0)).count() == 0
 

@@ -4,6 +4,7 @@ import hashlib
 import importlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -67,6 +68,23 @@ def test_toxicity_over_tables(spark):
     assert {r["predicted"] for r in toxicity.score(docs, empty).collect()} <= {0, 1}
 
 
+def test_the_driver_gives_the_memory_of_training_back(spark, monkeypatch):
+    """Terms are counted in portions, and what the fit took goes back before the next stage."""
+    rng, done = np.random.default_rng(3), []
+    sets = [np.sort(rng.choice(600, 500, replace=False)).astype(np.int32) for _ in range(4000)]
+    labels = rng.integers(0, 2, 4000).astype(float)
+    tracemalloc.start()
+    toxicity.fit(sets, labels, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36e6  # some 29 MB; with all terms as long integers and their labels at once 45 MB
+    fit, release = toxicity.fit, toxicity.release
+    monkeypatch.setattr(toxicity, "fit", lambda *args: done.append("fit") or fit(*args))
+    monkeypatch.setattr(toxicity, "release", lambda: done.append("release") or release())
+    toxicity.train(table(spark, [(1, "a b"), (2, "c d")]), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
+    assert done == ["fit", "release"]
+
+
 SAMPLES = {
     "en": "the quick brown fox jumps over the lazy dog and then it went away with the other foxes of that wood",
     "de": "der schnelle braune fuchs springt über den faulen hund und dann ging er mit den anderen weg in den wald",
