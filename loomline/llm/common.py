@@ -183,17 +183,18 @@ def _contracted(edges: DataFrame, tasks: int, most: int) -> DataFrame:
 def connected_components(edges: DataFrame, tables: Tables, most: int = 1 << 16) -> DataFrame:
     """(node, component) of an undirected graph given as columns ``a`` and ``b``; component is the smallest node.
 
-    Tasks of ``most`` edges or fewer contract what they have to stars; a graph of no more edges is done then. Over the stars
+    Tasks of ``most`` edges or fewer contract what they have to stars, in Python (0: none do); a graph of no more edges is done then. Over the stars
     of several tasks, large-star and small-star rounds alternate: each contracts the graph towards stars around the smallest
     node, until all are. Minima are combined before the shuffle, nodes with many edges are split by the adaptive skew join,
     and each round is a table in the shared folder that replaces the one before. Nodes without a partner do not appear.
     """
     edges = tables.save(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        tasks = max(1, -(-edges.count() // most))
-        contracted = _contracted(edges, tasks, max(most, 2))
-        before, edges = edges, tables.save(contracted.distinct() if tasks > 1 else contracted, "edges")
-        tables.drop(before)
+        tasks = max(1, -(-edges.count() // most)) if most else 0
+        if tasks:
+            contracted = _contracted(edges, tasks, max(most, 2))
+            before, edges = edges, tables.save(contracted.distinct() if tasks > 1 else contracted, "edges")
+            tables.drop(before)
         if tasks == 1 or _starred(edges):
             break
         # large star: each larger neighbour of u points to the smallest of u and its neighbours
