@@ -4,7 +4,8 @@ Texts become shards, arrays of at most about ``SHARD`` word ids with breaks betw
 numbers that hold in all shards; the others break a run of words. The positions of a shard are sorted by their next words by prefix
 doubling in numpy; neighbours that share n words form the intervals, an n-gram and its count each. An n-gram's key is its numbers,
 packed into whole numbers of 64 bits: exact, and much smaller than its text. Each task sums its shards' counts by key before it
-hands them on; then they are summed over all tasks, and only what reaches the least count is spelled out, once.
+hands them on; then they are summed over all tasks, and only what reaches the least count is spelled out, once. A shard is a row of
+some megabytes, so tables of shards have small row groups: a task holds a few shards, however many its part of the input makes.
 
 Most n-grams are rare, so a round for each n leaves out what can't reach the least count: n-grams whose first or last n - 1 words
 don't. These reach the shards as Bloom filters of at most 2^29 bits, sized by the number of entries; a false entry, or a filter
@@ -213,7 +214,7 @@ def numbered(shards: DataFrame, words: DataFrame, tables: Tables) -> tuple[DataF
         own = words.filter(F.pmod(F.col("h"), F.lit(parts)) == part)
         known = sc.broadcast(np.sort(own.select("h").toArrow()["h"].to_numpy()))
         last = part == parts - 1
-        before, shards = shards, tables.save(map_batches(shards.select("ids", "hashes"), lambda b, k=known, f=first, e=last: _renumber(b, k, f, e), "ids binary, hashes array<bigint>"), "runs")
+        before, shards = shards, tables.save(map_batches(shards.select("ids", "hashes"), lambda b, k=known, f=first, e=last: _renumber(b, k, f, e), "ids binary, hashes array<bigint>"), "runs", large=True)
         tables.drop(before)
 
         def name(batches, known=known, first=first):
@@ -323,7 +324,7 @@ def phrase_counts(docs: DataFrame, tables: Tables, least: int = 100, longest: in
     spark = docs.sparkSession
     small_batches(spark, size="1m")
     for seed in count():
-        shards = tables.save(make_shards(docs, seed), "shards")
+        shards = tables.save(make_shards(docs, seed), "shards", large=True)
         each = shards.select(F.explode(F.arrays_zip("langs", "words", "hashes", "counts")).alias("w"))
         every = each.groupBy(F.col("w.langs").alias("lang"), F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("a"), F.min("w.hashes").alias("h"))
         every = tables.save(every, "words")

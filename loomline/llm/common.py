@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions.shipping import ship
 
+#: Bytes of a row group in tables whose rows take megabytes.
+GROUP_BYTES = 4 << 20
 _own_dirs: dict[str, str] = {}
 
 
@@ -57,15 +59,19 @@ class Tables:
 
     A table is deleted as soon as it is dropped, the rest when the ``with`` block ends, but for those that were kept
     because a lazy result still reads them.
+
+    Parquet's writer holds a row group, and at least a hundred rows of it; Spark's vectorized reader holds up to 4096 rows of a
+    group. ``large`` is for rows that take megabytes: then groups end at ``GROUP_BYTES``, or after a row or two.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.at: dict[int, tuple[DataFrame, str]] = {}
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, large: bool = False) -> DataFrame:
         path = fresh_path(self.spark, label)
-        df.write.option("compression", "zstd").parquet(path)
+        groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1} if large else {}
+        df.write.options(compression="zstd", **groups).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.at[id(out)] = (out, path)
         return out

@@ -5,10 +5,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
 from loomline.llm import bitsliced, collocations, concurrency
+from loomline.llm.common import Tables
 
 # --- concurrency
 
@@ -248,3 +250,23 @@ def test_filter_holds_its_entries(spark):
     own = np.array([r[0] for r in h.collect()]).view(np.uint64)
     other = np.array([r[0] for r in spark.range(10000, 30000).select(F.xxhash64("id")).collect()]).view(np.uint64)
     assert collocations._inside(bitmap, own).all() and collocations._inside(bitmap, other).mean() < 0.05
+
+
+def test_a_task_holds_a_few_shards_however_many_its_part_makes(spark):
+    """Shards are rows of megabytes: no row group of their tables has many, as the writer and the reader hold a whole one."""
+    sizes = defaultdict(list)
+
+    class Seen(Tables):
+        def save(self, df, label, *args, **kwargs):
+            out = super().save(df, label, *args, **kwargs)
+            files = ds.dataset(self.at[id(out)][1], format="parquet").get_fragments()
+            sizes[label] += [g.total_byte_size for f in files for g in f.row_groups]
+            return out
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: (F.xxhash64(F.col("id"), i) % 1000).cast("string"))
+    docs = spark.range(0, 6000, 1, 1).select(F.array_join(words, " ").alias("text"), F.lit("en").alias("lang"))
+    with Seen(spark) as tables:
+        counts, _ = collocations.phrase_counts(docs, tables, 100, 2)
+        assert counts.agg(F.sum("a")).first()[0] >= 6_000_000
+    for label in ("shards", "runs"):
+        assert sum(sizes[label]) > 20 << 20 and max(sizes[label]) <= 8 << 20, (label, sizes[label])
