@@ -19,13 +19,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def large_dictionaries(spark: SparkSession, size: int = 64 << 20) -> None:
+def large_dictionaries(spark: SparkSession, *long: str, size: int = 64 << 20) -> None:
     """Let Parquet files that this session writes from now on keep ``size`` bytes of a column's distinct values in a dictionary (1 MB by default).
 
     Long values that many rows repeat are then written once a file, not once a row. A writer holds that many bytes a column at most;
-    a column whose values hardly repeat goes without, as Parquet's first page tells. Set and left set, as results are lazy.
+    a column whose values hardly repeat goes without, as Parquet's first page tells. Columns named in ``long`` get no least and greatest
+    value, as these are compared with every row's whole value. Set and left set, as results are lazy.
     """
     spark.conf.set("parquet.dictionary.page.size", str(size))
+    for name in long:
+        spark.conf.set(f"parquet.column.statistics.enabled#{name}", "false")
 
 
 def append_pending(table: DataFrame, new: DataFrame, status: str = "status") -> DataFrame:
